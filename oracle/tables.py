@@ -45,7 +45,7 @@ def student_snapshots(days: tuple[str, ...]) -> str:
 SELECT day AS snapshot_date, k AS studentno, 'Student#' || k AS studentname,
        CASE WHEN k % 1013 <> 7 THEN CAST({SCHOOL_CASE.format(h="h")} AS INTEGER) END AS sch,
        {grade_label("gradenum")} AS grade, gradenum,
-       CASE WHEN h % 101 = 5 THEN NULL WHEN h % 97 = 1 THEN '' WHEN h % 89 = 2 THEN '000' || h
+       CASE WHEN k % 101 = 5 THEN NULL WHEN k % 97 = 1 THEN '' WHEN h % 89 = 2 THEN '000' || h
             WHEN h % 40 = 15 THEN 'H' || (h - 1) ELSE 'H' || h END AS homeroom,
        {PROGRAM_CASE} AS projection_group,
        CASE k % 6 WHEN 0 THEN 'L' WHEN 1 THEN 'F' END AS lepstatus,
@@ -54,9 +54,11 @@ SELECT day AS snapshot_date, k AS studentno, 'Student#' || k AS studentname,
        CASE WHEN k % 4 = 0 THEN 'S' || (k % 3 + 1) WHEN k % 7 = 0 THEN '' END AS sncode,
        CASE k % 4 WHEN 0 THEN 'Spanish' WHEN 1 THEN 'Haitian Creole' ELSE 'English' END
            AS firstlang,
-       CASE WHEN k % 500 = 3 THEN '' WHEN k % 11 = 0 THEN strftime(born, '%m/%d/%Y')
-            WHEN k % 13 = 0 THEN strftime(born, '%-m/%-d/%Y') || ' 00:00:00'
-            ELSE strftime(born, '%-m/%-d/%Y') END AS dob
+       CASE WHEN k % 500 <> 3
+            THEN CASE WHEN k % 11 = 0 THEN strftime(born, '%m/%d/%Y')
+                      ELSE strftime(born, '%-m/%-d/%Y') END
+                 || CASE WHEN k % 13 = 0 THEN ' 00:00:00' ELSE '' END
+            ELSE '' END AS dob
 FROM (SELECT *, CAST(CASE WHEN k % 700 = 11 THEN NULL
                      ELSE h % 10 - 2 + CASE WHEN h % 3 = 0 AND d % 2 = 0 THEN 1 ELSE 0 END
                      END AS INTEGER) AS gradenum

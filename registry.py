@@ -146,18 +146,17 @@ def q_prgmtype_counts(spark, sf_dir):
 
 @query
 def q_cells(spark, sf_dir):
-    groups = _district(spark, sf_dir).type_groups()
-    return groups.select(*ROOM, "classtype", "seiFlag", "totalStudents")
+    return _district(spark, sf_dir).type_counts()
 
 
 @query
 def q_classtype_max(spark, sf_dir):
-    return rooms.class_type_max(_district(spark, sf_dir).type_groups())
+    return rooms.class_type_max(_district(spark, sf_dir).cells())
 
 
 @query
 def q_sei_max(spark, sf_dir):
-    return rooms.sei_max(_district(spark, sf_dir).type_groups(), RULES)
+    return rooms.sei_max(_district(spark, sf_dir).type_counts(), RULES)
 
 
 @query

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BIRTH_DATE_TEXT = r"^ *(\d{1,2}) */ *(\d{1,2}) */ *(\d{1,4})"
+BIRTH_DATE_TEXT = r"^ *(\d{1,2}/ *\d{1,2}/ *\d{1,4})"
 
 
 def school_year(day: Column) -> Column:
@@ -20,9 +20,5 @@ def school_year(day: Column) -> Column:
 
 def birth_date(text: Column) -> Column:
     """Month/day/year text, padded or not, with anything after it ignored; NULL if not a date."""
-
-    def part(group: int) -> Column:
-        return F.regexp_extract(text, BIRTH_DATE_TEXT, group)
-
-    year = F.lpad(part(3), 4, "0")
-    return F.try_to_date(F.concat_ws("/", part(1), part(2), year), "M/d/yyyy")
+    day = F.replace(F.regexp_extract(text, BIRTH_DATE_TEXT, 1), F.lit(" "), F.lit(""))
+    return F.try_to_date(day, "M/d/y")

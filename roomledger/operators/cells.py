@@ -1,4 +1,4 @@
-"""Student rows rolled up to cells, and cells to class-type groups within rooms.
+"""Student rows rolled up to cells, and the measures cells share within a room or code.
 
 The student table is shuffled once, as partial aggregates (one row per room and
 program code), so a room or an "unassigned" code that holds a large part of all
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roomledger.config import ELD_LEVELS, PROGRAM_TYPES, Rules
+from roomledger.config import ELD_LEVELS, Rules
 from roomledger.functions.calendar import birth_date
 from roomledger.functions.nulls import has_pattern, not_blank, one_of
 from roomledger.operators.enrollment import (
@@ -25,7 +25,7 @@ from roomledger.operators.enrollment import (
 
 CODE = ("snapshot_date", "homeroom")
 ROOM = (*CODE, "sch")
-COUNTS = (*PROGRAM_TYPES, *(f"eld{n}" for n in ELD_LEVELS), "snCount", "otherIEP")
+COUNTS = (*(f"eld{n}" for n in ELD_LEVELS), "snCount", "otherIEP")
 
 
 def iep_level(sncode: Column) -> Column:
@@ -104,29 +104,12 @@ def with_mode_grade(cells: DataFrame) -> DataFrame:
     )
 
 
-def type_groups(cells: DataFrame) -> DataFrame:
-    """One row per room, class type and SEI flag: the groups a room is classified by.
+def type_counts(cells: DataFrame) -> DataFrame:
+    """Students per room, class type and SEI flag."""
+    return cells.groupBy(*ROOM, "classtype", "seiFlag").agg(F.sum("n").alias("totalStudents"))
 
-    ``spans`` holds the room's distinct age spreads, more than one only where
-    campuses were merged.
-    """
 
-    def of_type(name: str) -> Column:
-        return F.sum(F.when(F.col("program_type") == name, F.col("n")).otherwise(0)).alias(name)
-
-    carried = [c for c in COUNTS if c not in PROGRAM_TYPES]
-    mode = [F.max("mode_grade").alias("mode_grade")] if "mode_grade" in cells.columns else []
-    return (
-        with_campus_span(cells)
-        .groupBy(*ROOM, "classtype", "seiFlag")
-        .agg(
-            F.sum("n").alias("totalStudents"),
-            *[of_type(name) for name in PROGRAM_TYPES],
-            *[F.sum(c).alias(c) for c in carried],
-            F.sum("grades_known").alias("grades_known"),
-            F.min("low").alias("low"),
-            F.max("high").alias("high"),
-            F.collect_set(F.struct("dobDaySpan")).alias("spans"),
-            *mode,
-        )
-    )
+def with_type_total(cells: DataFrame) -> DataFrame:
+    """Put on each cell the number of students in its room with its class type and SEI flag."""
+    group = Window.partitionBy(*ROOM, "classtype", "seiFlag")
+    return cells.withColumn("type_n", F.sum("n").over(group))

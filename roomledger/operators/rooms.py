@@ -2,77 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roomledger.config import Rules
+from roomledger.config import PROGRAM_TYPES, Rules
 from roomledger.functions.grades import grade_label, grade_range
 from roomledger.functions.nulls import has_text, same
-from roomledger.operators.cells import CODE, COUNTS, ROOM
+from roomledger.operators.cells import (
+    CODE,
+    COUNTS,
+    ROOM,
+    with_campus_span,
+    with_type_total,
+)
 from roomledger.operators.enrollment import with_month_span
 
 
-def with_leading_types(groups: DataFrame) -> DataFrame:
-    """Mark the groups that name their room.
+def with_leading_types(cells: DataFrame) -> DataFrame:
+    """Name the leading class types of each homeroom code, joined with ``+``.
 
     The largest groups of a room lead it.  Where one homeroom code has several
-    leading groups (in one room or in rooms of several schools) Gen Ed and
-    undecoded groups give way.
+    leading groups (in one room, or in rooms of several schools) Gen Ed and
+    undecoded groups give way.  All rooms of the code that still have a leading
+    group share the text.  A code's list is as long as the number of schools
+    using the code in that snapshot, never the number of students.
     """
     room, code = Window.partitionBy(*ROOM), Window.partitionBy(*CODE)
-    largest = F.col("totalStudents") == F.max("totalStudents").over(room)
-    alone = F.col("leaders") == 1
-    specific = F.coalesce(F.col("classtype") != "Gen Ed", F.lit(False))
-    return (
-        groups.withColumn("largest", largest)
-        .withColumn("leaders", F.count_if("largest").over(code))
-        .withColumn("leads", F.col("largest") & (alone | specific))
-        .drop("largest", "leaders")
-    )
+    counted = with_type_total(cells)
+    largest = counted.withColumn(
+        "largest", F.col("type_n") == F.max("type_n").over(room)
+    ).withColumn("leaders", F.collect_set(F.when(F.col("largest"), _group())).over(code))
+    alone = F.size("leaders") == 1
+    specific = F.filter("leaders", lambda g: g["classtype"] != "Gen Ed")
+    kept = F.array_sort(F.when(alone, F.col("leaders")).otherwise(specific))
+    text = F.array_join(F.transform(kept, lambda g: F.coalesce(g["classtype"], F.lit("NA"))), " + ")
+    leads = F.col("largest") & (alone | (F.col("classtype") != "Gen Ed"))
+    return largest.withColumn("maxClasstype", F.when(leads, text)).drop("largest", "leaders")
 
 
-def with_max_class_type(groups: DataFrame) -> DataFrame:
-    """Leading types of a homeroom code, in order and joined with ``+``.
-
-    The text is shared by every room of that code that has a leading group.  A
-    code's list is as long as the number of schools using the code in that
-    snapshot, never the number of students.
-    """
-    entry = F.struct("sch", F.coalesce("classtype", F.lit("NA")).alias("type"), "seiFlag")
-    leading = F.collect_list(F.when(F.col("leads"), entry)).over(Window.partitionBy(*CODE))
-    names = F.transform(F.array_sort(leading), lambda e: e["type"])
-    return groups.withColumn(
-        "maxClasstype", F.when(F.col("leads"), F.array_join(names, " + "))
-    )
+def _group() -> Column:
+    return F.struct("sch", "classtype", "seiFlag")
 
 
-def with_dominant_types(groups: DataFrame) -> DataFrame:
+def with_dominant_types(counted: DataFrame) -> DataFrame:
     """Class types of the largest groups under a homeroom code, over all its schools."""
     code = Window.partitionBy(*CODE)
-    return groups.withColumn("code_max", F.max("totalStudents").over(code)).withColumn(
-        "dominant",
-        F.collect_list(
-            F.when(F.col("totalStudents") == F.col("code_max"), F.struct("classtype"))
-        ).over(code),
+    largest = F.col("type_n") == F.col("code_max")
+    return (
+        counted.withColumn("code_max", F.max("type_n").over(code))
+        .withColumn("dominant", F.collect_set(F.when(largest, _group())).over(code))
+        .drop("code_max")
     )
 
 
-def class_type_max(groups: DataFrame) -> DataFrame:
+def class_type_max(cells: DataFrame) -> DataFrame:
     """The leading class type of each room that has one."""
-    named = with_max_class_type(with_leading_types(groups))
-    return named.where("leads").groupBy(*ROOM).agg(F.max("maxClasstype").alias("maxClasstype"))
+    named = with_leading_types(cells).where(F.col("maxClasstype").isNotNull())
+    return named.groupBy(*ROOM).agg(F.max("maxClasstype").alias("maxClasstype"))
 
 
-def sei_max(groups: DataFrame, rules: Rules) -> DataFrame:
+def sei_max(counts: DataFrame, rules: Rules) -> DataFrame:
     """Largest SEI group of each room; a tie is named as mixed."""
     room = Window.partitionBy(*ROOM)
     largest = F.col("totalStudents") == F.max("totalStudents").over(room)
     return (
-        groups.where(F.col("seiFlag") == 1)
+        counts.where(F.col("seiFlag") == 1)
         .withColumn("largest", largest)
         .where("largest")
         .groupBy(*ROOM)
-        .agg(F.count(F.lit(1)).alias("ties"), F.first("classtype").alias("only_type"))
+        .agg(F.count(F.lit(1)).alias("ties"), F.max("classtype").alias("only_type"))
         .select(
             *ROOM,
             F.when(F.col("ties") > 1, rules.mixed_sei_label)
@@ -82,31 +80,41 @@ def sei_max(groups: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
-def room_totals(groups: DataFrame) -> DataFrame:
-    """One row per room: counts, grade range and leading type."""
-    named = with_max_class_type(with_leading_types(groups))
-    traced = "mode_grade" in groups.columns
-    if traced:
+def room_totals(cells: DataFrame) -> DataFrame:
+    """One row per room: counts, grade range and leading type.
+
+    ``spans`` holds the room's distinct age spreads, more than one only where
+    campuses were merged.  Rows arrive sorted by room from the windows, and the
+    aggregate keeps no collected values of its own, so it streams over them.
+    """
+    room = Window.partitionBy(*ROOM)
+    spread = F.collect_set(F.struct("dobDaySpan")).over(room)
+    named = with_leading_types(with_campus_span(cells)).withColumn("spans", spread)
+    shared = ["spans"]
+    if "mode_grade" in cells.columns:
         named = with_dominant_types(named)
-    all_known = F.sum("grades_known") == F.sum("totalStudents")
+        shared += ["mode_grade", "dominant"]
+
+    def of_type(name: str) -> Column:
+        return F.sum(F.when(F.col("program_type") == name, F.col("n")).otherwise(0)).alias(name)
+
+    all_known = F.sum("grades_known") == F.sum("n")
     rooms = named.groupBy(*ROOM).agg(
-        F.sum("totalStudents").alias("totalStudents"),
+        F.sum("n").alias("totalStudents"),
+        *[of_type(name) for name in PROGRAM_TYPES],
         *[F.sum(c).alias(c) for c in COUNTS],
         F.when(all_known, F.min("low")).alias("minGradenum"),
         F.when(all_known, F.max("high")).alias("maxGradenum"),
         F.max("maxClasstype").alias("maxClasstype"),
-        F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"),
-        *(
-            [F.first("mode_grade").alias("mode_grade"), F.first("dominant").alias("dominant")]
-            if traced
-            else []
-        ),
+        *[F.first(c).alias(c) for c in shared],
     )
-    return (
-        rooms.withColumn("noIEP", F.col("totalStudents") - F.col("snCount"))
-        .withColumn("minGrade", grade_label(F.col("minGradenum")))
-        .withColumn("maxGrade", grade_label(F.col("maxGradenum")))
-        .withColumn("grade", grade_range(F.col("minGradenum"), F.col("maxGradenum")))
+    return rooms.withColumns(
+        {
+            "noIEP": F.col("totalStudents") - F.col("snCount"),
+            "minGrade": grade_label(F.col("minGradenum")),
+            "maxGrade": grade_label(F.col("maxGradenum")),
+            "grade": grade_range(F.col("minGradenum"), F.col("maxGradenum")),
+        }
     )
 
 

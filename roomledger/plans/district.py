@@ -37,14 +37,15 @@ class District:
             i.students, i.split_schools, i.program_codes, self.rules, *extra_keys
         )
 
-    def type_groups(self, trace_errors: bool = False) -> DataFrame:
-        """Class-type groups; with ``trace_errors`` they also carry the usual grade."""
-        if trace_errors:
-            return cells.type_groups(cells.with_mode_grade(self.cells("grade")))
-        return cells.type_groups(self.cells())
+    def type_counts(self) -> DataFrame:
+        return cells.type_counts(self.cells())
 
     def room_totals(self, trace_errors: bool = False) -> DataFrame:
-        return rooms.room_totals(self.type_groups(trace_errors))
+        """One row per room; with ``trace_errors`` it also carries the usual grade and the
+        dominant class types of its homeroom code."""
+        if trace_errors:
+            return rooms.room_totals(cells.with_mode_grade(self.cells("grade")))
+        return rooms.room_totals(self.cells())
 
     def room_base(self, trace_errors: bool = False) -> DataFrame:
         i = self.inputs

@@ -8,10 +8,9 @@ codes, limits, ratios, names) are literal rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomledger.functions.grades import grade_label
 from roomledger.sources.inputs import Inputs
 
 SNAPSHOT_DAY = "2026-05-05"
@@ -34,6 +33,26 @@ PROGRAMS = (
     ("AIM", "SPED", "AIM", "Sub-Sep"),
 )
 GRADES = ("K0", "K1", "K2", "1", "2", "3", "4", "5", "6", "7", "8")
+GRADE_LABELS = (*GRADES[:3], *(g.zfill(2) for g in GRADES[3:]))
+
+# Room kinds: each program with the position (out of 20) its share ends before.
+PROGRAM_MIX = (
+    (("GE", 18), ("BLS", 20)),
+    (("GE", 15), ("SI3", 20)),
+    (("GE", 8), ("SI4", 15), ("SA4", 20)),
+    (("GE", 2), ("SA4", 20)),
+    (("SL4", 10), ("SF4", 20)),
+    (("GE", 2), ("BLS", 11), ("BLH", 20)),
+    (("GE", 1), ("BLS", 20)),
+    (("ML1", 10), ("ML2", 20)),
+    (("DL", 16), ("GE", 20)),
+    (("GE", 19), ("", 20)),
+    (("GE", 12), ("AIM", 14), ("SL4", 20)),
+    (("GE", 4), (None, 20)),
+)
+SCHOOLS = (3003, 4321, 4610, 1290, 5001, 5002, *range(4006, 4012), 4171, *range(4013, 4025))
+SHARED_ROOM_OFFSETS = (*[0] * 20, 0, 1, 2, 3, 4, *[0] * 25)
+LANGUAGES = ("Spanish", "Haitian Creole", "English", "English")
 RATIO_SCHOOLS = (4008, 4011, 4014, 4017, 4020, 4023, 5000)
 NAMED_SCHOOLS = (1290, 4321, 4610, 5000, 4171, *range(4006, 4012), *range(4013, 4025))
 CAMPUS_MERGES = (
@@ -83,86 +102,67 @@ LITERAL_TABLES = {
 }
 
 
-def _pick(key: Column, choices: dict[int, Column | int], otherwise) -> Column:
-    chosen = F.lit(otherwise) if not isinstance(otherwise, Column) else otherwise
-    for value, result in reversed(choices.items()):
-        chosen = F.when(key == value, result).otherwise(chosen)
-    return chosen
-
-
-def school_of(room: Column) -> Column:
-    special = {0: 3003, 1: 4321, 2: 4610, 3: 1290, 4: 5001, 5: 5002, 12: 4171}
-    return _pick(room % 25, special, 4000 + room % 25).cast("int")
-
-
-def program_of(room: Column, d: Column) -> Column:
-    def split(first: str, below: int, second) -> Column:
-        return F.when(d < below, first).otherwise(second)
-
-    return _pick(
-        room % 12,
-        {
-            0: split("GE", 18, "BLS"),
-            1: split("GE", 15, "SI3"),
-            2: split("GE", 8, split("SI4", 15, "SA4")),
-            3: split("GE", 2, "SA4"),
-            4: split("SL4", 10, "SF4"),
-            5: split("GE", 2, split("BLS", 11, "BLH")),
-            6: split("GE", 1, "BLS"),
-            7: split("ML1", 10, "ML2"),
-            8: split("DL", 16, "GE"),
-            9: split("GE", 19, ""),
-            10: split("GE", 12, split("AIM", 14, "SL4")),
-        },
-        split("GE", 4, F.lit(None)),
-    )
+def _array(values) -> str:
+    """A SQL array literal."""
+    cells = ("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+    return f"array({', '.join(cells)})"
+
+
+def _lookup(key: str, values) -> str:
+    """The value at a zero-based position: one read of the key, however long the list."""
+    return f"element_at({_array(values)}, CAST({key} AS INT) + 1)"
+
+
+def _mixed_programs() -> list[str | None]:
+    """Program by room kind and position of the student, 20 positions per kind."""
+    programs = []
+    for mix in PROGRAM_MIX:
+        for d in range(20):
+            programs.append(next(code for code, below in mix if d < below))
+    return programs
 
 
 def student_snapshots(orders: DataFrame, days: tuple[str, ...] = (SNAPSHOT_DAY,)) -> DataFrame:
-    """One row per order and snapshot day; programs shift a little from day to day."""
-    k, cust = F.col("o_orderkey"), F.col("o_custkey")
-    block = cust % 50
-    room = F.when(block.between(20, 24), cust - block + 20).otherwise(cust)
-    day = F.explode(
-        F.array(*[F.struct(F.lit(d).cast("date").alias("on"), F.lit(i).alias("i"))
-                  for i, d in enumerate(days)])
-    )
-    h, d = F.col("h"), F.col("d")
-    base = orders.select(
-        k.alias("k"), room.alias("h"), F.col("o_orderdate").cast("date").alias("born"),
-        day.alias("day"),
-    ).withColumn("d", (F.col("k") + F.col("day.i")) % 20)
-    k = F.col("k")
-    older = F.when((h % 3 == 0) & (d % 2 == 0), 1).otherwise(0)
-    number = F.when(k % 700 != 11, h % 10 - 2 + older).cast("int")
-    code = (
-        F.when(h % 101 == 5, None)
-        .when(h % 97 == 1, "")
-        .when(h % 89 == 2, F.concat(F.lit("000"), h.cast("string")))
-        .when(h % 40 == 15, F.concat(F.lit("H"), (h - 1).cast("string")))
-        .otherwise(F.concat(F.lit("H"), h.cast("string")))
-    )
-    level = (k % 3 + 1).cast("string")
-    birthday = (
-        F.when(k % 500 == 3, "")
-        .when(k % 11 == 0, F.date_format("born", "MM/dd/yyyy"))
-        .when(k % 13 == 0, F.concat(F.date_format("born", "M/d/yyyy"), F.lit(" 00:00:00")))
-        .otherwise(F.date_format("born", "M/d/yyyy"))
-    )
-    return base.select(
-        F.col("day.on").alias("snapshot_date"),
-        k.alias("studentno"),
-        F.concat(F.lit("Student#"), k.cast("string")).alias("studentname"),
-        F.when(k % 1013 != 7, school_of(h)).alias("sch"),
-        grade_label(number).alias("grade"),
-        number.alias("gradenum"),
-        code.alias("homeroom"),
-        program_of(h, d).alias("projection_group"),
-        _pick(k % 6, {0: "L", 1: "F"}, None).alias("lepstatus"),
-        F.when(k % 3 == 0, (k % 5 + 1).cast("string")).when(k % 5 == 0, "").alias("mostrecenteld"),
-        F.when(k % 4 == 0, F.concat(F.lit("S"), level)).when(k % 7 == 0, "").alias("sncode"),
-        _pick(k % 4, {0: "Spanish", 1: "Haitian Creole"}, "English").alias("firstlang"),
-        birthday.alias("dob"),
+    """One row per order and snapshot day; programs shift a little from day to day.
+
+    A customer is a room, except that five customers of every fifty share one
+    (``h``); ``d`` is the student's position within the room's mix of programs.
+    """
+    listed = ", ".join(f"struct(DATE '{day}' AS day, {i} AS i)" for i, day in enumerate(days))
+    return (
+        orders.selectExpr(
+            "o_orderkey AS k",
+            f"o_custkey - {_lookup('o_custkey % 50', SHARED_ROOM_OFFSETS)} AS h",
+            "CAST(o_orderdate AS DATE) AS born",
+            f"inline(array({listed}))",
+        )
+        .selectExpr("*", "(k + i) % 20 AS d")
+        .selectExpr(
+            "*",
+            "CASE WHEN k % 700 <> 11 THEN CAST(h % 10 - 2 +"
+            " CASE WHEN h % 3 = 0 AND d % 2 = 0 THEN 1 ELSE 0 END AS INT) END AS gradenum",
+        )
+        .selectExpr(
+            "day AS snapshot_date",
+            "k AS studentno",
+            "concat('Student#', k) AS studentname",
+            f"CASE WHEN k % 1013 <> 7 THEN {_lookup('h % 25', SCHOOLS)} END AS sch",
+            f"CASE WHEN gradenum IS NOT NULL THEN {_lookup('gradenum + 2', GRADE_LABELS)} END"
+            " AS grade",
+            "gradenum",
+            "CASE WHEN k % 101 = 5 THEN NULL WHEN k % 97 = 1 THEN '' WHEN h % 89 = 2"
+            " THEN concat('000', h) WHEN h % 40 = 15 THEN concat('H', h - 1)"
+            " ELSE concat('H', h) END AS homeroom",
+            f"{_lookup('h % 12 * 20 + d', _mixed_programs())} AS projection_group",
+            f"{_lookup('k % 6', ('L', 'F', None, None, None, None))} AS lepstatus",
+            "CASE WHEN k % 3 = 0 THEN CAST(k % 5 + 1 AS STRING) WHEN k % 5 = 0 THEN '' END"
+            " AS mostrecenteld",
+            "CASE WHEN k % 4 = 0 THEN concat('S', k % 3 + 1) WHEN k % 7 = 0 THEN '' END AS sncode",
+            f"{_lookup('k % 4', LANGUAGES)} AS firstlang",
+            "CASE WHEN k % 500 = 3 THEN '' ELSE concat(date_format(born,"
+            " CASE WHEN k % 11 = 0 THEN 'MM/dd/yyyy' ELSE 'M/d/yyyy' END),"
+            " CASE WHEN k % 13 = 0 THEN ' 00:00:00' ELSE '' END) END AS dob",
+        )
     )
 
 
@@ -232,12 +232,14 @@ def limit_listing(part: DataFrame, codes: DataFrame) -> DataFrame:
 def merge_listing(customer: DataFrame) -> DataFrame:
     """A long campus-merge file, most of it no longer in force."""
     c = F.col("c_custkey")
-    special = {7: 4171, 8: 4650, 9: 4391}
+    merged = (*range(4000, 4007), 4171, 4650, 4391, *range(4010, 4025))
     return customer.select(
         F.when(c % 3 != 0, F.concat(F.lit("SY"), (1000 + c % 90).cast("string"))).alias(
             "final_year"
         ),
-        F.when(c % 71 != 6, _pick(c % 25, special, 4000 + c % 25)).cast("int").alias("sch"),
+        F.expr(f"CASE WHEN c_custkey % 71 <> 6 THEN {_lookup('c_custkey % 25', merged)} END").alias(
+            "sch"
+        ),
         F.concat(F.lit("Campus "), (c % 10).cast("string")).alias("new_schname"),
         (5000 + c % 10).cast("int").alias("new_sch"),
     )
