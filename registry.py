@@ -12,6 +12,7 @@ from roomledger.functions.calendar import school_year
 from roomledger.functions.grades import grade_label, grade_number
 from roomledger.operators import cells, enrollment, errors, metrics, publish, refdata, reports, rooms
 from roomledger.plans.district import District
+from roomledger.plans.staging import Staging
 from roomledger.sources import inputs, star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,7 +297,7 @@ def q_mode_grade(spark, sf_dir):
 
 @query
 def q_student_errors(spark, sf_dir):
-    return _district(spark, sf_dir).student_errors()
+    return _district(spark, sf_dir).student_errors(Staging.of(spark))
 
 
 # -- reports ------------------------------------------------------------------
@@ -326,10 +327,12 @@ def q_school_report(spark, sf_dir):
 
 @query
 def q_manifest(spark, sf_dir):
-    district = _district(spark, sf_dir)
-    report = reports.report_rows(district.report_rooms(), district.capacities())
+    district, staging = _district(spark, sf_dir), Staging.of(spark)
+    found = staging.keep(district.report_rooms(trace_errors=True), "rooms")
+    codes = staging.keep(district.error_codes(found), "error_codes")
+    report = reports.report_rows(found, district.capacities())
     students = reports.student_list(district.enrolled(), district.inputs.school_names)
-    return publish.manifest(students, report, district.misplaced_students(), "schools", RULES)
+    return publish.manifest(students, report, district.misplaced_students(codes), "schools", RULES)
 
 
 @query
@@ -339,4 +342,4 @@ def q_history_report(spark, sf_dir):
 
 @query
 def q_history_errors(spark, sf_dir):
-    return _district(spark, sf_dir, star.HISTORY_DAYS).student_errors()
+    return _district(spark, sf_dir, star.HISTORY_DAYS).student_errors(Staging.of(spark))

@@ -21,4 +21,4 @@ def school_year(day: Column) -> Column:
 def birth_date(text: Column) -> Column:
     """Month/day/year text, padded or not, with anything after it ignored; NULL if not a date."""
     day = F.replace(F.regexp_extract(text, BIRTH_DATE_TEXT, 1), F.lit(" "), F.lit(""))
-    return F.try_to_date(day, "M/d/y")
+    return F.when(day != "", F.try_to_date(day, "M/d/y"))

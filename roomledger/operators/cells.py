@@ -29,8 +29,12 @@ COUNTS = (*(f"eld{n}" for n in ELD_LEVELS), "snCount", "otherIEP")
 
 
 def iep_level(sncode: Column) -> Column:
-    """Level digit of a special-education code; NULL when it is not a digit."""
-    return F.substring(sncode, 2, 1).try_cast("int")
+    """Level digit of a special-education code; NULL when it is not a digit.
+
+    Tested first: a tolerant cast would raise and catch an exception per blank code.
+    """
+    digit = F.substring(sncode, 2, 1)
+    return F.when(digit.between("0", "9"), digit.cast("int"))
 
 
 def program_type_key(prgmtype: Column) -> Column:

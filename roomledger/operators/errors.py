@@ -9,6 +9,7 @@ from roomledger.config import Rules
 from roomledger.functions.nulls import has_pattern, one_of, same
 from roomledger.operators.cells import CODE
 from roomledger.operators.enrollment import decode_program, in_scope, with_program_code
+from roomledger.operators.metrics import with_real_code
 from roomledger.operators.rooms import with_school_name
 
 
@@ -74,6 +75,7 @@ def misplaced_students(
 
     A student appears once per tied dominant group, as many times as the group
     occurs; those repeats are made after the filter, not carried through the join.
+    Students without a real code are left out at the scan.
     """
     own, dominant = F.col("classtype"), F.col("dominant_type")
     regular_guest = (dominant == "Gen Ed") & (own == "Inclusion")
@@ -84,7 +86,8 @@ def misplaced_students(
         .otherwise("Program or School Error")
     )
     flagged = (
-        enrolled.join(codes, [*CODE], "inner")
+        with_real_code(enrolled)
+        .join(codes, [*CODE], "inner")
         .where(F.col("sch") != rules.multigrade_school)
         .withColumn("error_flag", flag)
         .where(F.col("error_flag").isNotNull())

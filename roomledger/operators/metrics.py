@@ -81,18 +81,24 @@ def with_sped_share(rooms: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
+def with_real_code(rows: DataFrame) -> DataFrame:
+    """Rows whose homeroom code stands for a room; unassigned students have none."""
+    code = F.col("homeroom")
+    return rows.where((code != "") & ~code.contains("000"))
+
+
 def real_rooms(rooms: DataFrame, rules: Rules) -> DataFrame:
     """Leave out rooms that exist only on paper.
 
     The conditions on the homeroom code are pushed down to the snapshot scan, so
     unassigned students never reach a shuffle of the room reports.
     """
-    total, code, program = F.col("totalStudents"), F.col("homeroom"), F.col("prgm")
+    total, program = F.col("totalStudents"), F.col("prgm")
     general = F.col("gened") + F.col("sei") + F.col("bilingual")
     tiny_regular = (general <= 5) & one_of(program, ("Reg Ed", "ELL"))
     tiny_sped = (total <= 2) & (program == "SPED") & (F.col("sch") != rules.small_sped_school)
     return (
-        rooms.where((code != "") & ~code.contains("000"))
+        with_real_code(rooms)
         .where((total < 40) & (total != 1))
         .where(~tiny_regular & ~tiny_sped)
     )

@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomledger.config import Rules
-from roomledger.operators.reports import in_order
+from roomledger.operators.reports import (
+    REPORT_ORDER,
+    SCHOOL_REPORT_COLUMNS,
+    in_order,
+    school_rows,
+    title_columns,
+)
 
 SCHOOL_TABS = ("homeroom_report", "student_list", "student_errors")
 
@@ -60,6 +66,15 @@ def manifest(
     )
 
 
+def school_tab(report: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """The school report as published, with its sort keys kept apart as ``key_*`` columns."""
+    keys = [F.col(c).alias(f"key_{c}") for c in REPORT_ORDER]
+    rows = school_rows(report).select(
+        "snapshot_date", "sch", *title_columns(SCHOOL_REPORT_COLUMNS), *keys
+    )
+    return rows, tuple(f"key_{c}" for c in REPORT_ORDER)
+
+
 def write_by_day(rows: DataFrame, path: str, day: str = "snapshot_date") -> None:
     """Replace the days present in ``rows`` and leave other days of the table alone."""
     (

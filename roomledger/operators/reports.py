@@ -129,11 +129,14 @@ def report_rows(rooms: DataFrame, capacities: DataFrame) -> DataFrame:
     return listed.select("snapshot_date", *REPORT_COLUMNS, "groups", "minGradenum")
 
 
+def title_columns(columns: tuple[str, ...]) -> list[Column]:
+    """Published titles, led by the day the report is of."""
+    updated = F.date_format("snapshot_date", "yyyy-MM-dd").alias("report_updated")
+    return [updated, *[F.col(c).alias(REPORT_TITLES.get(c, c)) for c in columns]]
+
+
 def titled(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    return rows.select(
-        F.date_format("snapshot_date", "yyyy-MM-dd").alias("report_updated"),
-        *[F.col(c).alias(REPORT_TITLES.get(c, c)) for c in columns],
-    )
+    return rows.select(*title_columns(columns))
 
 
 def district_report(rooms: DataFrame, capacities: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from roomledger.config import Rules
 from roomledger.operators import cells, enrollment, errors, metrics, refdata, reports, rooms
+from roomledger.plans.staging import Staging
 from roomledger.sources import Inputs
 
 
@@ -79,8 +80,13 @@ class District:
     def error_codes(self, traced_rooms: DataFrame | None = None) -> DataFrame:
         return errors.error_codes(self.error_rooms(traced_rooms))
 
-    def misplaced_students(self, traced_rooms: DataFrame | None = None) -> DataFrame:
-        codes = self.error_codes(traced_rooms)
+    def misplaced_students(self, codes: DataFrame) -> DataFrame:
+        """Students to check under the given :meth:`error_codes`.
+
+        Pass codes that have been staged: the planner then knows how few they are
+        and filters students where they are read.  With unstaged codes it has to
+        shuffle every student before it can know.
+        """
         return errors.misplaced_students(
             self.enrolled(), codes, self.inputs.school_names, self.rules
         )
@@ -104,5 +110,6 @@ class District:
     def school_report(self) -> DataFrame:
         return reports.school_report(self.report_rooms(), self.capacities())
 
-    def student_errors(self) -> DataFrame:
-        return reports.student_errors(self.misplaced_students())
+    def student_errors(self, staging: Staging) -> DataFrame:
+        codes = staging.keep(self.error_codes(), "error_codes")
+        return reports.student_errors(self.misplaced_students(codes))

@@ -1,15 +1,13 @@
 """The whole job: every published table for a set of snapshot days.
 
-    spark-submit -m style:  run(spark, inputs, "s3a://.../reports")
-
-The report rooms are computed once and written as a table; all room reports and
-the error search read that table.  Students are read once more for the student
-list and once for the errors.
+The report rooms are computed once and staged; all room reports and the error
+search read that table.  Students are read once more for the student list and
+once for the errors.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,32 +16,21 @@ from pyspark.sql import functions as F
 from roomledger.config import Rules
 from roomledger.operators import publish, reports
 from roomledger.plans.district import District
+from roomledger.plans.staging import Staging
 from roomledger.sources import Inputs
 
 
-def staging_path(spark: SparkSession, out_dir: str) -> str:
-    """The cluster's shared checkpoint folder, or a folder next to the outputs if unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or out_dir + '/_stage'}/roomledger-{uuid.uuid4().hex}"
-
-
-def staged(rows: DataFrame, path: str) -> DataFrame:
-    """Write once and read back: later stages survive lost executors without recomputing."""
-    rows.write.mode("errorifexists").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def run(
     spark: SparkSession, inputs: Inputs, out_dir: str, rules: Rules | None = None
 ) -> dict[str, str]:
     """Publish everything under ``out_dir``; returns table name -> path.
 
-    Tables with student rows go under ``students/`` and ``schools/`` so access to
-    them can be limited apart from ``district/``.
+    A rerun replaces the days it covers and leaves others alone.  Tables with
+    student rows go under ``students/`` and ``schools/`` so access to them can be
+    limited apart from ``district/``.
     """
-    district = District(inputs, rules or Rules())
-    rules = district.rules
-    stage = staging_path(spark, out_dir)
+    rules = rules or Rules()
+    district, staging = District(inputs, rules), Staging.of(spark)
     paths = {
         "student_list": f"{out_dir}/students/student_list",
         "student_errors": f"{out_dir}/students/student_errors",
@@ -54,56 +41,53 @@ def run(
         "schools": f"{out_dir}/schools",
     }
 
-    rooms = staged(district.report_rooms(trace_errors=True), f"{stage}/rooms")
-    errors = staged(district.misplaced_students(rooms), f"{stage}/errors")
-    report = staged(reports.report_rows(rooms, district.capacities()), f"{stage}/report")
-    students = reports.student_list(district.enrolled(), inputs.school_names)
-
-    def day_table(rows: DataFrame, name: str, order: tuple[str, ...], *dropped: str) -> None:
-        publish.write_by_day(
-            rows.orderBy(*reports.in_order(*order)).drop(*dropped), paths[name]
-        )
+    rooms = staging.keep(district.report_rooms(trace_errors=True), "rooms")
+    codes = staging.keep(district.error_codes(rooms), "error_codes")
+    errors = staging.keep(district.misplaced_students(codes), "errors")
+    report = staging.keep(reports.report_rows(rooms, district.capacities()), "report")
 
-    day_table(students, "student_list", reports.STUDENT_LIST_ORDER, "gradenum")
-    day_table(errors, "student_errors", reports.ERROR_ORDER)
     publish.write_by_day(reports.capacity_sheet(rooms), paths["capacity_sheet"])
-    district_rows = reports.titled(
-        report.orderBy(*reports.in_order(*reports.REPORT_ORDER)), reports.REPORT_COLUMNS
-    )
-    publish.write_by_day(district_rows, paths["homeroom_report"], "report_updated")
-    publish.write_csv_by_day(district_rows, paths["homeroom_report_csv"])
-
-    written = spark.read.parquet(paths["student_list"]).join(
-        report.select("snapshot_date").distinct(), "snapshot_date", "left_semi"
-    )
-    tabs = {
-        "homeroom_report": (reports.school_rows(report), reports.REPORT_ORDER),
-        "student_list": (students, reports.STUDENT_LIST_ORDER),
-        "student_errors": (errors, reports.ERROR_ORDER),
-    }
-    for tab in publish.SCHOOL_TABS:
-        rows, order = tabs[tab]
-        own = publish.published_schools(rows, rules)
-        if tab == "homeroom_report":
-            own = own.select(
-                "snapshot_date",
-                "sch",
-                F.date_format("snapshot_date", "yyyy-MM-dd").alias("report_updated"),
-                *reports.SCHOOL_REPORT_COLUMNS[1:],
-                "groups",
-                "minGradenum",
-            )
-        publish.write_by_school(
-            own, f"{paths['schools']}/{tab}", order, *(["gradenum"] if tab == "student_list" else [])
-        )
+    publish.write_by_day(reports.student_errors(errors), paths["student_errors"])
+    _write_district_report(report, paths)
+
+    students = reports.student_list(district.enrolled(), inputs.school_names)
+    order = reports.STUDENT_LIST_ORDER
+    publish.write_by_school(students, paths["student_list"], order, "gradenum")
+    written = _same_days(spark.read.parquet(paths["student_list"]), students)
+
+    def own_schools(rows: DataFrame, tab: str, order: tuple[str, ...], *dropped: str) -> None:
+        published = publish.published_schools(rows, rules)
+        publish.write_by_school(published, f"{paths['schools']}/{tab}", order, *dropped)
+
+    tab, keys = publish.school_tab(report)
+    own_schools(tab, "homeroom_report", keys, "sch", *keys)
+    own_schools(students, "student_list", order, "gradenum")
+    own_schools(errors, "student_errors", reports.ERROR_ORDER)
     listing = publish.manifest(written, report, errors, paths["schools"], rules)
     publish.write_by_day(listing, paths["manifest"])
     return paths
 
 
 def run_days(
-    spark: SparkSession, inputs: Inputs, out_dir: str, days: list[str], rules: Rules | None = None
+    spark: SparkSession,
+    inputs: Inputs,
+    out_dir: str,
+    days: Iterable[str],
+    rules: Rules | None = None,
 ) -> dict[str, str]:
     """Run for some days of a snapshot history; the filter prunes day partitions."""
-    wanted = F.col("snapshot_date").isin(*[F.lit(d).cast("date") for d in days])
+    wanted = F.col("snapshot_date").isin(*[F.lit(str(d)).cast("date") for d in days])
     return run(spark, replace(inputs, students=inputs.students.where(wanted)), out_dir, rules)
+
+
+def _write_district_report(report: DataFrame, paths: dict[str, str]) -> None:
+    ordered = report.orderBy(*reports.in_order(*reports.REPORT_ORDER))
+    titled = reports.titled(ordered, reports.REPORT_COLUMNS)
+    publish.write_by_day(titled, paths["homeroom_report"], "report_updated")
+    publish.write_csv_by_day(titled, paths["homeroom_report_csv"])
+
+
+def _same_days(written: DataFrame, students: DataFrame) -> DataFrame:
+    """The days of this run out of a table that may hold earlier ones."""
+    days = students.select("snapshot_date").distinct()
+    return written.join(days, "snapshot_date", "left_semi")
