@@ -152,7 +152,7 @@ def q_cells(spark, sf_dir):
 
 @query
 def q_classtype_max(spark, sf_dir):
-    return rooms.class_type_max(_district(spark, sf_dir).cells())
+    return rooms.class_type_max(_district(spark, sf_dir).room_totals())
 
 
 @query

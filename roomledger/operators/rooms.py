@@ -18,47 +18,62 @@ from roomledger.operators.cells import (
 from roomledger.operators.enrollment import with_month_span
 
 
+def with_room_context(cells: DataFrame) -> DataFrame:
+    """Put on each cell what its room and its homeroom code share.
+
+    ``type_n``    students of the room with the cell's class type and SEI flag
+    ``room_n``    the largest such group of the room
+    ``spans``     the room's distinct age spreads; several only for merged campuses
+    ``leaders``   the largest groups of all rooms of the code
+    ``code_n``    the largest group under the code
+    ``dominant``  the groups of that size
+
+    The windows share one sort.  Lists are as long as the number of schools that
+    use a code in a snapshot, never the number of students.
+    """
+    group = F.struct("sch", "classtype", "seiFlag")
+    room, code = Window.partitionBy(*ROOM), Window.partitionBy(*CODE)
+    counted = with_type_total(cells).withColumns(
+        {
+            "room_n": F.max("type_n").over(room),
+            "spans": F.collect_set(F.struct("dobDaySpan")).over(room),
+        }
+    )
+    leads_room = F.when(F.col("type_n") == F.col("room_n"), group)
+    with_leaders = counted.withColumns(
+        {
+            "leaders": F.collect_set(leads_room).over(code),
+            "code_n": F.max("type_n").over(code),
+        }
+    )
+    leads_code = F.when(F.col("type_n") == F.col("code_n"), group)
+    return with_leaders.withColumn("dominant", F.collect_set(leads_code).over(code))
+
+
 def with_leading_types(cells: DataFrame) -> DataFrame:
     """Name the leading class types of each homeroom code, joined with ``+``.
 
     The largest groups of a room lead it.  Where one homeroom code has several
     leading groups (in one room, or in rooms of several schools) Gen Ed and
     undecoded groups give way.  All rooms of the code that still have a leading
-    group share the text.  A code's list is as long as the number of schools
-    using the code in that snapshot, never the number of students.
+    group (``leads``) share the text.
     """
-    room, code = Window.partitionBy(*ROOM), Window.partitionBy(*CODE)
-    counted = with_type_total(cells)
-    largest = counted.withColumn(
-        "largest", F.col("type_n") == F.max("type_n").over(room)
-    ).withColumn("leaders", F.collect_set(F.when(F.col("largest"), _group())).over(code))
     alone = F.size("leaders") == 1
-    specific = F.filter("leaders", lambda g: g["classtype"] != "Gen Ed")
-    kept = F.array_sort(F.when(alone, F.col("leaders")).otherwise(specific))
-    text = F.array_join(F.transform(kept, lambda g: F.coalesce(g["classtype"], F.lit("NA"))), " + ")
-    leads = F.col("largest") & (alone | (F.col("classtype") != "Gen Ed"))
-    return largest.withColumn("maxClasstype", F.when(leads, text)).drop("largest", "leaders")
-
 
-def _group() -> Column:
-    return F.struct("sch", "classtype", "seiFlag")
+    def shown(class_type: Column) -> Column:
+        return F.coalesce(class_type, F.lit("NA"))
 
-
-def with_dominant_types(counted: DataFrame) -> DataFrame:
-    """Class types of the largest groups under a homeroom code, over all its schools."""
-    code = Window.partitionBy(*CODE)
-    largest = F.col("type_n") == F.col("code_max")
-    return (
-        counted.withColumn("code_max", F.max("type_n").over(code))
-        .withColumn("dominant", F.collect_set(F.when(largest, _group())).over(code))
-        .drop("code_max")
-    )
+    specific = F.filter("leaders", lambda g: g["classtype"] != "Gen Ed")
+    names = F.transform(F.sort_array(specific), lambda g: shown(g["classtype"]))
+    only = shown(F.get("leaders", F.lit(0))["classtype"])
+    text = F.when(alone, only).otherwise(F.array_join(names, " + "))
+    leads = (F.col("type_n") == F.col("room_n")) & (alone | (F.col("classtype") != "Gen Ed"))
+    return cells.withColumns({"code_type": text, "leads": leads.cast("int")})
 
 
-def class_type_max(cells: DataFrame) -> DataFrame:
+def class_type_max(rooms: DataFrame) -> DataFrame:
     """The leading class type of each room that has one."""
-    named = with_leading_types(cells).where(F.col("maxClasstype").isNotNull())
-    return named.groupBy(*ROOM).agg(F.max("maxClasstype").alias("maxClasstype"))
+    return rooms.where(F.col("maxClasstype").isNotNull()).select(*ROOM, "maxClasstype")
 
 
 def sei_max(counts: DataFrame, rules: Rules) -> DataFrame:
@@ -83,39 +98,35 @@ def sei_max(counts: DataFrame, rules: Rules) -> DataFrame:
 def room_totals(cells: DataFrame) -> DataFrame:
     """One row per room: counts, grade range and leading type.
 
-    ``spans`` holds the room's distinct age spreads, more than one only where
-    campuses were merged.  Rows arrive sorted by room from the windows, and the
-    aggregate keeps no collected values of its own, so it streams over them.
+    Texts and lists that are the same for all cells of a room are grouping keys,
+    so only numbers are aggregated and the hash aggregate stays in generated code.
     """
-    room = Window.partitionBy(*ROOM)
-    spread = F.collect_set(F.struct("dobDaySpan")).over(room)
-    named = with_leading_types(with_campus_span(cells)).withColumn("spans", spread)
-    shared = ["spans"]
+    named = with_leading_types(with_room_context(with_campus_span(cells)))
+    shared = ["code_type", "spans"]
     if "mode_grade" in cells.columns:
-        named = with_dominant_types(named)
         shared += ["mode_grade", "dominant"]
 
     def of_type(name: str) -> Column:
         return F.sum(F.when(F.col("program_type") == name, F.col("n")).otherwise(0)).alias(name)
 
     all_known = F.sum("grades_known") == F.sum("n")
-    rooms = named.groupBy(*ROOM).agg(
+    rooms = named.groupBy(*ROOM, *shared).agg(
         F.sum("n").alias("totalStudents"),
         *[of_type(name) for name in PROGRAM_TYPES],
         *[F.sum(c).alias(c) for c in COUNTS],
         F.when(all_known, F.min("low")).alias("minGradenum"),
         F.when(all_known, F.max("high")).alias("maxGradenum"),
-        F.max("maxClasstype").alias("maxClasstype"),
-        *[F.first(c).alias(c) for c in shared],
+        F.max("leads").alias("led"),
     )
     return rooms.withColumns(
         {
+            "maxClasstype": F.when(F.col("led") == 1, F.col("code_type")),
             "noIEP": F.col("totalStudents") - F.col("snCount"),
             "minGrade": grade_label(F.col("minGradenum")),
             "maxGrade": grade_label(F.col("maxGradenum")),
             "grade": grade_range(F.col("minGradenum"), F.col("maxGradenum")),
         }
-    )
+    ).drop("led", "code_type")
 
 
 def classified(rooms: DataFrame) -> DataFrame:

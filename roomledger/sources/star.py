@@ -264,7 +264,8 @@ def star_inputs(
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     customer = table("customer")
-    literal = {name: spark.sql(query) for name, query in LITERAL_TABLES.items()}
+    # A dozen to a few hundred fixed rows: one partition needs no shuffle to be grouped.
+    literal = {name: spark.sql(query).coalesce(1) for name, query in LITERAL_TABLES.items()}
     return Inputs(
         students=student_snapshots(table("orders"), days),
         homeroom_crosswalk=homeroom_crosswalk(customer),

@@ -13,6 +13,16 @@ from roomledger.plans.staging import Staging
 from tests.cases import inputs, students_of, table
 
 
+@pytest.fixture(autouse=True, scope="module")
+def small_plans(spark):
+    """A handful of rows needs neither partitions nor replanning."""
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def one(df, **where):
     for name, value in where.items():
         df = df.where(F.col(name).eqNullSafe(value))
@@ -63,7 +73,7 @@ def test_program_code_missing_on_both_sides_matches(spark):
 def leading(spark, *groups):
     d = district(spark, *groups)
     return {(r["sch"], r["homeroom"]): r["maxClasstype"]
-            for r in rooms.class_type_max(d.cells()).collect()}
+            for r in rooms.class_type_max(d.room_totals()).collect()}
 
 
 def test_general_education_gives_way_in_a_tie(spark):
