@@ -44,10 +44,10 @@ def program_type_key(prgmtype: Column) -> Column:
 
 def student_cells(students: DataFrame, rules: Rules, *extra_keys: str) -> DataFrame:
     """Counts and extremes per room as enrolled (before campus merging) and program code."""
-    born = birth_date(F.col("dob"))
-    eld = F.col("mostrecenteld")
+    born, eld = F.col("born"), F.col("mostrecenteld")
     return (
         with_program_code(in_scope(students, rules), rules)
+        .withColumn("born", birth_date(F.col("dob")))
         .groupBy("snapshot_date", "sch", "homeroom", "programcode", *extra_keys)
         .agg(
             F.count(F.lit(1)).alias("n"),

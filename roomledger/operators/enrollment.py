@@ -36,10 +36,12 @@ def dob_span(students: DataFrame, rules: Rules) -> DataFrame:
 
     A room with any unreadable birth date has no spread.
     """
-    born = birth_date(F.col("dob"))
-    days = F.datediff(F.max(born), F.min(born))
-    spans = students.groupBy("snapshot_date", "sch", "homeroom").agg(
-        F.when(F.count(born) == F.count(F.lit(1)), days).alias("dobDaySpan")
+    born = students.select(
+        "snapshot_date", "sch", "homeroom", birth_date(F.col("dob")).alias("born")
+    )
+    days = F.datediff(F.max("born"), F.min("born"))
+    spans = born.groupBy("snapshot_date", "sch", "homeroom").agg(
+        F.when(F.count("born") == F.count(F.lit(1)), days).alias("dobDaySpan")
     )
     return with_month_span(spans, rules)
 

@@ -159,9 +159,10 @@ def student_snapshots(orders: DataFrame, days: tuple[str, ...] = (SNAPSHOT_DAY,)
             " AS mostrecenteld",
             "CASE WHEN k % 4 = 0 THEN concat('S', k % 3 + 1) WHEN k % 7 = 0 THEN '' END AS sncode",
             f"{_lookup('k % 4', LANGUAGES)} AS firstlang",
-            "CASE WHEN k % 500 = 3 THEN '' ELSE concat(date_format(born,"
-            " CASE WHEN k % 11 = 0 THEN 'MM/dd/yyyy' ELSE 'M/d/yyyy' END),"
-            " CASE WHEN k % 13 = 0 THEN ' 00:00:00' ELSE '' END) END AS dob",
+            "CASE WHEN k % 500 = 3 THEN '' ELSE concat("
+            "CASE WHEN k % 11 = 0 AND month(born) < 10 THEN '0' ELSE '' END, month(born), '/', "
+            "CASE WHEN k % 11 = 0 AND day(born) < 10 THEN '0' ELSE '' END, day(born), '/', "
+            "year(born), CASE WHEN k % 13 = 0 THEN ' 00:00:00' ELSE '' END) END AS dob",
         )
     )
 
