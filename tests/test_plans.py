@@ -42,8 +42,10 @@ def district(spark, snapshots):
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
-def test_no_python_and_no_products(spark, name):
-    text = plan(registry.QUERIES[name](spark, SF_DIR))
+def test_no_python_no_products_no_broadcast_hints(spark, name):
+    df = registry.QUERIES[name](spark, SF_DIR)
+    assert "ResolvedHint (strategy=broadcast" not in df._jdf.queryExecution().logical().toString()
+    text = plan(df)
     assert not re.search(r"Python|Pandas|Arrow", text)
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", text)
 
@@ -111,12 +113,6 @@ def test_large_error_codes_are_shuffled_not_broadcast(spark, district, tmp_path)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_nothing_is_broadcast_by_hint(spark):
-    for name, query in registry.QUERIES.items():
-        text = query(spark, SF_DIR)._jdf.queryExecution().logical().toString()
-        assert "ResolvedHint (strategy=broadcast" not in text, name
-
-
 def test_results_do_not_depend_on_partitions_or_input_order(spark, district):
     from dataclasses import replace
 
