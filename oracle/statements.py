@@ -358,10 +358,12 @@ QUERIES = {
     "q_school_directory": """SELECT f.folder_id, f.name, substr(f.name, 33, 38) AS new_schname,
         n.sch, n.schname FROM folder_listing f
         LEFT JOIN school_names n ON substr(f.name, 33, 38) = n.new_schname""",
+    "q_class_types": "SELECT DISTINCT snapshot_date, classtype FROM enrollment",
+    "q_school_list": "SELECT DISTINCT snapshot_date, sch FROM enrollment WHERE sch <> 1290",
     "q_manifest": """
         SELECT s.snapshot_date, s.sch, s.students, coalesce(r.rooms, 0) AS rooms,
                coalesce(e.errors, 0) AS errors,
-               'schools/homeroom_report/snapshot_date=' || s.snapshot_date || '/school=' || s.sch
+               'schools/room_report/snapshot_date=' || s.snapshot_date || '/school=' || s.sch
                    AS location
         FROM (SELECT snapshot_date, sch, count(*) AS students FROM student_list
               WHERE sch <> 1290 GROUP BY ALL) AS s

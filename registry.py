@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from roomledger.config import PROGRAM_TYPES, Rules
 from roomledger.functions.calendar import school_year
 from roomledger.functions.grades import grade_label, grade_number
-from roomledger.operators import cells, enrollment, errors, metrics, publish, refdata, reports, rooms
+from roomledger.operators import cells, enrollment, metrics, publish, refdata, reports, rooms
 from roomledger.plans.district import District
 from roomledger.plans.staging import Staging
 from roomledger.sources import inputs, star
@@ -178,6 +178,11 @@ def q_grade_range(spark, sf_dir):
     return totals.select(*ROOM, "minGradenum", "maxGradenum", "minGrade", "maxGrade", "grade")
 
 
+@query
+def q_class_types(spark, sf_dir):
+    return _district(spark, sf_dir).known_types()
+
+
 # -- rooms --------------------------------------------------------------------
 
 
@@ -325,11 +330,17 @@ def q_school_report(spark, sf_dir):
     return reports.school_report(own, district.capacities())
 
 
+@query
+def q_school_list(spark, sf_dir):
+    return publish.schools(_district(spark, sf_dir).enrolled(), RULES)
+
+
 @query
 def q_manifest(spark, sf_dir):
     district, staging = _district(spark, sf_dir), Staging.of(spark)
     found = staging.keep(district.report_rooms(trace_errors=True), "rooms")
-    codes = staging.keep(district.error_codes(found), "error_codes")
+    types = staging.keep(district.known_types(), "known_types")
+    codes = staging.keep(district.error_codes(found, types), "error_codes")
     report = reports.report_rows(found, district.capacities())
     students = reports.student_list(district.enrolled(), district.inputs.school_names)
     return publish.manifest(students, report, district.misplaced_students(codes), "schools", RULES)

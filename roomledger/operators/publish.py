@@ -14,7 +14,7 @@ from roomledger.operators.reports import (
     title_columns,
 )
 
-SCHOOL_TABS = ("homeroom_report", "student_list", "student_errors")
+SCHOOL_TABS = ("room_report", "student_list", "student_errors")
 
 
 def published_schools(rows: DataFrame, rules: Rules) -> DataFrame:

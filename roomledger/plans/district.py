@@ -72,13 +72,20 @@ class District:
 
     # -- errors -------------------------------------------------------------
 
-    def error_rooms(self, traced_rooms: DataFrame | None = None) -> DataFrame:
-        types = errors.known_types(self.inputs.students, self.inputs.program_codes, self.rules)
+    def known_types(self) -> DataFrame:
+        return errors.known_types(self.inputs.students, self.inputs.program_codes, self.rules)
+
+    def error_rooms(
+        self, traced_rooms: DataFrame | None = None, types: DataFrame | None = None
+    ) -> DataFrame:
+        """Rooms in error, from given (staged) rooms and types or worked out on the way."""
         found = self.report_rooms(trace_errors=True) if traced_rooms is None else traced_rooms
-        return errors.error_rooms(found, types, self.rules)
+        return errors.error_rooms(found, self.known_types() if types is None else types, self.rules)
 
-    def error_codes(self, traced_rooms: DataFrame | None = None) -> DataFrame:
-        return errors.error_codes(self.error_rooms(traced_rooms))
+    def error_codes(
+        self, traced_rooms: DataFrame | None = None, types: DataFrame | None = None
+    ) -> DataFrame:
+        return errors.error_codes(self.error_rooms(traced_rooms, types))
 
     def misplaced_students(self, codes: DataFrame) -> DataFrame:
         """Students to check under the given :meth:`error_codes`.

@@ -34,15 +34,16 @@ def run(
     paths = {
         "student_list": f"{out_dir}/students/student_list",
         "student_errors": f"{out_dir}/students/student_errors",
-        "homeroom_report": f"{out_dir}/district/homeroom_report",
-        "homeroom_report_csv": f"{out_dir}/district/homeroom_report_csv",
+        "room_report": f"{out_dir}/district/room_report",
+        "room_report_csv": f"{out_dir}/district/room_report_csv",
         "capacity_sheet": f"{out_dir}/district/capacity_sheet",
         "manifest": f"{out_dir}/district/manifest",
         "schools": f"{out_dir}/schools",
     }
 
     rooms = staging.keep(district.report_rooms(trace_errors=True), "rooms")
-    codes = staging.keep(district.error_codes(rooms), "error_codes")
+    types = staging.keep(district.known_types(), "known_types")
+    codes = staging.keep(district.error_codes(rooms, types), "error_codes")
     errors = staging.keep(district.misplaced_students(codes), "errors")
     report = staging.keep(reports.report_rows(rooms, district.capacities()), "report")
 
@@ -60,7 +61,7 @@ def run(
         publish.write_by_school(published, f"{paths['schools']}/{tab}", order, *dropped)
 
     tab, keys = publish.school_tab(report)
-    own_schools(tab, "homeroom_report", keys, "sch", *keys)
+    own_schools(tab, "room_report", keys, "sch", *keys)
     own_schools(students, "student_list", order, "gradenum")
     own_schools(errors, "student_errors", reports.ERROR_ORDER)
     listing = publish.manifest(written, report, errors, paths["schools"], rules)
@@ -83,8 +84,8 @@ def run_days(
 def _write_district_report(report: DataFrame, paths: dict[str, str]) -> None:
     ordered = report.orderBy(*reports.in_order(*reports.REPORT_ORDER))
     titled = reports.titled(ordered, reports.REPORT_COLUMNS)
-    publish.write_by_day(titled, paths["homeroom_report"], "report_updated")
-    publish.write_csv_by_day(titled, paths["homeroom_report_csv"])
+    publish.write_by_day(titled, paths["room_report"], "report_updated")
+    publish.write_csv_by_day(titled, paths["room_report_csv"])
 
 
 def _same_days(written: DataFrame, students: DataFrame) -> DataFrame:

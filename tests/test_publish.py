@@ -20,8 +20,8 @@ def published(spark, tmp_path_factory):
 
 def test_district_tables(spark, published):
     _, paths = published
-    report = spark.read.parquet(paths["homeroom_report"])
-    csv = spark.read.option("header", True).csv(paths["homeroom_report_csv"])
+    report = spark.read.parquet(paths["room_report"])
+    csv = spark.read.option("header", True).csv(paths["room_report_csv"])
     assert report.count() == csv.count() > 0
     assert "School Code" in report.columns and "School Code" in csv.columns
     assert spark.read.parquet(paths["capacity_sheet"]).count() > 0
@@ -36,7 +36,7 @@ def test_student_tables_are_kept_apart(published):
 def test_school_tabs(spark, published):
     _, paths = published
     students = spark.read.parquet(f"{paths['schools']}/student_list")
-    report = spark.read.parquet(f"{paths['schools']}/homeroom_report")
+    report = spark.read.parquet(f"{paths['schools']}/room_report")
     schools = {r["school"] for r in students.select("school").distinct().collect()}
     assert 1290 not in schools and len(schools) > 10
     assert report.where("school <> `School Code`").count() == 0
@@ -61,12 +61,12 @@ def test_manifest_lists_what_was_written(spark, published):
             r["school"]: r["count"]
             for r in spark.read.parquet(f"{paths['schools']}/{tab}").groupBy("school").count().collect()
         }
-        for tab in ("homeroom_report", "student_list", "student_errors")
+        for tab in ("room_report", "student_list", "student_errors")
     }
     assert len(listing) == len(counts["student_list"])
     for row in listing:
         assert row["students"] == counts["student_list"][row["sch"]]
-        assert row["rooms"] == counts["homeroom_report"].get(row["sch"], 0)
+        assert row["rooms"] == counts["room_report"].get(row["sch"], 0)
         assert row["errors"] == counts["student_errors"].get(row["sch"], 0)
         if row["rooms"]:
             assert Path(row["location"]).is_dir()
@@ -88,7 +88,7 @@ def test_rerun_replaces_only_its_days(spark, tmp_path):
     first = job.run_days(spark, inputs, out, HISTORY_DAYS[:2])
 
     def report():
-        df = spark.read.parquet(first["homeroom_report"])
+        df = spark.read.parquet(first["room_report"])
         return {str(r[0]): r[1] for r in df.groupBy("report_updated").count().collect()}
 
     before = report()

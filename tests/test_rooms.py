@@ -390,7 +390,7 @@ def test_wrong_grade_in_a_regular_room(spark):
     ]
 
 
-def test_montessori_school_is_never_flagged(spark):
+def test_multigrade_school_is_never_flagged(spark):
     assert flagged(spark, (6, {"gradenum": 3, "sch": 4321}), (2, {"gradenum": 4, "sch": 4321})) == []
 
 
