@@ -291,7 +291,7 @@ def q_error_rooms(spark, sf_dir):
 @query
 def q_dominant_types(spark, sf_dir):
     codes = _district(spark, sf_dir).error_codes()
-    return codes.select(*cells.CODE, F.col("dominant_type").alias("classtype"), "copies")
+    return codes.select(*cells.CODE, F.col("dominant_type").alias("classtype"), F.col("copies").cast("bigint").alias("copies"))
 
 
 @query

@@ -60,11 +60,8 @@ def error_codes(rooms_in_error: DataFrame) -> DataFrame:
     codes = rooms_in_error.groupBy(*CODE).agg(
         F.first("mode_grade").alias("mode_grade"), F.first("dominant").alias("dominant")
     )
-    return (
-        codes.select(*CODE, "mode_grade", F.explode("dominant").alias("group"))
-        .withColumn("dominant_type", F.col("group.classtype"))
-        .groupBy(*CODE, "dominant_type")
-        .agg(F.first("mode_grade").alias("mode_grade"), F.count(F.lit(1)).alias("copies"))
+    return codes.select(*CODE, "mode_grade", F.inline("dominant")).withColumnRenamed(
+        "classtype", "dominant_type"
     )
 
 

@@ -18,18 +18,17 @@ from roomledger.operators.cells import (
 from roomledger.operators.enrollment import with_month_span
 
 
-def with_room_context(cells: DataFrame) -> DataFrame:
-    """Put on each cell what its room and its homeroom code share.
-
-    ``type_n``    students of the room with the cell's class type and SEI flag
-    ``room_n``    the largest such group of the room
-    ``spans``     the room's distinct age spreads; several only for merged campuses
-    ``leaders``   the largest groups of all rooms of the code
-    ``code_n``    the largest group under the code
-    ``dominant``  the groups of that size
-
-    The windows share one sort.  Lists are as long as the number of schools that
-    use a code in a snapshot, never the number of students.
+def with_leading_types(cells: DataFrame) -> DataFrame:
+    """Name the leading class types of each homeroom code, joined with ``+``.
+
+    The largest groups of a room lead it.  Where one homeroom code has several
+    leading groups (in one room, or in rooms of several schools) Gen Ed and
+    undecoded groups give way.  All rooms of the code that still have a leading
+    group (``leads``) share the text ``code_type``.
+
+    A code's list is as long as the number of schools using it in the snapshot.
+    It is sorted and joined once, on the code's first row, and dropped before
+    the text is handed to the other rows.
     """
     group = F.struct("sch", "classtype", "seiFlag")
     room, code = Window.partitionBy(*ROOM), Window.partitionBy(*CODE)
@@ -39,36 +38,58 @@ def with_room_context(cells: DataFrame) -> DataFrame:
             "spans": F.collect_set(F.struct("dobDaySpan")).over(room),
         }
     )
-    leads_room = F.when(F.col("type_n") == F.col("room_n"), group)
-    with_leaders = counted.withColumns(
+    largest = F.col("type_n") == F.col("room_n")
+    listed = counted.withColumns(
         {
-            "leaders": F.collect_set(leads_room).over(code),
+            "leaders": F.collect_set(F.when(largest, group)).over(code),
             "code_n": F.max("type_n").over(code),
+            "code_row": F.row_number().over(code.orderBy("sch")),
         }
     )
-    leads_code = F.when(F.col("type_n") == F.col("code_n"), group)
-    return with_leaders.withColumn("dominant", F.collect_set(leads_code).over(code))
+    alone = F.size("leaders") == 1
+    leads = largest & (alone | (F.col("classtype") != "Gen Ed"))
+    return (
+        listed.withColumns(
+            {"leads": leads.cast("int"), "text": F.when(F.col("code_row") == 1, _joined(alone))}
+        )
+        .drop("leaders", "room_n")
+        .withColumn("code_type", F.max("text").over(code))
+        .drop("text")
+    )
 
 
-def with_leading_types(cells: DataFrame) -> DataFrame:
-    """Name the leading class types of each homeroom code, joined with ``+``.
+def _joined(alone: Column) -> Column:
+    """Text of ``leaders``: the only one whatever it is, or all that are specific."""
+    specific = F.filter("leaders", lambda g: g["classtype"] != "Gen Ed")
+    kept = F.when(alone, F.col("leaders")).otherwise(F.sort_array(specific))
+    names = F.transform(kept, lambda g: F.coalesce(g["classtype"], F.lit("NA")))
+    return F.array_join(names, " + ")
 
-    The largest groups of a room lead it.  Where one homeroom code has several
-    leading groups (in one room, or in rooms of several schools) Gen Ed and
-    undecoded groups give way.  All rooms of the code that still have a leading
-    group (``leads``) share the text.
+
+def with_dominant_types(cells: DataFrame) -> DataFrame:
+    """Class types of the largest groups under a homeroom code, over all its schools.
+
+    ``dominant`` pairs each type with the number of groups of that size, so it is
+    no longer than the list of class types.
     """
-    alone = F.size("leaders") == 1
+    code = Window.partitionBy(*CODE)
+    largest = F.when(
+        F.col("type_n") == F.col("code_n"), F.struct("sch", "classtype", "seiFlag")
+    )
+    types = F.array_distinct(F.transform("groups", lambda g: g["classtype"]))
 
-    def shown(class_type: Column) -> Column:
-        return F.coalesce(class_type, F.lit("NA"))
+    def with_copies(name: Column) -> Column:
+        copies = F.size(F.filter("groups", lambda g: g["classtype"].eqNullSafe(name)))
+        return F.struct(name.alias("classtype"), copies.alias("copies"))
 
-    specific = F.filter("leaders", lambda g: g["classtype"] != "Gen Ed")
-    names = F.transform(F.sort_array(specific), lambda g: shown(g["classtype"]))
-    only = shown(F.get("leaders", F.lit(0))["classtype"])
-    text = F.when(alone, only).otherwise(F.array_join(names, " + "))
-    leads = (F.col("type_n") == F.col("room_n")) & (alone | (F.col("classtype") != "Gen Ed"))
-    return cells.withColumns({"code_type": text, "leads": leads.cast("int")})
+    counted = F.when(F.col("code_row") == 1, F.transform(types, with_copies))
+    return (
+        cells.withColumn("groups", F.collect_set(largest).over(code))
+        .withColumn("counted", counted)
+        .drop("groups")
+        .withColumn("dominant", F.max("counted").over(code))
+        .drop("counted")
+    )
 
 
 def class_type_max(rooms: DataFrame) -> DataFrame:
@@ -98,12 +119,15 @@ def sei_max(counts: DataFrame, rules: Rules) -> DataFrame:
 def room_totals(cells: DataFrame) -> DataFrame:
     """One row per room: counts, grade range and leading type.
 
-    Texts and lists that are the same for all cells of a room are grouping keys,
-    so only numbers are aggregated and the hash aggregate stays in generated code.
+    ``spans`` holds the room's distinct age spreads, several only for merged
+    campuses.  Texts and lists that are the same for all cells of a room are
+    grouping keys, so only numbers are aggregated and the hash aggregate stays in
+    generated code.
     """
-    named = with_leading_types(with_room_context(with_campus_span(cells)))
+    named = with_leading_types(with_campus_span(cells))
     shared = ["code_type", "spans"]
     if "mode_grade" in cells.columns:
+        named = with_dominant_types(named)
         shared += ["mode_grade", "dominant"]
 
     def of_type(name: str) -> Column:

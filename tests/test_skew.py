@@ -56,3 +56,40 @@ def test_skewed_key(spark, skewed, shape, name, broadcast):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_code_shared_by_many_schools(spark):
+    """Every school uses the same homeroom code; ties are named over all of them."""
+    from dataclasses import replace
+
+    from roomledger.plans.district import District
+    from roomledger.plans.staging import Staging
+    from tests.cases import inputs
+
+    schools, codes = 600, ("GE", "SA4", "SL4", "BLS")
+    students = spark.range(schools * 8).selectExpr(
+        "DATE '2026-05-05' AS snapshot_date",
+        "id AS studentno",
+        "'Somebody' AS studentname",
+        "CAST(100000 + id DIV 8 AS INT) AS sch",
+        "'04' AS grade",
+        "4 AS gradenum",
+        "'H1' AS homeroom",
+        f"element_at(array{codes}, CAST(id DIV 8 % 4 + 1 AS INT)) AS projection_group",
+        "CAST(NULL AS STRING) AS lepstatus",
+        "CAST(NULL AS STRING) AS mostrecenteld",
+        "CAST(NULL AS STRING) AS sncode",
+        "'English' AS firstlang",
+        "'9/3/2016' AS dob",
+    )
+    district = District(replace(inputs(spark, []), students=students))
+    names = {"SA4": "Autism", "SL4": "Specific Learning Disability", "BLS": "Spanish SEI"}
+    joined = " + ".join(names[codes[n % 4]] for n in range(schools) if codes[n % 4] != "GE")
+    got = {r["sch"]: r["maxClasstype"] for r in district.room_totals().collect()}
+    assert got == {
+        100000 + n: None if codes[n % 4] == "GE" else joined for n in range(schools)
+    }
+
+    # All four types lead the code, 150 groups each; each student differs from three of them.
+    errors = district.student_errors(Staging.of(spark))
+    assert errors.count() == schools * 8 * 3 * (schools // 4)
