@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from roomledger.llm import bpe, common, dedup, packing, token_orc
+from roomledger.llm import bpe, common, dedup, near, packing, secrets, token_orc, warc
 
 QUERIES = {}
 END_ID = 2
@@ -20,6 +20,13 @@ def op1_exact_dedup(spark, sf_dir):
     return dedup.duplicates(spark, common.table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_warc(spark, sf_dir):
+    folder = common.scratch(spark, "warc")
+    archives = warc.write(spark, common.table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder, archives)
+
+
 @query
 def op4_token_orc(spark, sf_dir):
     out = common.scratch(spark, "tokens")
@@ -28,6 +35,16 @@ def op4_token_orc(spark, sf_dir):
     return token_orc.index(spark, out)
 
 
+@query
+def op6_entropy_secrets(spark, sf_dir):
+    return secrets.scan(spark, common.table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_hamming_join(spark, sf_dir):
+    return near.near_duplicates(spark, common.table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 @query
 def op9_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,4 +67,52 @@ ORACLE_SQL = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op3_warc": """
+        WITH payloads AS (
+            SELECT page_id, url, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes,
+                   max(page_id) OVER (PARTITION BY coalesce(html, '')) AS original
+            FROM pages
+        )
+        SELECT page_id, payload_bytes, sha1(html) AS payload_digest, url,
+               CASE WHEN payload_bytes >= 1000 AND page_id < original THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id < original THEN original END AS refers_to
+        FROM payloads
+    """,
+    "op7_hamming_join": r"""
+        WITH RECURSIVE spoken AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), listed AS (
+            SELECT doc_id, CASE
+                WHEN len(w) = 0 THEN []
+                WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+            END AS runs
+            FROM spoken
+        ), shingles AS (
+            SELECT doc_id, unnest(list_distinct(runs)) AS shingle FROM listed
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), shared AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
+            FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id < y.doc_id
+            GROUP BY x.doc_id, y.doc_id
+        ), links AS (
+            SELECT a, b FROM shared
+            JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+            WHERE 100 * shared.n >= 85 * (p.n + q.n - shared.n)
+        ), steps AS (
+            SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reached AS (
+            SELECT doc_id, doc_id AS node FROM documents
+            UNION
+            SELECT reached.doc_id, steps.b FROM reached JOIN steps ON reached.node = steps.a
+        ), least AS (
+            SELECT doc_id, min(node) AS component_id FROM reached GROUP BY doc_id
+        )
+        SELECT least.doc_id, coalesce(sizes.n, 0) AS n_shingles, component_id, least.doc_id = component_id AS kept
+        FROM least LEFT JOIN sizes ON sizes.doc_id = least.doc_id
+    """,
 }
