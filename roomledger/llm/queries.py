@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from roomledger.llm import bpe, common, dedup, near, packing, secrets, token_orc, warc
+from roomledger.llm import bpe, common, dedup, near, packing, secrets, token_orc, toxicity, warc
 
 QUERIES = {}
 END_ID = 2
@@ -20,6 +20,12 @@ def op1_exact_dedup(spark, sf_dir):
     return dedup.duplicates(spark, common.table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_string_kernel(spark, sf_dir):
+    documents, labels = (common.table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return toxicity.scored(spark, documents, labels)
+
+
 @query
 def op3_warc(spark, sf_dir):
     folder = common.scratch(spark, "warc")
