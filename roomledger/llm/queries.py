@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from roomledger.llm import bpe, common, dedup, near, packing, secrets, token_orc, toxicity, warc
+from roomledger.llm import ann, bpe, common, dedup, langid, near, packing, secrets, token_orc, toxicity, warc
 
 QUERIES = {}
 END_ID = 2
@@ -41,6 +41,11 @@ def op4_token_orc(spark, sf_dir):
     return token_orc.index(spark, out)
 
 
+@query
+def op5_dimension_scan(spark, sf_dir):
+    return ann.nearest(spark, common.table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op6_entropy_secrets(spark, sf_dir):
     return secrets.scan(spark, common.table(spark, sf_dir, "documents"))
@@ -51,6 +56,11 @@ def op7_hamming_join(spark, sf_dir):
     return near.near_duplicates(spark, common.table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+@query
+def op8_language_spans(spark, sf_dir):
+    return langid.labelled(spark, common.table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
