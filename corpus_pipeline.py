@@ -1,27 +1,48 @@
-"""Corpus pipeline: stages over `documents`, each written as Parquet and read again by the next."""
+"""Corpus pipeline: stages over `documents`, each written as Parquet and read again by the next.
+
+All stages but the last return rows of `documents`, with its columns. Clean documents pass every one of them.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roomledger.llm import common, dedup, packing
+from roomledger.llm import common, dedup, near, packing, secrets, toxicity
 
 END_ID = 2
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go. Learns from the labels of a share of `docs`."""
+    return toxicity.kept(spark, docs, common.table(spark, sf_dir, "labels"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """Of equal texts, the document with the largest id stays."""
     return dedup.deduplicated(spark, docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by runs of five words in common at a similarity of 0.8, the smallest id stays."""
+    return near.deduplicated(spark, docs, words=5, percent=80)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are masked; every document stays."""
+    return secrets.redacted(spark, docs, length_column="n_chars")
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of what is left, with the sequence and offset of each."""
     return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
 
 STAGES = [
+    ("toxicity", toxic),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("secret_scan", secret_scan),
     ("pack", pack),
 ]
 
