@@ -235,9 +235,10 @@ def nearest(
                 score = original[found] @ own / (norm[found] * np.sqrt(own @ own))
                 best = np.lexsort((least[found], -score))[:k]
                 out["key"] += [row.key] * len(best)
-                out["ids"] += [there["ids"][i] for i in found[best]]
+                out["ids"] += [there["ids"][i].tolist() for i in found[best]]
                 out["score"] += score[best].tolist()
-        return pd.DataFrame(out)
+        kinds = {"key": object, "ids": object, "score": np.float64}
+        return pd.DataFrame({name: pd.Series(out[name], dtype=kind) for name, kind in kinds.items()})
 
     found = left.groupBy(*cell).cogroup(right.groupBy(*cell))
     found = found.applyInPandas(search, "key binary, ids array<bigint>, score double")

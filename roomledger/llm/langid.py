@@ -79,9 +79,10 @@ class Model:
                     self.written.setdefault(name, np.zeros(k, dtype=bool))[i] = True
         names = [g for g, n in seen.items() if n.sum() >= FEWEST]
         self.at = {g: i for i, g in enumerate(names)}
-        table = np.array([seen[g] for g in names]).reshape(-1, k) + 0.5
-        table = np.log(table / table.sum(axis=0)) if len(names) else table
-        table -= table.mean(axis=1, keepdims=True)  # what all languages share says nothing
+        table = np.array([seen[g] for g in names]) + 0.5 if names else np.zeros((0, k))
+        if names:
+            table = np.log(table / table.sum(axis=0))
+            table -= table.mean(axis=1, keepdims=True)  # what all languages share says nothing
         self.table = np.r_[table, np.zeros((1, k))]
         self.known: dict[str, int] = {}
         self.scores = np.zeros((0, k))

@@ -70,7 +70,7 @@ def write(
 
 def read(spark: SparkSession, out: str) -> DataFrame:
     """Rows as written, with the file of each. A filter on doc_id reaches the metadata of files and stripes."""
-    return spark.read.schema(ENCODED).orc(out).withColumn("file", F.input_file_name())
+    return spark.read.schema(ENCODED).orc(out).select("doc_id", "ids", F.col("_metadata.file_path").alias("file"))
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
