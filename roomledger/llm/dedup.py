@@ -18,18 +18,25 @@ from pyspark.sql import functions as F
 
 from roomledger.llm import common
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = "spark.sql.streaming.stateStore"
+#: State on disk; its files take the space they need, not what they might, as there is one store per partition.
+SETTINGS = {
+    f"{STATE_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{STATE_STORE}.rocksdb.allowFAllocate": "false",
+}
 DIGESTS = "digest binary, n_bytes bigint, doc_id bigint, file string"
 
 
 @contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def _set(spark: SparkSession, settings: dict[str, str]):
+    old = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def sha256(text: Column) -> Column:
@@ -41,7 +48,7 @@ def fed(spark: SparkSession, arrivals: str, state: str, batch_bytes: int = 64 <<
 
     `state` is a checkpoint: run again after a failure or after new files came, it goes on where it was.
     """
-    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB):
+    with _set(spark, SETTINGS):
         stream = spark.readStream.schema(DIGESTS).option("maxBytesPerTrigger", batch_bytes).parquet(arrivals)
         stays = F.max(F.struct("doc_id", "file"))
         kept = stream.groupBy("digest", "n_bytes").agg(stays.alias("stays"), F.count("*").alias("n"))
