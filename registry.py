@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomledger.config import PROGRAM_TYPES, Rules
-from roomledger.functions.calendar import school_year
+from roomledger.functions.calendar import school_year, school_years_of
 from roomledger.functions.grades import grade_label, grade_number
 from roomledger.operators import cells, enrollment, metrics, publish, refdata, reports, rooms
 from roomledger.plans.district import District
@@ -27,7 +28,8 @@ def query(fn: Query) -> Query:
 
 
 def _district(spark: SparkSession, sf_dir: str, days=(star.SNAPSHOT_DAY,)) -> District:
-    return District(star.star_inputs(spark, sf_dir, days), RULES)
+    years = school_years_of(date.fromisoformat(day) for day in days)
+    return District(star.star_inputs(spark, sf_dir, days), RULES, school_years=years)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +54,7 @@ def q_school_year(spark, sf_dir):
 
 @query
 def q_capacity_crosswalk(spark, sf_dir):
-    return _district(spark, sf_dir).capacities().where(F.col("sch_year") == "SY2526")
+    return _district(spark, sf_dir).capacities()
 
 
 @query
@@ -188,7 +190,7 @@ def q_class_types(spark, sf_dir):
 
 @query
 def q_classify(spark, sf_dir):
-    named = rooms.classified(_district(spark, sf_dir).room_totals())
+    named = rooms.classified(_district(spark, sf_dir).room_totals(), RULES)
     return named.select(
         *ROOM, "gened", "inclusion", "subsep", "sei", "maxClasstype", "hrClasstype"
     )
@@ -327,7 +329,7 @@ def q_district_report(spark, sf_dir):
 def q_school_report(spark, sf_dir):
     district = _district(spark, sf_dir)
     own = publish.published_schools(district.report_rooms(), RULES)
-    return reports.school_report(own, district.capacities())
+    return reports.school_report(own, district.capacities(), RULES)
 
 
 @query

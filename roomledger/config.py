@@ -44,6 +44,17 @@ PROGRAM_TYPES = ("gened", "inclusion", "subsep", "sei", "bilingual")
 ELD_LEVELS = ("1", "2", "3", "4", "5")
 
 SLIFE_LIMIT = 15
+YOUNG_GRADES = "K0 to K1"
+MIXED_SLIFE_PATTERN = "SLIFE.*SLIFE"
+# A class type's name, and the part of it that reports show instead.
+SHOWN_AS = ("Autism", "ABA")
+# Rooms of fewer general-education students go by their SEI type.
+FEW_GENERAL = 3
+# Rooms on paper: from how many students on, of exactly how many, and regular and special ones up to how many.
+TOO_MANY, SINGLE, TINY_REGULAR, TINY_SPED = 40, 1, 5, 2
+# Shares of students with a plan, of the room and of the contract limit, from which an issue is flagged.
+NEAR_HALF, HALF = 0.45, 0.5
+NEAR_BTU, OVER_BTU = 0.35, 0.40
 DAYS_PER_MONTH = 30.416666
 # (lowest grade below, contractual limit on students with a special-education plan)
 BTU_LIMITS = ((0, 20), (3, 22), (6, 23), (9, 25))
@@ -73,5 +84,17 @@ class Rules:
     mixed_sei_label: str = MIXED_SEI_LABEL
 
     slife_limit: int = SLIFE_LIMIT
+    young_grades: str = YOUNG_GRADES
+    mixed_slife_pattern: str = MIXED_SLIFE_PATTERN
+    shown_as: tuple[str, str] = SHOWN_AS
+    few_general: int = FEW_GENERAL
+    too_many: int = TOO_MANY
+    single: int = SINGLE
+    tiny_regular: int = TINY_REGULAR
+    tiny_sped: int = TINY_SPED
+    near_half: float = NEAR_HALF
+    half: float = HALF
+    near_btu: float = NEAR_BTU
+    over_btu: float = OVER_BTU
     days_per_month: float = DAYS_PER_MONTH
     btu_limits: tuple[tuple[int, int], ...] = BTU_LIMITS

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from datetime import date
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +22,12 @@ def school_year(day: Column) -> Column:
     return F.concat(F.lit("SY"), two_digits(closing - 1), two_digits(closing))
 
 
+def school_years_of(days: Iterable[date]) -> tuple[str, ...]:
+    """The labels of the school years that the given days lie in."""
+    closing = {day.year + (day.month >= 7) for day in days}
+    return tuple(f"SY{(year - 1) % 100:02d}{year % 100:02d}" for year in sorted(closing))
+
+
 def birth_date(text: Column) -> Column:
     """Month/day/year text, padded or not, with anything after it ignored; NULL if not a date.
 

@@ -44,7 +44,7 @@ def program_type_key(prgmtype: Column) -> Column:
 
 def student_cells(students: DataFrame, rules: Rules, *extra_keys: str) -> DataFrame:
     """Counts and extremes per room as enrolled (before campus merging) and program code."""
-    born, eld = F.col("born"), F.col("mostrecenteld")
+    born, eld = F.col("born"), F.trim("mostrecenteld")
     return (
         with_program_code(in_scope(students, rules), rules)
         .withColumn("born", birth_date(F.col("dob")))
@@ -66,14 +66,10 @@ def student_cells(students: DataFrame, rules: Rules, *extra_keys: str) -> DataFr
 
 
 def decoded_cells(
-    students: DataFrame,
-    split_schools: DataFrame,
-    codes: DataFrame,
-    rules: Rules,
-    *extra_keys: str,
+    own_cells: DataFrame, split_schools: DataFrame, codes: DataFrame, rules: Rules
 ) -> DataFrame:
-    """Cells with merged campus and decoded program, placed by snapshot and homeroom code."""
-    cells = merge_campuses(student_cells(students, rules, *extra_keys), split_schools, rules)
+    """Student cells with merged campus and decoded program, placed by snapshot and homeroom code."""
+    cells = merge_campuses(own_cells, split_schools, rules)
     sei = has_pattern(F.col("projection_group"), rules.sei_group_pattern)
     return (
         decode_program(cells, codes)

@@ -8,22 +8,17 @@ from pyspark.sql import functions as F
 from roomledger.config import Rules
 from roomledger.functions.nulls import has_pattern, one_of, same
 from roomledger.operators.cells import CODE
-from roomledger.operators.enrollment import decode_program, in_scope, with_program_code
+from roomledger.operators.enrollment import decode_program
 from roomledger.operators.metrics import with_real_code
 from roomledger.operators.rooms import with_school_name
 
 
-def known_types(students: DataFrame, codes: DataFrame, rules: Rules) -> DataFrame:
-    """Class types seen in each snapshot (a missing type counts as seen).
+def known_types(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """Class types seen in each snapshot (a missing type counts as seen), from students or cells.
 
-    Codes are made distinct before they are decoded, so this reads two narrow
-    columns and shuffles a few rows per task.
+    Codes are made distinct before they are decoded, so a few rows per task are shuffled.
     """
-    used = (
-        with_program_code(in_scope(students, rules), rules)
-        .select("snapshot_date", "programcode")
-        .distinct()
-    )
+    used = rows.select("snapshot_date", "programcode").distinct()
     return decode_program(used, codes).select("snapshot_date", "classtype").distinct()
 
 
@@ -42,10 +37,10 @@ def error_rooms(rooms: DataFrame, types: DataFrame, rules: Rules) -> DataFrame:
     spans_grades = (
         one_of(room_type, rules.regular_types)
         & (F.col("minGradenum") != F.col("maxGradenum"))
-        & (F.col("grade") != "K0 to K1")
+        & (F.col("grade") != rules.young_grades)
         & (F.col("sch") != rules.multigrade_school)
     )
-    mixed_slife = has_pattern(room_type, "SLIFE.*SLIFE")
+    mixed_slife = has_pattern(room_type, rules.mixed_slife_pattern)
     error = F.when(mixed_slife, 0).when(spans_grades, 1).when(known, 0).otherwise(1)
     return (
         rooms.join(seen, match, "left")

@@ -95,11 +95,13 @@ def real_rooms(rooms: DataFrame, rules: Rules) -> DataFrame:
     """
     total, program = F.col("totalStudents"), F.col("prgm")
     general = F.col("gened") + F.col("sei") + F.col("bilingual")
-    tiny_regular = (general <= 5) & one_of(program, ("Reg Ed", "ELL"))
-    tiny_sped = (total <= 2) & (program == "SPED") & (F.col("sch") != rules.small_sped_school)
+    tiny_regular = (general <= rules.tiny_regular) & one_of(program, ("Reg Ed", "ELL"))
+    tiny_sped = (
+        (total <= rules.tiny_sped) & (program == "SPED") & (F.col("sch") != rules.small_sped_school)
+    )
     return (
         with_real_code(rooms)
-        .where((total < 40) & (total != 1))
+        .where((total < rules.too_many) & (total != rules.single))
         .where(~tiny_regular & ~tiny_sped)
     )
 
@@ -108,15 +110,18 @@ def with_flags(rooms: DataFrame, rules: Rules) -> DataFrame:
     """Issue flag, display type, review flag and report group, in that order."""
     in_room, of_limit = F.col("snPct"), F.col("btu_max")
     issue = (
-        F.when((in_room > 0.45) & (in_room < 0.50), "Nearing 50% - Enrollment")
-        .when((of_limit > 0.35) & (of_limit <= 0.40), "Nearing 40% - BTU Limit")
-        .when(of_limit > 0.40, "Over 40% - BTU Limit")
-        .when(in_room >= 0.5, "Over 50% - Enrollment")
+        F.when((in_room > rules.near_half) & (in_room < rules.half), "Nearing 50% - Enrollment")
+        .when(
+            (of_limit > rules.near_btu) & (of_limit <= rules.over_btu), "Nearing 40% - BTU Limit"
+        )
+        .when(of_limit > rules.over_btu, "Over 40% - BTU Limit")
+        .when(in_room >= rules.half, "Over 50% - Enrollment")
     )
     room_type = F.col("hrClasstype")
+    listed, shown = rules.shown_as
     general = (room_type == "Gen Ed") | (room_type == "Inclusion")
     shown_type = (
-        F.when(has_text(room_type, "Autism"), F.replace(room_type, F.lit("Autism"), F.lit("ABA")))
+        F.when(has_text(room_type, listed), F.replace(room_type, F.lit(listed), F.lit(shown)))
         .when(general & one_of(F.col("minGradenum"), rules.homeroom_grades), "Homeroom")
         .otherwise(room_type)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomledger.config import Rules
@@ -13,6 +13,7 @@ from roomledger.operators.reports import (
     school_rows,
     title_columns,
 )
+from roomledger.plans.staging import delete_folder
 
 SCHOOL_TABS = ("room_report", "student_list", "student_errors")
 
@@ -66,50 +67,51 @@ def manifest(
     )
 
 
-def school_tab(report: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+def school_tab(report: DataFrame, rules: Rules) -> tuple[DataFrame, tuple[str, ...]]:
     """The school report as published, with its sort keys kept apart as ``key_*`` columns."""
     keys = [F.col(c).alias(f"key_{c}") for c in REPORT_ORDER]
-    rows = school_rows(report).select(
+    rows = school_rows(report, rules).select(
         "snapshot_date", "sch", *title_columns(SCHOOL_REPORT_COLUMNS), *keys
     )
     return rows, tuple(f"key_{c}" for c in REPORT_ORDER)
 
 
-def write_by_day(rows: DataFrame, path: str, day: str = "snapshot_date") -> None:
-    """Replace the days present in ``rows`` and leave other days of the table alone."""
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(day)
-        .parquet(path)
-    )
+def clear_days(spark: SparkSession, path: str, days: list[str], day: str = "snapshot_date") -> None:
+    """Drop all rows of the given days from a table, whatever schools they are of."""
+    for value in days:
+        delete_folder(spark, f"{path}/{day}={value}")
 
 
-def write_csv_by_day(rows: DataFrame, path: str, day: str = "report_updated") -> None:
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("header", True)
-        .partitionBy(day)
-        .csv(path)
-    )
+def write_by_day(rows: DataFrame, path: str, days: list[str], day: str = "snapshot_date") -> None:
+    """Replace the given days of the table, also those that have no rows now."""
+    clear_days(rows.sparkSession, path, days, day)
+    rows.write.mode("append").partitionBy(day).parquet(path)
+
+
+def write_csv_by_day(
+    rows: DataFrame, path: str, days: list[str], day: str = "report_updated"
+) -> None:
+    clear_days(rows.sparkSession, path, days, day)
+    rows.write.mode("append").option("header", True).partitionBy(day).csv(path)
 
 
-def write_by_school(rows: DataFrame, path: str, order: tuple[str, ...], *dropped: str) -> None:
-    """One directory per day and school, each file sorted.
+def write_by_school(
+    rows: DataFrame, path: str, days: list[str], order: tuple[str, ...], *dropped: str
+) -> None:
+    """One directory per day and school, each file sorted; replaces the given days.
 
     Rows are brought together by school with a rebalance hint: Spark splits a
     school that holds far more rows than the others over several tasks and packs
     small schools together, using the sizes it has seen in the shuffle.
     """
+    clear_days(rows.sparkSession, path, days)
     keyed = rows.withColumn("school", F.col("sch")).hint("rebalance", "snapshot_date", "school")
     (
         keyed.sortWithinPartitions(
             F.col("snapshot_date"), F.col("school"), *in_order(*order)
         )
         .drop(*dropped)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .write.mode("append")
         .partitionBy("snapshot_date", "school")
         .parquet(path)
     )

@@ -10,8 +10,16 @@ from roomledger.functions.grades import pad2
 from roomledger.functions.nulls import one_of, same
 
 
-def capacity_crosswalk(crosswalk: DataFrame, structure: DataFrame) -> DataFrame:
-    """Room capacity with the class structure of the same school year."""
+def capacity_crosswalk(
+    crosswalk: DataFrame, structure: DataFrame, school_years: tuple[str, ...] | None = None
+) -> DataFrame:
+    """Room capacity with the class structure of the same school year.
+
+    With ``school_years`` both tables are filtered where they are read.
+    """
+    if school_years is not None:
+        wanted = F.col("sch_year").isin(*school_years)
+        crosswalk, structure = crosswalk.where(wanted), structure.where(wanted)
     c, s = crosswalk.alias("c"), structure.alias("s")
     match = same(F.col("c.sch_year"), F.col("s.sch_year")) & same(
         F.col("c.classyearno"), F.col("s.classyearno")

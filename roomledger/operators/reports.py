@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roomledger.config import Rules
 from roomledger.functions.calendar import school_year
 from roomledger.operators.rooms import with_school_name
 
@@ -35,6 +36,7 @@ REPORT_TITLES = {
     "snPct": "Pct of Enrollment",
 }
 REPORT_COLUMNS = (*REPORT_TITLES, "dobMonthSpan", "eld1", "eld2", "eld3", "eld4")
+# Published layouts of the capacity sheet and the student list.
 CAPACITY_SHEET_COLUMNS = (
     "snapshot_date",
     "sch",
@@ -88,6 +90,15 @@ def in_order(*columns: str) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in columns]
 
 
+def sorted_globally(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """``rows`` in one order over all partitions.
+
+    A global sort reads its input twice, first for a sample.  Rebalanced rows lie
+    finished in a shuffle by then, so what made them runs once.
+    """
+    return rows.hint("rebalance").orderBy(*in_order(*order))
+
+
 def student_list(enrolled: DataFrame, school_names: DataFrame) -> DataFrame:
     """Every student with school name, unsorted; keeps ``gradenum`` for the sort."""
     return with_school_name(enrolled, school_names).select(*STUDENT_LIST_COLUMNS, "gradenum")
@@ -100,7 +111,7 @@ def sorted_student_list(enrolled: DataFrame, school_names: DataFrame) -> DataFra
 
 def capacity_sheet(rooms: DataFrame) -> DataFrame:
     """Rooms with rule-based capacity, for placing students with special-education plans."""
-    return rooms.select(*CAPACITY_SHEET_COLUMNS).orderBy(*in_order(*CAPACITY_SHEET_ORDER))
+    return sorted_globally(rooms.select(*CAPACITY_SHEET_COLUMNS), CAPACITY_SHEET_ORDER)
 
 
 def with_listed_capacity(rooms: DataFrame, capacities: DataFrame) -> DataFrame:
@@ -140,13 +151,13 @@ def titled(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 
 def district_report(rooms: DataFrame, capacities: DataFrame) -> DataFrame:
-    rows = report_rows(rooms, capacities).orderBy(*in_order(*REPORT_ORDER))
+    rows = sorted_globally(report_rows(rooms, capacities), REPORT_ORDER)
     return titled(rows, REPORT_COLUMNS)
 
 
-def school_rows(rows: DataFrame) -> DataFrame:
-    """The school version calls a K0 to K1 room a homeroom."""
-    young = F.col("grade") == "K0 to K1"
+def school_rows(rows: DataFrame, rules: Rules) -> DataFrame:
+    """The school version calls a room of the youngest grades a homeroom."""
+    young = F.col("grade") == rules.young_grades
     return rows.withColumn(
         "hrClasstype", F.when(young, "Homeroom").otherwise(F.col("hrClasstype"))
     )
@@ -155,10 +166,10 @@ def school_rows(rows: DataFrame) -> DataFrame:
 SCHOOL_REPORT_COLUMNS = tuple(c for c in REPORT_COLUMNS if not c.startswith("eld"))
 
 
-def school_report(rooms: DataFrame, capacities: DataFrame) -> DataFrame:
-    rows = school_rows(report_rows(rooms, capacities)).orderBy(*in_order(*REPORT_ORDER))
+def school_report(rooms: DataFrame, capacities: DataFrame, rules: Rules) -> DataFrame:
+    rows = sorted_globally(school_rows(report_rows(rooms, capacities), rules), REPORT_ORDER)
     return titled(rows, SCHOOL_REPORT_COLUMNS)
 
 
 def student_errors(flagged: DataFrame) -> DataFrame:
-    return flagged.orderBy(*in_order(*ERROR_ORDER))
+    return sorted_globally(flagged, ERROR_ORDER)

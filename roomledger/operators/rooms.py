@@ -18,77 +18,73 @@ from roomledger.operators.cells import (
 from roomledger.operators.enrollment import with_month_span
 
 
-def with_leading_types(cells: DataFrame) -> DataFrame:
-    """Name the leading class types of each homeroom code, joined with ``+``.
+def with_leading_groups(cells: DataFrame) -> DataFrame:
+    """Mark the cells whose class type leads their room and counts under their homeroom code.
 
     The largest groups of a room lead it.  Where one homeroom code has several
     leading groups (in one room, or in rooms of several schools) Gen Ed and
-    undecoded groups give way.  All rooms of the code that still have a leading
-    group (``leads``) share the text ``code_type``.
-
-    A code's list is as long as the number of schools using it in the snapshot.
-    It is sorted and joined once, on the code's first row, and dropped before
-    the text is handed to the other rows.
+    undecoded groups give way.  Everything put on a cell is a number: ``leads``,
+    ``in_code`` (the group is as large as any under the code) and ``first_cell``
+    (one cell of each group).
     """
-    group = F.struct("sch", "classtype", "seiFlag")
     room, code = Window.partitionBy(*ROOM), Window.partitionBy(*CODE)
+    group = Window.partitionBy(*ROOM, "classtype", "seiFlag")
     counted = with_type_total(cells).withColumns(
         {
             "room_n": F.max("type_n").over(room),
             "spans": F.collect_set(F.struct("dobDaySpan")).over(room),
+            "first_cell": (F.row_number().over(group.orderBy("programcode")) == 1).cast("int"),
         }
     )
     largest = F.col("type_n") == F.col("room_n")
-    listed = counted.withColumns(
-        {
-            "leaders": F.collect_set(F.when(largest, group)).over(code),
-            "code_n": F.max("type_n").over(code),
-            "code_row": F.row_number().over(code.orderBy("sch")),
-        }
-    )
-    alone = F.size("leaders") == 1
-    leads = largest & (alone | (F.col("classtype") != "Gen Ed"))
+    leaders = F.sum(F.when(largest, F.col("first_cell"))).over(code)
+    in_code = F.col("type_n") == F.max("type_n").over(code)
+    leads = largest & ((F.col("leaders") == 1) | (F.col("classtype") != "Gen Ed"))
     return (
-        listed.withColumns(
-            {"leads": leads.cast("int"), "text": F.when(F.col("code_row") == 1, _joined(alone))}
-        )
+        counted.withColumns({"leaders": leaders, "in_code": in_code})
+        .withColumn("leads", leads.cast("int"))
         .drop("leaders", "room_n")
-        .withColumn("code_type", F.max("text").over(code))
-        .drop("text")
     )
 
 
-def _joined(alone: Column) -> Column:
-    """Text of ``leaders``: the only one whatever it is, or all that are specific."""
-    specific = F.filter("leaders", lambda g: g["classtype"] != "Gen Ed")
-    kept = F.when(alone, F.col("leaders")).otherwise(F.sort_array(specific))
-    names = F.transform(kept, lambda g: F.coalesce(g["classtype"], F.lit("NA")))
-    return F.array_join(names, " + ")
+def with_code_type(marked: DataFrame) -> DataFrame:
+    """Put the leading types of the homeroom code on all cells of each room it names.
+
+    All rooms of a code that still have a leading group share the text
+    ``code_type``, their types joined with ``+``; other rooms have none.  The list
+    of leading groups is made among their cells only, joined once per code and
+    dropped before the text is handed on, so the work grows with what is published.
+    """
+    leaders = Window.partitionBy(*CODE, "leads")
+    is_leader = F.col("leads") == 1
+    group = F.when(
+        is_leader & (F.col("first_cell") == 1), F.struct("sch", "classtype", "seiFlag")
+    )
+    names = F.transform(F.sort_array("listed"), lambda g: F.coalesce(g["classtype"], F.lit("NA")))
+    first = is_leader & (F.row_number().over(leaders.orderBy("sch")) == 1)
+    return (
+        marked.withColumns({"listed": F.collect_list(group).over(leaders), "first": first})
+        .withColumn("text", F.when(F.col("first"), F.array_join(names, " + ")))
+        .drop("listed", "first")
+        .withColumn("text", F.max("text").over(leaders))
+        .withColumn("code_type", F.max("text").over(Window.partitionBy(*ROOM)))
+        .drop("text")
+    )
 
 
-def with_dominant_types(cells: DataFrame) -> DataFrame:
+def with_dominant_types(marked: DataFrame) -> DataFrame:
     """Class types of the largest groups under a homeroom code, over all its schools.
 
     ``dominant`` pairs each type with the number of groups of that size, so it is
     no longer than the list of class types.
     """
-    code = Window.partitionBy(*CODE)
-    largest = F.when(
-        F.col("type_n") == F.col("code_n"), F.struct("sch", "classtype", "seiFlag")
-    )
-    types = F.array_distinct(F.transform("groups", lambda g: g["classtype"]))
-
-    def with_copies(name: Column) -> Column:
-        copies = F.size(F.filter("groups", lambda g: g["classtype"].eqNullSafe(name)))
-        return F.struct(name.alias("classtype"), copies.alias("copies"))
-
-    counted = F.when(F.col("code_row") == 1, F.transform(types, with_copies))
+    of_type, code = Window.partitionBy(*CODE, "classtype"), Window.partitionBy(*CODE)
+    largest = F.when(F.col("in_code"), F.col("first_cell"))
+    pair = F.struct("classtype", F.col("copies").cast("int").alias("copies"))
     return (
-        cells.withColumn("groups", F.collect_set(largest).over(code))
-        .withColumn("counted", counted)
-        .drop("groups")
-        .withColumn("dominant", F.max("counted").over(code))
-        .drop("counted")
+        marked.withColumn("copies", F.sum(largest).over(of_type))
+        .withColumn("dominant", F.collect_set(F.when(F.col("copies") > 0, pair)).over(code))
+        .drop("copies")
     )
 
 
@@ -124,7 +120,7 @@ def room_totals(cells: DataFrame) -> DataFrame:
     grouping keys, so only numbers are aggregated and the hash aggregate stays in
     generated code.
     """
-    named = with_leading_types(with_campus_span(cells))
+    named = with_code_type(with_leading_groups(with_campus_span(cells)))
     shared = ["code_type", "spans"]
     if "mode_grade" in cells.columns:
         named = with_dominant_types(named)
@@ -140,31 +136,30 @@ def room_totals(cells: DataFrame) -> DataFrame:
         *[F.sum(c).alias(c) for c in COUNTS],
         F.when(all_known, F.min("low")).alias("minGradenum"),
         F.when(all_known, F.max("high")).alias("maxGradenum"),
-        F.max("leads").alias("led"),
     )
     return rooms.withColumns(
         {
-            "maxClasstype": F.when(F.col("led") == 1, F.col("code_type")),
+            "maxClasstype": F.col("code_type"),
             "noIEP": F.col("totalStudents") - F.col("snCount"),
             "minGrade": grade_label(F.col("minGradenum")),
             "maxGrade": grade_label(F.col("maxGradenum")),
             "grade": grade_range(F.col("minGradenum"), F.col("maxGradenum")),
         }
-    ).drop("led", "code_type")
+    ).drop("code_type")
 
 
-def classified(rooms: DataFrame) -> DataFrame:
+def classified(rooms: DataFrame, rules: Rules) -> DataFrame:
     """Name each room's type.
 
     Inclusion when it mixes inclusion or sub-separate students with a larger
-    general-education and SEI group; else SEI rooms with fewer than three
+    general-education and SEI group; else SEI rooms with few
     general-education students go by their leading type (or Gen Ed if that is
     neither SEI nor SLIFE); else the leading type.
     """
     leading = F.col("maxClasstype")
     supported = F.col("inclusion") + F.col("subsep") > 0
     general = F.col("gened") + F.col("sei") > F.col("subsep")
-    few_general = (F.col("gened") < 3) & (F.col("sei") > 0)
+    few_general = (F.col("gened") < rules.few_general) & (F.col("sei") > 0)
     room_type = (
         F.when(supported & general, "Inclusion")
         .when(few_general & has_text(leading, "SEI"), leading)
@@ -211,7 +206,7 @@ def room_base(
     Rooms enter once each, so repeated lookup rows are removed before the joins
     instead of removing repeated report rows after them.
     """
-    spread = classified(rooms).select("*", F.inline("spans")).drop("spans")
+    spread = classified(rooms, rules).select("*", F.inline("spans")).drop("spans")
     limited = with_limits(spread, limit_groups, limits)
     named = with_school_name(limited, school_names.select("sch", "schname").distinct())
     return with_month_span(named, rules)

@@ -20,6 +20,10 @@ from roomledger.sources import Inputs
 class District:
     inputs: Inputs
     rules: Rules = field(default_factory=Rules)
+    #: Student cells split by grade, if they have been staged; else they are made from students.
+    own_cells: DataFrame | None = None
+    #: School years of the snapshot days, to read no others; all if not named.
+    school_years: tuple[str, ...] | None = None
 
     # -- students -----------------------------------------------------------
 
@@ -32,11 +36,15 @@ class District:
 
     # -- cells and rooms ----------------------------------------------------
 
+    def student_cells(self, *extra_keys: str) -> DataFrame:
+        if self.own_cells is not None:
+            return self.own_cells
+        return cells.student_cells(self.inputs.students, self.rules, *extra_keys)
+
     def cells(self, *extra_keys: str) -> DataFrame:
         i = self.inputs
-        return cells.decoded_cells(
-            i.students, i.split_schools, i.program_codes, self.rules, *extra_keys
-        )
+        own = self.student_cells(*extra_keys)
+        return cells.decoded_cells(own, i.split_schools, i.program_codes, self.rules)
 
     def type_counts(self) -> DataFrame:
         return cells.type_counts(self.cells())
@@ -73,7 +81,11 @@ class District:
     # -- errors -------------------------------------------------------------
 
     def known_types(self) -> DataFrame:
-        return errors.known_types(self.inputs.students, self.inputs.program_codes, self.rules)
+        used = self.own_cells
+        if used is None:  # two narrow columns of the students say as much
+            students = enrollment.in_scope(self.inputs.students, self.rules)
+            used = enrollment.with_program_code(students, self.rules)
+        return errors.known_types(used, self.inputs.program_codes)
 
     def error_rooms(
         self, traced_rooms: DataFrame | None = None, types: DataFrame | None = None
@@ -101,8 +113,9 @@ class District:
     # -- published tables ---------------------------------------------------
 
     def capacities(self) -> DataFrame:
+        """Recorded capacities of the school years in question; of all years if none are named."""
         return refdata.capacity_crosswalk(
-            self.inputs.homeroom_crosswalk, self.inputs.structure_data
+            self.inputs.homeroom_crosswalk, self.inputs.structure_data, self.school_years
         )
 
     def student_list(self) -> DataFrame:
@@ -115,7 +128,7 @@ class District:
         return reports.district_report(self.report_rooms(), self.capacities())
 
     def school_report(self) -> DataFrame:
-        return reports.school_report(self.report_rooms(), self.capacities())
+        return reports.school_report(self.report_rooms(), self.capacities(), self.rules)
 
     def student_errors(self, staging: Staging) -> DataFrame:
         codes = staging.keep(self.error_codes(), "error_codes")

@@ -1,19 +1,22 @@
 """The whole job: every published table for a set of snapshot days.
 
-The report rooms are computed once and staged; all room reports and the error
-search read that table.  Students are read once more for the student list and
-once for the errors.
+Students are read three times: once as student cells, from which rooms, known
+class types and the days come, once for the errors and once for the student list.
+Cells, rooms, errors and the list are staged, and everything published is
+made from them.  The staged tables hold student rows; they are removed at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import replace
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomledger.config import Rules
+from roomledger.functions.calendar import school_years_of
 from roomledger.operators import publish, reports
 from roomledger.plans.district import District
 from roomledger.plans.staging import Staging
@@ -21,16 +24,26 @@ from roomledger.sources import Inputs
 
 
 def run(
-    spark: SparkSession, inputs: Inputs, out_dir: str, rules: Rules | None = None
+    spark: SparkSession,
+    inputs: Inputs,
+    out_dir: str,
+    rules: Rules | None = None,
+    days: Iterable[str] | None = None,
 ) -> dict[str, str]:
     """Publish everything under ``out_dir``; returns table name -> path.
 
-    A rerun replaces the days it covers and leaves others alone.  Tables with
-    student rows go under ``students/`` and ``schools/`` so access to them can be
-    limited apart from ``district/``.
+    The days of the run are those named, or else those its students have.  Every
+    table loses all earlier rows of these days, also of schools that have none
+    now, and keeps other days.  Tables with student rows go under ``students/``
+    and ``schools/`` so access to them can be limited apart from ``district/``.
     """
-    rules = rules or Rules()
-    district, staging = District(inputs, rules), Staging.of(spark)
+    with Staging.during(spark) as staging:
+        return _published(inputs, out_dir, rules or Rules(), days, staging)
+
+
+def _published(
+    inputs: Inputs, out_dir: str, rules: Rules, named: Iterable[str] | None, staging: Staging
+) -> dict[str, str]:
     paths = {
         "student_list": f"{out_dir}/students/student_list",
         "student_errors": f"{out_dir}/students/student_errors",
@@ -41,31 +54,39 @@ def run(
         "schools": f"{out_dir}/schools",
     }
 
+    own_cells = staging.keep(District(inputs, rules).student_cells("grade"), "cells")
+    if named is None:  # a row per snapshot day
+        found = own_cells.select("snapshot_date").distinct().collect()
+        dates = sorted(row["snapshot_date"] for row in found)
+    else:
+        dates = sorted(date.fromisoformat(str(day)) for day in named)
+    days = [day.isoformat() for day in dates]
+    district = District(inputs, rules, own_cells, school_years_of(dates))
+
     rooms = staging.keep(district.report_rooms(trace_errors=True), "rooms")
     types = staging.keep(district.known_types(), "known_types")
     codes = staging.keep(district.error_codes(rooms, types), "error_codes")
     errors = staging.keep(district.misplaced_students(codes), "errors")
     report = staging.keep(reports.report_rows(rooms, district.capacities()), "report")
+    listed = reports.student_list(district.enrolled(), inputs.school_names)
+    students = staging.keep(listed, "students")
 
-    publish.write_by_day(reports.capacity_sheet(rooms), paths["capacity_sheet"])
-    publish.write_by_day(reports.student_errors(errors), paths["student_errors"])
-    _write_district_report(report, paths)
-
-    students = reports.student_list(district.enrolled(), inputs.school_names)
+    publish.write_by_day(reports.capacity_sheet(rooms), paths["capacity_sheet"], days)
+    publish.write_by_day(reports.student_errors(errors), paths["student_errors"], days)
+    _write_district_report(report, paths, days)
     order = reports.STUDENT_LIST_ORDER
-    publish.write_by_school(students, paths["student_list"], order, "gradenum")
-    written = _same_days(spark.read.parquet(paths["student_list"]), students)
+    publish.write_by_school(students, paths["student_list"], days, order, "gradenum")
 
     def own_schools(rows: DataFrame, tab: str, order: tuple[str, ...], *dropped: str) -> None:
         published = publish.published_schools(rows, rules)
-        publish.write_by_school(published, f"{paths['schools']}/{tab}", order, *dropped)
+        publish.write_by_school(published, f"{paths['schools']}/{tab}", days, order, *dropped)
 
-    tab, keys = publish.school_tab(report)
+    tab, keys = publish.school_tab(report, rules)
     own_schools(tab, "room_report", keys, "sch", *keys)
     own_schools(students, "student_list", order, "gradenum")
     own_schools(errors, "student_errors", reports.ERROR_ORDER)
-    listing = publish.manifest(written, report, errors, paths["schools"], rules)
-    publish.write_by_day(listing, paths["manifest"])
+    listing = publish.manifest(students, report, errors, paths["schools"], rules)
+    publish.write_by_day(listing, paths["manifest"], days)
     return paths
 
 
@@ -77,18 +98,14 @@ def run_days(
     rules: Rules | None = None,
 ) -> dict[str, str]:
     """Run for some days of a snapshot history; the filter prunes day partitions."""
-    wanted = F.col("snapshot_date").isin(*[F.lit(str(d)).cast("date") for d in days])
-    return run(spark, replace(inputs, students=inputs.students.where(wanted)), out_dir, rules)
+    days = [str(day) for day in days]
+    wanted = F.col("snapshot_date").isin(*[F.lit(day).cast("date") for day in days])
+    given = replace(inputs, students=inputs.students.where(wanted))
+    return run(spark, given, out_dir, rules, days)
 
 
-def _write_district_report(report: DataFrame, paths: dict[str, str]) -> None:
-    ordered = report.orderBy(*reports.in_order(*reports.REPORT_ORDER))
+def _write_district_report(report: DataFrame, paths: dict[str, str], days: list[str]) -> None:
+    ordered = reports.sorted_globally(report, reports.REPORT_ORDER)
     titled = reports.titled(ordered, reports.REPORT_COLUMNS)
-    publish.write_by_day(titled, paths["room_report"], "report_updated")
-    publish.write_csv_by_day(titled, paths["room_report_csv"])
-
-
-def _same_days(written: DataFrame, students: DataFrame) -> DataFrame:
-    """The days of this run out of a table that may hold earlier ones."""
-    days = students.select("snapshot_date").distinct()
-    return written.join(days, "snapshot_date", "left_semi")
+    publish.write_by_day(titled, paths["room_report"], days, "report_updated")
+    publish.write_csv_by_day(titled, paths["room_report_csv"], days)

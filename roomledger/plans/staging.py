@@ -7,33 +7,53 @@ is known to be small and shuffled otherwise.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHARED_FOLDER = "spark.checkpoint.dir"
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the cluster names it; a scratch folder only in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="roomledger-")
-    raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder through the file system its path names, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 @dataclass(frozen=True)
 class Staging:
-    folder: str
+    """A folder of its own for each run; without one, tables are passed on unwritten."""
+
+    folder: str | None
 
     @classmethod
     def of(cls, spark: SparkSession) -> Staging:
-        return cls(f"{shared_folder(spark)}/roomledger-{uuid.uuid4().hex}")
+        """Staging for a lazy result, which reads the tables later: they are not removed.
+
+        Queries stage no student rows.  A session that names no shared folder stages nothing.
+        """
+        named = spark.conf.get(SHARED_FOLDER, None)
+        return cls(named and f"{named}/roomledger-{uuid.uuid4().hex}")
+
+    @classmethod
+    @contextmanager
+    def during(cls, spark: SparkSession) -> Iterator[Staging]:
+        """Staging for a job; its folder is removed when the job ends, also when it fails."""
+        staging = cls.of(spark)
+        if staging.folder is None:
+            raise ValueError(f"set {SHARED_FOLDER} to a folder every executor can reach")
+        try:
+            yield staging
+        finally:
+            delete_folder(spark, staging.folder)
 
     def keep(self, rows: DataFrame, name: str) -> DataFrame:
         """Write the rows once and return the written table."""
+        if self.folder is None:
+            return rows
         path = f"{self.folder}/{name}"
         rows.write.mode("errorifexists").parquet(path)
         return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -34,10 +34,16 @@ def read_table(
     return spark.read.format(fmt).options(**options).schema(schema).load(path)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, columns: Iterable[str], **options: str):
-    """A database table; column and row filters are pushed into the database by Spark."""
+def read_jdbc(spark: SparkSession, url: str, table: str, schema: str, **options: str) -> DataFrame:
+    """A database table with a fixed schema; column and row filters are pushed into the database.
+
+    Name ``partitionColumn``, ``lowerBound``, ``upperBound`` and ``numPartitions``
+    among the options to read with several tasks.
+    """
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    return reader.options(**options).load().select(*columns)
+    found = reader.options(**options).load()
+    fields = T.StructType.fromDDL(schema).fields
+    return found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def read_snapshots(
@@ -63,7 +69,10 @@ def read_csv_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     Spark reads an empty cell as NULL and leaves ``NA`` as text, so reading every
     column as text keeps the two apart until they are given their meaning here.
-    ``row_id`` keeps the order of the lines in the file.
+    Numbers may have blanks around them and be written as whole decimals (``20.0``).
+    A cell of a number column that is neither blank, ``NA`` nor a whole number
+    fails the read, naming its column and file.  ``row_id`` keeps the order of the
+    lines in the file.
     """
     fields = T.StructType.fromDDL(schema).fields
     as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in fields])
@@ -74,7 +83,19 @@ def read_csv_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
         if isinstance(field.dataType, T.StringType):
             typed = F.when(cell.isNull(), "").when(cell != "NA", cell)
         else:
-            typed = cell.try_cast(field.dataType)
+            text = F.trim(cell)
+            number = text.try_cast("decimal(38,9)")
+            whole = F.when(number == F.floor(number), number.try_cast(field.dataType))
+            unreadable = F.raise_error(
+                F.concat(
+                    F.lit(f"{field.name}: no whole number: '"),
+                    cell,
+                    F.lit("' in "),
+                    F.col("_metadata.file_path"),
+                )
+            )
+            blank = cell.isNull() | text.isin("", "NA")
+            typed = F.when(~blank, F.coalesce(whole, unreadable.cast(field.dataType)))
         return typed.alias(field.name)
 
     line = F.struct(

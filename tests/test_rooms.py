@@ -109,7 +109,7 @@ def test_undecoded_group_vanishes_in_a_tie(spark):
 
 def test_room_without_leading_type_is_classified_from_its_mix(spark):
     d = district(spark, (3, {"projection_group": ""}), (3, {}))
-    room = one(rooms.classified(d.room_totals()))
+    room = one(rooms.classified(d.room_totals(), d.rules))
     assert room["maxClasstype"] is None and room["hrClasstype"] is None
 
 
@@ -146,7 +146,7 @@ def test_largest_sei_group(spark):
 )
 def test_room_type(spark, mix, want):
     d = district(spark, *[(n, {"projection_group": code}) for code, n in mix.items()])
-    assert one(rooms.classified(d.room_totals()))["hrClasstype"] == want
+    assert one(rooms.classified(d.room_totals(), d.rules))["hrClasstype"] == want
 
 
 # -- extremes over missing values -----------------------------------------------
@@ -526,3 +526,48 @@ def test_error_codes_count_ties(spark):
     d = district(spark, (4, {"projection_group": "SL4"}), (4, {"projection_group": "SF4"}))
     got = {r["dominant_type"]: r["copies"] for r in errors.error_codes(d.error_rooms()).collect()}
     assert got == {"Specific Learning Disability": 1, "Emotional Impairment": 1}
+
+
+CHANGES = {
+    "young_grades": "K1 to K2",
+    "mixed_slife_pattern": "SLIFE.*never",
+    "shown_as": ("Specific Learning Disability", "SLD"),
+    "few_general": 1,
+    "too_many": 9,
+    "single": 8,
+    "tiny_regular": 9,
+    "tiny_sped": 8,
+    "near_half": 0.1,
+    "half": 0.2,
+    "near_btu": 0.05,
+    "over_btu": 0.1,
+}
+
+
+@pytest.mark.parametrize("name", sorted(CHANGES))
+def test_a_changed_rule_changes_the_report(spark, name):
+    """On rooms made so that each rule matters to one of them."""
+    from dataclasses import replace
+
+    from roomledger.config import Rules
+
+    given = inputs(spark, students_of(
+        (4, {"homeroom": "Y", "gradenum": -2}), (4, {"homeroom": "Y", "gradenum": -1}),
+        (4, {"homeroom": "K", "gradenum": -1}), (4, {"homeroom": "K", "gradenum": 0}),
+        (4, {"homeroom": "M", "projection_group": "ML1"}), (4, {"homeroom": "M", "projection_group": "ML2"}),
+        (8, {"homeroom": "L", "projection_group": "SL4"}), (8, {"homeroom": "A", "projection_group": "SA4"}),
+        (2, {"homeroom": "S"}), (8, {"homeroom": "S", "projection_group": "BLS"}),
+        (8, {"homeroom": "G"}), (9, {"homeroom": "N"}),
+        *[(1, {"homeroom": "P", "sncode": "S1"}), (7, {"homeroom": "P"})],
+        *[(3, {"homeroom": "Q", "sncode": "S1"}), (20, {"homeroom": "Q"})],
+    ))
+
+    def report(rules):
+        from roomledger.operators import reports
+
+        district = District(given, rules)
+        rooms = district.report_rooms(trace_errors=True)
+        rows = reports.school_report(rooms, district.capacities(), rules).collect()
+        return sorted(map(str, rows)), sorted(map(str, district.error_codes().collect()))
+
+    assert report(replace(Rules(), **{name: CHANGES[name]})) != report(Rules())

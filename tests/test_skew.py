@@ -58,15 +58,13 @@ def test_skewed_key(spark, skewed, shape, name, broadcast):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
-def test_code_shared_by_many_schools(spark):
-    """Every school uses the same homeroom code; ties are named over all of them."""
+def one_code(spark, schools, codes):
+    """Every school has one room under the same homeroom code, of 8 students in one program."""
     from dataclasses import replace
 
     from roomledger.plans.district import District
-    from roomledger.plans.staging import Staging
     from tests.cases import inputs
 
-    schools, codes = 600, ("GE", "SA4", "SL4", "BLS")
     students = spark.range(schools * 8).selectExpr(
         "DATE '2026-05-05' AS snapshot_date",
         "id AS studentno",
@@ -75,14 +73,22 @@ def test_code_shared_by_many_schools(spark):
         "'04' AS grade",
         "4 AS gradenum",
         "'H1' AS homeroom",
-        f"element_at(array{codes}, CAST(id DIV 8 % 4 + 1 AS INT)) AS projection_group",
+        f"element_at(array{codes}, CAST(id DIV 8 % {len(codes)} + 1 AS INT)) AS projection_group",
         "CAST(NULL AS STRING) AS lepstatus",
         "CAST(NULL AS STRING) AS mostrecenteld",
         "CAST(NULL AS STRING) AS sncode",
         "'English' AS firstlang",
         "'9/3/2016' AS dob",
     )
-    district = District(replace(inputs(spark, []), students=students))
+    return District(replace(inputs(spark, []), students=students))
+
+
+def test_code_shared_by_many_schools(spark):
+    """Every school uses the same homeroom code; ties are named over all of them."""
+    from roomledger.plans.staging import Staging
+
+    schools, codes = 600, ("GE", "SA4", "SL4", "BLS")
+    district = one_code(spark, schools, codes)
     names = {"SA4": "Autism", "SL4": "Specific Learning Disability", "BLS": "Spanish SEI"}
     joined = " + ".join(names[codes[n % 4]] for n in range(schools) if codes[n % 4] != "GE")
     got = {r["sch"]: r["maxClasstype"] for r in district.room_totals().collect()}
@@ -93,3 +99,17 @@ def test_code_shared_by_many_schools(spark):
     # All four types lead the code, 150 groups each; each student differs from three of them.
     errors = district.student_errors(Staging.of(spark))
     assert errors.count() == schools * 8 * 3 * (schools // 4)
+
+
+def test_work_grows_in_step_with_the_schools_of_a_code(spark):
+    import time
+
+    def seconds(schools):
+        start = time.perf_counter()
+        traced = one_code(spark, schools, ("GE", "GE")).room_totals(trace_errors=True)
+        assert traced.where("maxClasstype IS NULL").count() == schools
+        return time.perf_counter() - start
+
+    seconds(100)  # compiles
+    small = min(seconds(8_000) for _ in range(2))
+    assert seconds(16_000) < 2.5 * small + 2

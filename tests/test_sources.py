@@ -1,7 +1,7 @@
 import pytest
 
 from roomledger import schemas
-from roomledger.plans.staging import Staging, shared_folder
+from roomledger.plans.staging import Staging
 from roomledger.sources import inputs, star
 
 
@@ -37,14 +37,52 @@ def test_csv_export_tells_missing_from_empty(spark, tmp_path):
 
 def test_csv_export_numbers(spark, tmp_path):
     file = tmp_path / "ratios.csv"
-    file.write_text("sch,schname,gradenum,inc,gen\n4006,A,-1,5,15\n4007,B,NA,,x\n")
+    file.write_text("sch,schname,gradenum,inc,gen\n4006,A,-1,5,15\n4007,B,NA,, 20 \n4008,C, 1,20.0,0\n")
     rows = inputs.read_csv_export(spark, str(file), schemas.INCLUSION_RATIOS).orderBy("row_id")
     assert [tuple(r)[1:] for r in rows.collect()] == [
         (4006, "A", -1, 5, 15),
-        (4007, "B", None, None, None),
+        (4007, "B", None, None, 20),
+        (4008, "C", 1, 20, 0),
     ]
 
 
+@pytest.mark.parametrize("text", ["x", "20.5", "1e", "99999999999"])
+def test_unreadable_csv_numbers_fail_loudly(spark, tmp_path, text):
+    file = tmp_path / "bad_ratios.csv"
+    file.write_text(f"sch,schname,gradenum,inc,gen\n4006,A,-1,{text},15\n")
+    with pytest.raises(Exception, match=rf"inc: no whole number: '{text}' in .*bad_ratios.csv"):
+        inputs.read_csv_export(spark, str(file), schemas.INCLUSION_RATIOS).collect()
+
+
+def test_limits_and_ratios_from_csv_give_the_same_rooms(spark, tmp_path):
+    """With numbers as exports write them."""
+    from dataclasses import replace
+
+    import registry
+    from oracle import statements
+    from roomledger.plans.district import District
+    from tests.conftest import comparable, sql_rows
+
+    given = star.star_inputs(spark, "/root/testdata/sf0.001")
+
+    def exported(frame, schema):
+        columns = [f.split()[0] for f in schema.split(",")]
+        name = f"{columns[0]}.csv"
+        lines = [",".join(columns)]
+        for row in frame.select(*columns).collect():
+            cells = ["NA" if v is None else f"{v}.0" if isinstance(v, int) else str(v) for v in row]
+            lines.append(",".join(cells))
+        (tmp_path / name).write_text("\n".join(lines))
+        return inputs.read_csv_export(spark, str(tmp_path / name), schema)
+
+    ratios = exported(given.inclusion_ratios, schemas.INCLUSION_RATIOS)
+    limits = exported(given.class_limits, " ".join(schemas.CLASS_LIMITS.split()))
+    district = District(replace(given, inclusion_ratios=ratios, class_limits=limits))
+    columns, rows = sql_rows("/root/testdata/sf0.001", statements()["q_limits_applied"])
+    got = district.measured_rooms().select(*registry.QUERIES["q_limits_applied"](spark, "/root/testdata/sf0.001").columns)
+    assert comparable(got.columns, got.collect()) == comparable(columns, rows)
+
+
 def test_first_csv_line_wins_per_class_type(spark, tmp_path):
     from roomledger.config import Rules
     from roomledger.operators import refdata
@@ -59,9 +97,12 @@ def test_first_csv_line_wins_per_class_type(spark, tmp_path):
 
 
 def test_staging_uses_the_folder_the_cluster_names(spark):
-    named = spark.conf.get("spark.checkpoint.dir")
-    assert shared_folder(spark) == named
-    assert Staging.of(spark).folder.startswith(named)
+    assert Staging.of(spark).folder.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_without_a_shared_folder_nothing_is_staged(spark):
+    rows = spark.range(3)
+    assert Staging(None).keep(rows, "t") is rows
 
 
 def test_staged_table_reads_back_the_same(spark):
