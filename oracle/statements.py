@@ -5,11 +5,22 @@ from __future__ import annotations
 import re
 
 from oracle.tables import TABLES, grade_label, school_year, student_snapshots
-from roomledger.config import EXEMPT_TYPES
-from roomledger.operators.reports import REPORT_COLUMNS, REPORT_TITLES, SCHOOL_REPORT_COLUMNS
 from roomledger.sources.star import HISTORY_DAYS, SNAPSHOT_DAY
 
-_EXEMPT = ", ".join(f"'{t}'" for t in EXEMPT_TYPES)
+# Fixed values, written out here as well so that the engine's lists are checked against them.
+_EXEMPT = """
+    'Autism', 'Early Childhood Center-Based', 'Emotional Impairment', 'Hearing Impairment',
+    'Mild Intellectual Impairment', 'Moderate Intellectual Impairment', 'Multiple Disabilities',
+    'Severe Intellectual Impairment', 'Specific Learning Disability',
+    'Hatian SLIFE', 'Cape Verdean SLIFE', 'Spanish SLIFE', 'Multilingual SLIFE'"""
+_SCHOOL_COLUMNS = """
+    sch AS "School Code", schname AS "School Name", grade AS "Grade", hrClasstype AS "Class Type",
+    homeroom AS "Homeroom", homeroom_flag AS "Homeroom Flag", issueFlag AS "Issue Flag",
+    tot_capacity AS "Capacity", totalStudents AS "Total Students", seats AS "Available Seats",
+    noIEP AS "No IEP", inclusion AS "Inclusion", subsep AS "Sub Seperate", otherIEP AS "Other IEPs",
+    snCount AS "Total IEPs", btu_max AS "Pct of BTU Max", btu_limit AS "BTU Limit",
+    snPct AS "Pct of Enrollment", dobMonthSpan"""
+_DISTRICT_COLUMNS = f"{_SCHOOL_COLUMNS}, eld1, eld2, eld3, eld4"
 _ROOM = "snapshot_date, sch, homeroom"
 _COUNTED = """gened, inclusion, subsep, sei, bilingual, eld1, eld2, eld3, eld4,
        dobDaySpan, dobMonthSpan, noIEP, snCount, otherIEP"""
@@ -22,10 +33,6 @@ def _on_room(a: str, b: str) -> str:
     )
 
 
-def _titles(columns) -> str:
-    return ", ".join(f'{c} AS "{REPORT_TITLES.get(c, c)}"' for c in columns)
-
-
 STEPS = {
     # -- students -----------------------------------------------------------
     "snapshot": "SELECT * FROM student_snapshots WHERE sch <> 3003",
@@ -68,15 +75,15 @@ FROM (SELECT *, max(totalStudents) OVER (PARTITION BY {_ROOM}) AS top FROM cells
 WHERE totalStudents = top""",
     "kept_cells": "SELECT * FROM top_cells WHERE dup = 1 OR (dup > 1 AND classtype <> 'Gen Ed')",
     "classtype_max": """
-SELECT DISTINCT k.snapshot_date, k.sch, k.homeroom, j.maxClasstype
+SELECT DISTINCT k.snapshot_date, k.sch, k.homeroom, j.leading_type
 FROM kept_cells k
 JOIN (SELECT snapshot_date, homeroom,
              string_agg(coalesce(classtype, 'NA'), ' + '
-                        ORDER BY sch, classtype NULLS LAST, seiFlag) AS maxClasstype
+                        ORDER BY sch, classtype NULLS LAST, seiFlag) AS leading_type
       FROM kept_cells GROUP BY snapshot_date, homeroom) AS j
   ON k.snapshot_date = j.snapshot_date AND k.homeroom IS NOT DISTINCT FROM j.homeroom""",
     "sei_max": f"""
-SELECT DISTINCT {_ROOM}, CASE WHEN ties > 1 THEN 'Multiligual SEI' ELSE classtype END AS largestSEI
+SELECT DISTINCT {_ROOM}, CASE WHEN ties > 1 THEN 'Multiligual SEI' ELSE classtype END AS leading_sei
 FROM (SELECT *, count(*) OVER (PARTITION BY {_ROOM}) AS ties
       FROM (SELECT *, max(totalStudents) OVER (PARTITION BY {_ROOM}) AS top
             FROM cells WHERE seiFlag = 1) AS t
@@ -99,14 +106,14 @@ SELECT *, {grade_label("lowest")} AS minGrade, {grade_label("highest")} AS maxGr
             THEN ({grade_label("lowest")}) || ' to ' || ({grade_label("highest")}) END AS gradeRange
 FROM counted""",
     "identified": f"""
-SELECT *, CASE WHEN step2 = '' THEN maxClasstype ELSE step2 END AS hrClasstype
+SELECT *, CASE WHEN step2 = '' THEN leading_type ELSE step2 END AS hrClasstype
 FROM (SELECT *, CASE WHEN gened < 3 AND sei > 0 AND step1 <> 'Inclusion'
-                          AND maxClasstype IS NOT NULL AND contains(maxClasstype, 'SEI')
-                     THEN maxClasstype
+                          AND leading_type IS NOT NULL AND contains(leading_type, 'SEI')
+                     THEN leading_type
                      WHEN gened < 3 AND sei > 0 AND step1 <> 'Inclusion'
-                          AND NOT coalesce(contains(maxClasstype, 'SLIFE'), false)
+                          AND NOT coalesce(contains(leading_type, 'SLIFE'), false)
                      THEN 'Gen Ed' ELSE step1 END AS step2
-      FROM (SELECT g.*, p.gened, p.inclusion, p.subsep, p.sei, p.bilingual, m.maxClasstype,
+      FROM (SELECT g.*, p.gened, p.inclusion, p.subsep, p.sei, p.bilingual, m.leading_type,
                    coalesce(e.eld1, 0) AS eld1, coalesce(e.eld2, 0) AS eld2,
                    coalesce(e.eld3, 0) AS eld3, coalesce(e.eld4, 0) AS eld4,
                    coalesce(e.eld5, 0) AS eld5,
@@ -118,18 +125,18 @@ FROM (SELECT *, CASE WHEN gened < 3 AND sei > 0 AND step1 <> 'Inclusion'
             LEFT JOIN eld_counts e ON {_on_room("g", "e")}) AS a) AS b""",
     # -- reference tables ---------------------------------------------------
     "type_map": """
-SELECT classtype, projection_group AS projectionGroup
+SELECT classtype, projection_group AS limit_key
 FROM (SELECT *, row_number() OVER (PARTITION BY classtype ORDER BY row_id) AS rn
       FROM program_codes
       WHERE projection_group <> 'AIM'
         AND NOT (classtype = 'Inclusion' AND projection_group <> 'SI4')) AS t
 WHERE rn = 1""",
     "limits": """
-SELECT l.projection_group AS projectionGroup,
+SELECT l.projection_group AS limit_key,
        CASE WHEN length(l.grade) < 2 THEN lpad(l.grade, 2, '0') ELSE l.grade END AS grade,
        CASE WHEN l.projection_group IN ('SL4', 'SF4', 'SA4') THEN l.sizelimit_with_para
-            ELSE l.sizelimit_no_para END AS sizelimit,
-       l.sizelimit_with_para AS sizelimitWp, l.program2_capacity AS incSizelimit, p.prgm
+            ELSE l.sizelimit_no_para END AS room_limit,
+       l.sizelimit_with_para AS limit_with_para, l.program2_capacity AS inclusion_limit, p.prgm
 FROM class_limits l
 LEFT JOIN (SELECT DISTINCT projection_group, prgm FROM program_codes) AS p
   ON l.projection_group IS NOT DISTINCT FROM p.projection_group
@@ -147,24 +154,24 @@ SELECT DISTINCT i.snapshot_date, i.sch, n.schname, i.homeroom, i.hrClasstype,
        i.total AS totalStudents, i.gened, i.inclusion, i.subsep, i.sei, i.bilingual,
        i.eld1, i.eld2, i.eld3, i.eld4, i.dobDaySpan, i.dobMonthSpan,
        i.total - i.sn AS noIEP, i.sn AS snCount, i.other AS otherIEP,
-       l.prgm, l.sizelimit, l.sizelimitWp, l.incSizelimit
+       l.prgm, l.room_limit, l.limit_with_para, l.inclusion_limit
 FROM identified i
 LEFT JOIN type_map t ON i.hrClasstype IS NOT DISTINCT FROM t.classtype
-LEFT JOIN limits l ON t.projectionGroup IS NOT DISTINCT FROM l.projectionGroup
+LEFT JOIN limits l ON t.limit_key IS NOT DISTINCT FROM l.limit_key
      AND i.minGrade IS NOT DISTINCT FROM l.grade
 LEFT JOIN school_names n ON i.sch = n.sch""",
     "ratio_caps": f"""
 SELECT snapshot_date, sch, schname, homeroom, hrClasstype, grade, minGradenum, maxGradenum,
-       totalStudents, {_COUNTED}, prgm, sizelimitWp, limit1 AS sizelimit, inc1 AS incSizelimit,
+       totalStudents, {_COUNTED}, prgm, limit_with_para, limit1 AS room_limit, inc1 AS inclusion_limit,
        CASE WHEN hrClasstype = 'Inclusion' THEN limit1 - inc1 END AS genedCap,
        CASE WHEN hrClasstype = 'Inclusion' THEN inc1 END AS spedCap
 FROM (SELECT b.*,
              CASE WHEN hrClasstype IS NULL AND r.inc IS NOT NULL THEN NULL
                   WHEN hrClasstype = 'Inclusion' AND r.inc IS NOT NULL THEN r.inc + r.gen
-                  ELSE sizelimit END AS limit1,
+                  ELSE room_limit END AS limit1,
              CASE WHEN hrClasstype IS NULL AND r.inc IS NOT NULL THEN NULL
                   WHEN hrClasstype = 'Inclusion' AND r.inc IS NOT NULL THEN r.inc
-                  ELSE incSizelimit END AS inc1
+                  ELSE inclusion_limit END AS inc1
       FROM room_base b
       LEFT JOIN inclusion_ratios r ON b.sch = r.sch
            AND b.minGradenum IS NOT DISTINCT FROM r.gradenum) AS x""",
@@ -180,11 +187,11 @@ SELECT snapshot_date, sch, schname, homeroom, hrClasstype, grade, minGradenum, m
 FROM (SELECT *, CASE WHEN coalesce(contains(hrClasstype, 'SLIFE'), false) THEN 15 ELSE limit2 END
              AS limit3
       FROM (SELECT *,
-                   CASE WHEN sizelimit IS NULL THEN NULL
-                        WHEN totalStudents > sizelimit AND hrClasstype IS NULL THEN NULL
-                        WHEN totalStudents > sizelimit
+                   CASE WHEN room_limit IS NULL THEN NULL
+                        WHEN totalStudents > room_limit AND hrClasstype IS NULL THEN NULL
+                        WHEN totalStudents > room_limit
                              AND (contains(hrClasstype, 'SEI') OR hrClasstype = 'Dual-Language')
-                        THEN sizelimitWp ELSE sizelimit END AS limit2
+                        THEN limit_with_para ELSE room_limit END AS limit2
             FROM ratio_caps) AS a) AS b""",
     "sped_share": f"""
 SELECT *, round_even(snCount::DOUBLE / btu_limit, 2) AS btu_max
@@ -284,7 +291,7 @@ LEFT JOIN capacity c ON r.homeroom IS NOT DISTINCT FROM c.homeroom
      AND {school_year("r.snapshot_date")} = c.sch_year""",
 }
 
-_DISTRICT = f"SELECT report_updated, {_titles(REPORT_COLUMNS)} FROM report_rows"
+_DISTRICT = f"SELECT report_updated, {_DISTRICT_COLUMNS} FROM report_rows"
 
 QUERIES = {
     "q_snapshot": """SELECT snapshot_date, studentno, studentname, sch, grade, gradenum, homeroom,
@@ -296,7 +303,7 @@ QUERIES = {
         WHERE final_year IS NULL
           AND (sch IS NULL OR (sch <> 4171 AND sch <> 4650 AND sch <> 4391))""",
     "q_program_map": """
-        SELECT classtype, projection_group AS projectionGroup
+        SELECT classtype, projection_group AS limit_key
         FROM (SELECT *, row_number() OVER (PARTITION BY classtype ORDER BY row_id) AS rn
               FROM code_listing
               WHERE projection_group <> 'AIM'
@@ -326,11 +333,11 @@ QUERIES = {
         other AS otherIEP, total - sn AS noIEP FROM counted""",
     "q_grade_range": f"""SELECT DISTINCT {_ROOM}, lowest AS minGradenum, highest AS maxGradenum,
         minGrade, maxGrade, gradeRange AS grade FROM graded""",
-    "q_classify": f"""SELECT DISTINCT {_ROOM}, gened, inclusion, subsep, sei, maxClasstype,
+    "q_classify": f"""SELECT DISTINCT {_ROOM}, gened, inclusion, subsep, sei, leading_type,
         hrClasstype FROM identified""",
     "q_room_base": "SELECT * FROM room_base",
-    "q_ratio_caps": f"""SELECT {_ROOM}, dobDaySpan, hrClasstype, sizelimit, sizelimitWp,
-        incSizelimit, genedCap, spedCap FROM ratio_caps""",
+    "q_ratio_caps": f"""SELECT {_ROOM}, dobDaySpan, hrClasstype, room_limit, limit_with_para,
+        inclusion_limit, genedCap, spedCap FROM ratio_caps""",
     "q_limits_applied": f"""SELECT {_ROOM}, dobDaySpan, hrClasstype, totalStudents, util, seats,
         overage, capacity FROM limits_applied""",
     "q_sped_share": f"""SELECT {_ROOM}, dobDaySpan, hrClasstype, snCount, snPct, btu_limit, btu_max
@@ -351,7 +358,7 @@ QUERIES = {
         dobMonthSpan FROM flagged_rooms""",
     "q_district_report": _DISTRICT,
     "q_school_report": f"""
-        SELECT report_updated, {_titles(SCHOOL_REPORT_COLUMNS)}
+        SELECT report_updated, {_SCHOOL_COLUMNS}
         FROM (SELECT * REPLACE (CASE WHEN grade = 'K0 to K1' THEN 'Homeroom' ELSE hrClasstype END
                                 AS hrClasstype) FROM report_rows) AS r
         WHERE sch <> 1290""",

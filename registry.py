@@ -192,38 +192,17 @@ def q_class_types(spark, sf_dir):
 def q_classify(spark, sf_dir):
     named = rooms.classified(_district(spark, sf_dir).room_totals(), RULES)
     return named.select(
-        *ROOM, "gened", "inclusion", "subsep", "sei", "maxClasstype", "hrClasstype"
+        *ROOM, "gened", "inclusion", "subsep", "sei", "leading_type", "hrClasstype"
     )
 
 
 @query
 def q_room_base(spark, sf_dir):
-    return (
-        _district(spark, sf_dir)
-        .room_base()
-        .select(
-            *ROOM,
-            "schname",
-            "hrClasstype",
-            "grade",
-            "minGradenum",
-            "maxGradenum",
-            "totalStudents",
-            *PROGRAM_TYPES,
-            "eld1",
-            "eld2",
-            "eld3",
-            "eld4",
-            "dobDaySpan",
-            "dobMonthSpan",
-            "noIEP",
-            "snCount",
-            "otherIEP",
-            "prgm",
-            "sizelimit",
-            "sizelimitWp",
-            "incSizelimit",
-        )
+    base = _district(spark, sf_dir).room_base()
+    counts = ("totalStudents", "noIEP", *PROGRAM_TYPES, *(c for c in cells.COUNTS if c != "eld5"))
+    spread = ("dobDaySpan", "dobMonthSpan")
+    return base.select(
+        *ROOM, *spread, "hrClasstype", "prgm", *rooms.LIMITS, *rooms.GRADES, *counts, "schname"
     )
 
 
@@ -236,9 +215,9 @@ def q_ratio_caps(spark, sf_dir):
         *ROOM,
         "dobDaySpan",
         "hrClasstype",
-        "sizelimit",
-        "sizelimitWp",
-        "incSizelimit",
+        "room_limit",
+        "limit_with_para",
+        "inclusion_limit",
         "genedCap",
         "spedCap",
     )

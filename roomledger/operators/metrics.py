@@ -24,14 +24,14 @@ def with_ratio_caps(rooms: DataFrame, ratios: DataFrame) -> DataFrame:
         rooms.join(own, match, "left")
         .withColumns(
             {
-                "sizelimit": if_known(
-                    overridden, F.col("inc") + F.col("gen"), F.col("sizelimit")
+                "room_limit": if_known(
+                    overridden, F.col("inc") + F.col("gen"), F.col("room_limit")
                 ),
-                "incSizelimit": if_known(overridden, F.col("inc"), F.col("incSizelimit")),
+                "inclusion_limit": if_known(overridden, F.col("inc"), F.col("inclusion_limit")),
             }
         )
-        .withColumn("genedCap", F.when(inclusion, F.col("sizelimit") - F.col("incSizelimit")))
-        .withColumn("spedCap", F.when(inclusion, F.col("incSizelimit")))
+        .withColumn("genedCap", F.when(inclusion, F.col("room_limit") - F.col("inclusion_limit")))
+        .withColumn("spedCap", F.when(inclusion, F.col("inclusion_limit")))
         .drop("ratio_sch", "ratio_grade", "inc", "gen")
     )
 
@@ -44,27 +44,27 @@ def with_capacity(rooms: DataFrame, rules: Rules) -> DataFrame:
     """
     room_type, total = F.col("hrClasstype"), F.col("totalStudents")
     para_allowed = has_text(room_type, "SEI") | (room_type == "Dual-Language")
-    over = total > F.col("sizelimit")
+    over = total > F.col("room_limit")
     return (
         rooms.withColumn(
-            "sizelimit", if_known(over & para_allowed, F.col("sizelimitWp"), F.col("sizelimit"))
+            "room_limit", if_known(over & para_allowed, F.col("limit_with_para"), F.col("room_limit"))
         )
         .withColumn(
-            "sizelimit",
-            F.when(has_text(room_type, "SLIFE"), rules.slife_limit).otherwise(F.col("sizelimit")),
+            "room_limit",
+            F.when(has_text(room_type, "SLIFE"), rules.slife_limit).otherwise(F.col("room_limit")),
         )
         .withColumns(
             {
-                "util": share(total, F.col("sizelimit")),
-                "seats": F.col("sizelimit") - total,
+                "util": share(total, F.col("room_limit")),
+                "seats": F.col("room_limit") - total,
                 "overage": F.when(
-                    F.col("sizelimit").isNotNull(),
-                    F.greatest(total - F.col("sizelimit"), F.lit(0)),
+                    F.col("room_limit").isNotNull(),
+                    F.greatest(total - F.col("room_limit"), F.lit(0)),
                 ),
-                "capacity": F.coalesce(F.col("sizelimit"), F.lit(0)),
+                "capacity": F.coalesce(F.col("room_limit"), F.lit(0)),
             }
         )
-        .drop("sizelimit", "sizelimitWp", "incSizelimit")
+        .drop("room_limit", "limit_with_para", "inclusion_limit")
     )
 
 

@@ -48,7 +48,7 @@ def limit_group_by_type(codes: DataFrame, rules: Rules) -> DataFrame:
     return (
         codes.where((group != rules.no_limit_group) & ~other_inclusion)
         .groupBy("classtype")
-        .agg(F.min_by("projection_group", "row_id").alias("projectionGroup"))
+        .agg(F.min_by("projection_group", "row_id").alias("limit_key"))
     )
 
 
@@ -63,11 +63,11 @@ def class_limits(limits: DataFrame, codes: DataFrame, rules: Rules) -> DataFrame
         limits.join(programs, same(group, F.col("code_group")), "left")
         .where(F.col("prgm").isNotNull())
         .select(
-            group.alias("projectionGroup"),
+            group.alias("limit_key"),
             pad2(F.col("grade")).alias("grade"),
-            no_para.alias("sizelimit"),
-            F.col("sizelimit_with_para").alias("sizelimitWp"),
-            F.col("program2_capacity").alias("incSizelimit"),
+            no_para.alias("room_limit"),
+            F.col("sizelimit_with_para").alias("limit_with_para"),
+            F.col("program2_capacity").alias("inclusion_limit"),
             "prgm",
         )
     )

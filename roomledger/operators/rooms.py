@@ -18,6 +18,10 @@ from roomledger.operators.cells import (
 from roomledger.operators.enrollment import with_month_span
 
 
+LIMITS = ("room_limit", "limit_with_para", "inclusion_limit")
+GRADES = ("grade", "minGradenum", "maxGradenum")
+
+
 def with_leading_groups(cells: DataFrame) -> DataFrame:
     """Mark the cells whose class type leads their room and counts under their homeroom code.
 
@@ -90,7 +94,7 @@ def with_dominant_types(marked: DataFrame) -> DataFrame:
 
 def class_type_max(rooms: DataFrame) -> DataFrame:
     """The leading class type of each room that has one."""
-    return rooms.where(F.col("maxClasstype").isNotNull()).select(*ROOM, "maxClasstype")
+    return rooms.where(F.col("leading_type").isNotNull()).select(*ROOM, "leading_type")
 
 
 def sei_max(counts: DataFrame, rules: Rules) -> DataFrame:
@@ -107,7 +111,7 @@ def sei_max(counts: DataFrame, rules: Rules) -> DataFrame:
             *ROOM,
             F.when(F.col("ties") > 1, rules.mixed_sei_label)
             .otherwise(F.col("only_type"))
-            .alias("largestSEI"),
+            .alias("leading_sei"),
         )
     )
 
@@ -139,7 +143,7 @@ def room_totals(cells: DataFrame) -> DataFrame:
     )
     return rooms.withColumns(
         {
-            "maxClasstype": F.col("code_type"),
+            "leading_type": F.col("code_type"),
             "noIEP": F.col("totalStudents") - F.col("snCount"),
             "minGrade": grade_label(F.col("minGradenum")),
             "maxGrade": grade_label(F.col("maxGradenum")),
@@ -156,7 +160,7 @@ def classified(rooms: DataFrame, rules: Rules) -> DataFrame:
     general-education students go by their leading type (or Gen Ed if that is
     neither SEI nor SLIFE); else the leading type.
     """
-    leading = F.col("maxClasstype")
+    leading = F.col("leading_type")
     supported = F.col("inclusion") + F.col("subsep") > 0
     general = F.col("gened") + F.col("sei") > F.col("subsep")
     few_general = (F.col("gened") < rules.few_general) & (F.col("sei") > 0)
@@ -171,22 +175,20 @@ def classified(rooms: DataFrame, rules: Rules) -> DataFrame:
 
 def with_limits(rooms: DataFrame, limit_groups: DataFrame, limits: DataFrame) -> DataFrame:
     """Size limits of the room's type at its lowest grade; a room repeats per matching limit."""
-    groups = limit_groups.select(F.col("classtype").alias("listed_type"), "projectionGroup")
+    groups = limit_groups.select(F.col("classtype").alias("listed_type"), "limit_key")
     listed = limits.select(
-        F.col("projectionGroup").alias("limit_group"),
+        F.col("limit_key").alias("limit_group"),
         F.col("grade").alias("limit_grade"),
         "prgm",
-        "sizelimit",
-        "sizelimitWp",
-        "incSizelimit",
+        *LIMITS,
     ).distinct()
-    at_grade = same(F.col("projectionGroup"), F.col("limit_group")) & same(
+    at_grade = same(F.col("limit_key"), F.col("limit_group")) & same(
         F.col("minGrade"), F.col("limit_grade")
     )
     return (
         rooms.join(groups, same(F.col("hrClasstype"), F.col("listed_type")), "left")
         .join(listed, at_grade, "left")
-        .drop("listed_type", "limit_group", "limit_grade", "projectionGroup")
+        .drop("listed_type", "limit_group", "limit_grade", "limit_key")
     )
 
 

@@ -72,7 +72,7 @@ def test_program_code_missing_on_both_sides_matches(spark):
 
 def leading(spark, *groups):
     d = district(spark, *groups)
-    return {(r["sch"], r["homeroom"]): r["maxClasstype"]
+    return {(r["sch"], r["homeroom"]): r["leading_type"]
             for r in rooms.class_type_max(d.room_totals()).collect()}
 
 
@@ -110,7 +110,7 @@ def test_undecoded_group_vanishes_in_a_tie(spark):
 def test_room_without_leading_type_is_classified_from_its_mix(spark):
     d = district(spark, (3, {"projection_group": ""}), (3, {}))
     room = one(rooms.classified(d.room_totals(), d.rules))
-    assert room["maxClasstype"] is None and room["hrClasstype"] is None
+    assert room["leading_type"] is None and room["hrClasstype"] is None
 
 
 def test_largest_sei_group(spark):
@@ -121,7 +121,7 @@ def test_largest_sei_group(spark):
         (9, {}),
         (2, {"projection_group": "BLH", "homeroom": "H2"}),
     )
-    got = {r["homeroom"]: r["largestSEI"]
+    got = {r["homeroom"]: r["leading_sei"]
            for r in rooms.sei_max(d.type_counts(), Rules()).collect()}
     assert got == {"H1": "Multiligual SEI", "H2": "Haitian SEI"}
 

@@ -91,7 +91,7 @@ def test_code_shared_by_many_schools(spark):
     district = one_code(spark, schools, codes)
     names = {"SA4": "Autism", "SL4": "Specific Learning Disability", "BLS": "Spanish SEI"}
     joined = " + ".join(names[codes[n % 4]] for n in range(schools) if codes[n % 4] != "GE")
-    got = {r["sch"]: r["maxClasstype"] for r in district.room_totals().collect()}
+    got = {r["sch"]: r["leading_type"] for r in district.room_totals().collect()}
     assert got == {
         100000 + n: None if codes[n % 4] == "GE" else joined for n in range(schools)
     }
@@ -107,7 +107,7 @@ def test_work_grows_in_step_with_the_schools_of_a_code(spark):
     def seconds(schools):
         start = time.perf_counter()
         traced = one_code(spark, schools, ("GE", "GE")).room_totals(trace_errors=True)
-        assert traced.where("maxClasstype IS NULL").count() == schools
+        assert traced.where("leading_type IS NULL").count() == schools
         return time.perf_counter() - start
 
     seconds(100)  # compiles
