@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -37,6 +38,7 @@ def session(cpus: str) -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", cpus)
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="roomledger-bench-"))
         # A second of bookkeeping per query otherwise: Python call sites of every expression.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
