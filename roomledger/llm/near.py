@@ -212,7 +212,8 @@ def near_duplicates(
     dealt = member.join(sized, "hub").select("hub", "node", block.alias("block"), other)
     dealt = dealt.select("hub", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
-    wanted = member.select(F.col("node").alias("doc_id")).distinct()
+    # never broadcast: a share of all ids, whatever the size
+    wanted = member.select(F.col("node").alias("doc_id")).distinct().hint("merge")
     texts = picked.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = common.staged(spark, texts.mapInArrow(_sets(words), "node bigint, shingles binary"), "sets")
     links = dealt.join(sets, "node").groupBy("hub", "i", "j").applyInPandas(_linked(percent), "a bigint, b bigint")
