@@ -61,7 +61,7 @@ class Coder:
         self.words = regex.compile(WORDS)
         ordered = sorted(map(regex.escape, self.specials), key=len, reverse=True)
         self.special = regex.compile(f"({'|'.join(ordered)})") if ordered else None
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self)
 
     def word(self, word: bytes) -> list[int]:
         """Ids of one word."""
@@ -118,18 +118,10 @@ class Coder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""
-        known = self.known
-        if len(known) > tokens.KEPT_WORDS:
-            known.clear()
-        out = []
-        for chunk in tokens.chunks(text, True):
-            got = known.get(chunk)
-            if got is None:
-                got = self.chunk(chunk)
-                if len(chunk) <= tokens.KEPT_CHARS:
-                    known[chunk] = got
-            out.append(got)
-        return b"".join(out)
+        if len(self.known) > tokens.KEPT_WORDS:
+            self.known = _Known(self)
+        first, *rest = tokens.chunks(text)
+        return self.chunk(first) + b"".join(map(self.known.__getitem__, rest))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
@@ -137,6 +129,20 @@ class Coder:
         return b"".join([bytes_of[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
+class _Known(dict):
+    """Ids by chunk, the space before it left out of the key."""
+
+    def __init__(self, coder: Coder):
+        super().__init__()
+        self.coder = coder
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.coder.chunk(" " + chunk)
+        if len(chunk) <= tokens.KEPT_CHARS:
+            self[chunk] = ids
+        return ids
+
+
 def coder(path: str) -> Coder:
     """One coder per worker process and file."""
     if path not in _open:

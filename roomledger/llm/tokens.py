@@ -9,22 +9,26 @@ from collections.abc import Iterable
 
 import tokenizers
 
-#: A space next to other white space, or at either end of a text.
-_ODD_SPACE = re.compile(r"\s | \s|\A | \Z")
+#: White space that is rare in texts.
+_RARE_SPACE = re.compile("[\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD_SPACES = ("  ", " \n", "\n ", " \t", "\t ")
+#: Punctuation that these tokenizers never join with a letter before it.
+_STOPS = frozenset(".,!?;:$%&*#")
 #: Words of more characters are encoded each time; so many shorter ones are kept per worker.
-KEPT_CHARS, KEPT_WORDS = 48, 1_000_000
+KEPT_CHARS, KEPT_WORDS = 48, 300_000
 
 _open: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def chunks(text: str, lead: bool) -> list[str]:
-    """`text` cut before its plain spaces; with `lead`, the space starts the next chunk, else it is left out.
+def chunks(text: str) -> list[str]:
+    """`text` cut at its plain spaces, which are left out.
 
     Only a space between two characters that are not white space is a cut. No token of the tokenizers used
-    here reaches over such a place, so ids of the chunks in a row are the ids of the text.
+    here reaches over such a place, so ids of the chunks in a row are the ids of the text. Where spaces are part of
+    tokens, every chunk but the first is encoded with its space in front.
     """
     parts = text.split(" ")
-    if _ODD_SPACE.search(text):
+    if not parts[0] or not parts[-1] or any(odd in text for odd in _ODD_SPACES) or _RARE_SPACE.search(text):
         whole = [parts[0]]
         for part in parts[1:]:
             before = whole[-1]
@@ -33,7 +37,7 @@ def chunks(text: str, lead: bool) -> list[str]:
             else:
                 whole.append(part)
         parts = whole
-    return [parts[0], *[" " + part for part in parts[1:]]] if lead else parts
+    return parts
 
 
 class ChunkEncoder:
@@ -44,27 +48,47 @@ class ChunkEncoder:
         self.library = tokenizers.Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.lead = lead
-        self.known: dict[str, bytes] = {}
+        self.lower = '"Lowercase"' in self.library.to_str()[:10_000]
+        self.space = " " if lead else ""
+        self.known: dict[str, bytes] = {}  # by chunk
+        self.stems: dict[str, bytes] = {}  # by the text that the library saw
+
+    def _library(self, parts: list[str]) -> list[bytes]:
+        found = self.library.encode_batch(parts, add_special_tokens=False)
+        return [array("I", got.ids).tobytes() for got in found]
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        cut = [chunks(text, self.lead) for text in texts]
+        cut = [chunks(text) for text in texts]
+        firsts = self._library([parts[0] for parts in cut])
+        rests = [parts[1:] for parts in cut]
         if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        known = self.known
-        new = list({chunk for parts in cut for chunk in parts if chunk not in known})
-        ids = [
-            array("I", found.ids).tobytes()
-            for found in self.library.encode_batch(new, add_special_tokens=False)
-        ]
-        fresh = dict(zip(new, ids, strict=True))
-        known.update(fresh)
-        out = [b"".join([known[chunk] for chunk in parts]) for parts in cut]
+            self.known, self.stems = {}, {}
+        known, stems = self.known, self.stems
+        new = [chunk for chunk in set().union(*rests) if chunk not in known]
+        split = [self._split(chunk) for chunk in new]
+        wanted = list({part for parts in split for part in parts if part not in stems})
+        stems.update(zip(wanted, self._library(wanted), strict=True))
+        for chunk, parts in zip(new, split, strict=True):
+            known[chunk] = stems[parts[0]] if len(parts) == 1 else stems[parts[0]] + stems[parts[1]]
+        get = known.__getitem__
+        out = [first + b"".join(map(get, rest)) for first, rest in zip(firsts, rests, strict=True)]
         for chunk in new:
             if len(chunk) > KEPT_CHARS:
                 del known[chunk]
+        for part in wanted:
+            if len(part) > KEPT_CHARS:
+                del stems[part]
         return out
 
+    def _split(self, chunk: str) -> tuple[str, ...]:
+        """Texts that are encoded on their own: a last stop apart, in the case the library sees."""
+        if chunk[-1] in _STOPS and (before := chunk[-2:-1]).isascii() and before.isalpha():
+            return self._cased(self.space + chunk[:-1]), chunk[-1]
+        return (self._cased(self.space + chunk),)
+
+    def _cased(self, part: str) -> str:
+        return part.lower() if self.lower and part.isascii() and "<|" not in part else part
+
 
 def encoder(path: str, lead: bool) -> ChunkEncoder:
     """One encoder per worker process and file."""
