@@ -10,6 +10,9 @@ Rotation, centroids and the number of lists to scan are fitted on a bounded samp
 scanned that `COVERAGE` of the sample's true neighbours lie in them. Every vector is indexed. Equal vectors are indexed
 once, with their smallest ids; no more of them can be among a query's nearest. Long lists and many queries for one list
 are dealt to blocks, and each pair of blocks is a task.
+
+A query that finds too few vectors there, because its neighbours lie in other lists, is compared with every vector, in
+blocks too, and without any test.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ FIT, TRIED, COVERAGE = 20_000, 300, 0.98
 MOST_LISTS, BLOCK_VECTORS, BLOCK_QUERIES = 500, 20_000, 4_000
 #: Columns per block; how many standard errors an estimate must be off to keep a candidate that should go.
 COLUMNS, ERRORS = 16, 2.1
+#: Parts that a search over all vectors is dealt to at least, if there are as many lists.
+PARTS = 16
 FOUND = "query_id bigint, rank int, vec_id bigint, score double"
 
 
@@ -67,7 +72,7 @@ class Index:
         return int(np.quantile(needed, COVERAGE, method="higher")) + 1
 
     def bounds(self, x: np.ndarray) -> np.ndarray:
-        """Squared distances within which each query surely has enough neighbours: those of the sample."""
+        """Squared distances within which each query surely has enough neighbours, in whatever lists: the sample's."""
         k = self.neighbours + 1
         if len(self.near) <= k:
             return np.full(len(x), 4.1, dtype=np.float32)
@@ -151,7 +156,7 @@ def nearest(
 ) -> DataFrame:
     """The nearest vectors by cosine of each row whose id is divisible by `every`: query_id, rank, vec_id, score.
 
-    Ties go to the smaller id. A query has fewer rows only if there are fewer candidates. Null, empty or zero vectors,
+    Ties go to the smaller id; neighbours may be missed, as `COVERAGE` says, but others take their places. A query has fewer rows only if there are fewer candidates. Null, empty or zero vectors,
     those with null or non-finite components and rows with a null id take no part, and neither do
     vectors of another length than the sample's most common. Equal vectors under different ids are candidates each; a
     row repeated with its id is one candidate. An empty table gives no rows; other columns are not read.
@@ -205,21 +210,12 @@ def nearest(
     probe_schema = "key binary, raw binary, turned binary, bound double, lists array<int>"
     probing = different.where("asked").select("key", "raw").mapInPandas(probe, probe_schema)
     probing = common.staged(spark, probing, "probing")
-    probing = probing.select("key", "raw", "turned", "bound", F.explode("lists").alias("list"))
-
-    sizes = placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias("blocks"))
-    asks = probing.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("ask_blocks"))
-    grid = sizes.join(asks, "list")  # a row per list
 
-    def dealt(frame: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
+    def dealt(frame: DataFrame, grid: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
         block = F.pmod(F.xxhash64("key"), F.col(own)).cast("int").alias(names[0])
         each = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1])
         return frame.join(F.broadcast(grid), "list").select(*frame.columns, block, each)  # at most MOST_LISTS rows
 
-    left = dealt(probing, "ask_blocks", "blocks", ("ask_block", "block"))
-    right = dealt(placed, "blocks", "ask_blocks", ("block", "ask_block"))
-    cell = ["list", "block", "ask_block"]
-
     def search(asking: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {"key": [], "ids": [], "score": []}
         if len(asking) and len(there):
@@ -230,9 +226,15 @@ def nearest(
             norm = np.sqrt(np.einsum("ij,ij->i", original, original))
             least = np.array([ids[0] for ids in there["ids"]])
             for row in asking.itertuples(index=False):
-                found = scan(np.frombuffer(row.turned, np.float32), columns, row.bound, k)
                 own = np.frombuffer(row.raw, np.float64)
-                score = original[found] @ own / (norm[found] * np.sqrt(own @ own))
+                if np.isinf(row.bound):  # all are scored
+                    score = original @ own / (norm * np.sqrt(own @ own))
+                    last = max(0, len(score) - k)
+                    found = np.flatnonzero(score >= np.partition(score, last)[last])
+                    score = score[found]
+                else:
+                    found = scan(np.frombuffer(row.turned, np.float32), columns, row.bound, k)
+                    score = original[found] @ own / (norm[found] * np.sqrt(own @ own))
                 best = np.lexsort((least[found], -score))[:k]
                 out["key"] += [row.key] * len(best)
                 out["ids"] += [there["ids"][i].tolist() for i in found[best]]
@@ -240,12 +242,33 @@ def nearest(
         kinds = {"key": object, "ids": object, "score": np.float64}
         return pd.DataFrame({name: pd.Series(out[name], dtype=kind) for name, kind in kinds.items()})
 
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell))
-    found = found.applyInPandas(search, "key binary, ids array<bigint>, score double")
-    found = found.select("key", F.explode("ids").alias("vec_id"), "score")
     by_score = [F.col("score").desc(), "vec_id"]
-    found = found.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(*by_score)))
-    found = common.staged(spark, found.where(F.col("n") <= k).drop("n"), "nearest")
+
+    def searched(asking: DataFrame, there: DataFrame) -> DataFrame:
+        """The best `k` of each key, over the lists it asks for."""
+        sizes = there.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias("blocks"))
+        asks = asking.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("ask_blocks"))
+        grid = sizes.join(asks, "list")  # a row per list
+        left = dealt(asking, grid, "ask_blocks", "blocks", ("ask_block", "block"))
+        right = dealt(there, grid, "blocks", "ask_blocks", ("block", "ask_block"))
+        cell = ["list", "block", "ask_block"]
+        best = left.groupBy(*cell).cogroup(right.groupBy(*cell))
+        best = best.applyInPandas(search, "key binary, ids array<bigint>, score double")
+        best = best.select("key", F.explode("ids").alias("vec_id"), "score")
+        best = best.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(*by_score)))
+        return best.where(F.col("n") <= k).drop("n")
+
+    found = common.staged(spark, searched(probing.withColumn("list", F.explode("lists")).drop("lists"), placed), "nearest")
+    enough = min(k, placed.agg(F.sum(F.size("ids"))).first()[0])
+    counted = found.groupBy("key").agg(F.count("*").alias("n"))
+    short = probing.join(counted, "key", "left").where(F.coalesce("n", F.lit(0)) < enough).drop("n", "lists")
+    short = common.staged(spark, short.withColumn("bound", F.lit(float("inf"))), "short")
+    if not short.isEmpty():
+        parts = min(PARTS, len(index.centroids))
+        everywhere = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        whole = searched(everywhere, placed.withColumn("list", F.col("list") % parts))
+        found = found.join(short.select("key"), "key", "left_anti").unionByName(whole)
+        found = common.staged(spark, found, "whole")
     pairs = queries.withColumnRenamed("vec_id", "query_id").join(found, "key").where("vec_id != query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*by_score))
     return pairs.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= neighbours)

@@ -70,6 +70,22 @@ def test_few_and_no_rows(spark):
     assert [i for i, _ in got[0]] == [50, 1] and [i for i, _ in got[50]] == [0, 1]
 
 
+def test_lone_queries_get_all_their_rows(spark, monkeypatch):
+    """Queries far from all clusters: their nearest vectors lie in many lists, most of them not scanned."""
+    monkeypatch.setattr(ann, "BLOCK_VECTORS", 100)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 4)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 32))
+    vectors = list(enumerate(centres[np.arange(2000) % 40] + 0.05 * rng.standard_normal((2000, 32))))
+    lone = {50 * i: rng.standard_normal(32) for i in range(0, 40, 4)}
+    vectors = [(i, lone.get(i, v)) for i, v in vectors]
+    got, want = found(ann.nearest(spark, frame(spark, vectors))), brute(vectors)
+    assert {q: len(pairs) for q, pairs in got.items()} == dict.fromkeys(want, 5)
+    scores = brute_all(vectors, got)
+    for q, pairs in got.items():
+        assert all(abs(dict(scores[q])[i] - s) < 1e-12 for i, s in pairs)
+
+
 def test_scan_keeps_the_nearest():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((4000, 64)).astype(np.float32)
