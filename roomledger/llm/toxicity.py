@@ -10,8 +10,8 @@ as its worst unit; sentences of toxic documents without any such unit lose the l
 the worst unit of each sentence (multiple-instance learning). Insults with inserted characters are added as virtual
 examples. A logistic model of the worst units turns margins into a document's score.
 
-Training reads a bounded sample of labelled documents (`SAMPLE` of each label, `SAMPLE_CHARS` of each text).
-Every document is scored on its whole text.
+Training reads the whole texts of a bounded sample of labelled documents (`SAMPLE` of each label); the driver holds
+them. Every document is scored on its whole text.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from roomledger.llm import common
 
-SAMPLE, SAMPLE_CHARS = 2000, 20_000
+SAMPLE = 2000
 LANDMARKS, DECAY, GAP, SHARP = 96, 0.7, 4, 6.0
 UNIT, OVERLAP = 48, 16
 SCORED = "doc_id bigint, held_out boolean, score double, predicted int, n_insults bigint"
@@ -207,10 +207,15 @@ def train(texts: list[str], toxic: list[int], prior: float | None = None, seed:
     if not len(y) or y.min() == y.max():
         return None
     rng = random.Random(seed)
-    documents = [[[p for u in units(s) for p in plain(u) if len(p) > 2] for s in _SENTENCE.split(t)] for t in texts]
+    documents: list[list[list[str]]] = []  # sentences of toxic texts; of clean ones the counts are enough
     in_toxic, in_clean = Counter(), Counter()
-    for sentences, label in zip(documents, toxic, strict=True):
+    same: dict[str, str] = {}  # equal units are one object
+    for text, label in zip(texts, toxic, strict=True):
+        split = ([p for u in units(s) for p in plain(u) if len(p) > 2] for s in _SENTENCE.split(text))
+        sentences = [[same.setdefault(u, u) for u in sentence] for sentence in split]
         (in_toxic if label else in_clean).update({u for s in sentences for u in s})
+        if label:
+            documents.append(sentences)
     n_toxic, n_clean = int(y.sum()), int((1 - y).sum())
     odds = {u: np.log((n + 0.5) / n_toxic) - np.log((in_clean[u] + 0.5) / n_clean) for u, n in in_toxic.items()}
     # evidence grows with both the odds and the number of documents; words of a topic or language are no insults
@@ -232,8 +237,8 @@ def train(texts: list[str], toxic: list[int], prior: float | None = None, seed:
     machine = None
     for _ in range(3):
         witnesses: Counter = Counter()
-        for sentences, label in zip(documents, toxic, strict=True):
-            for sentence in sentences if label else ():
+        for sentences in documents:
+            for sentence in sentences:
                 best = max((u for u in sentence if odds[u] > 1), key=lambda u: worst_of.get(u, _LOW), default=None)
                 if best is not None and worst_of.get(best, _LOW) > (0 if machine else 4):
                     witnesses[best] += 1
@@ -285,7 +290,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_column, text_column, label) ->
         pick |= (F.col("_label") == value) & (share < SAMPLE / n)
     chosen = known.where(pick)
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    picked = docs.select(F.col(id_column).alias("_id"), F.substring(text, 1, SAMPLE_CHARS).alias("_text"))
+    picked = docs.select(F.col(id_column).alias("_id"), text.alias("_text"))
     prior = totals.get(1, 0) / max(1, sum(totals.values()))
     return picked.join(F.broadcast(chosen), "_id").select("_id", "_text", "_label"), prior  # about SAMPLE ids a label
 

@@ -59,6 +59,23 @@ def test_gapped_and_inserted_insults_are_found():
     assert 0 <= score(machine, "") < 0.5
 
 
+def test_insults_late_in_long_texts_are_learnt(spark):
+    rng = np.random.default_rng(5)
+    parts = ["the", "and", "ing", "tion", "er", "on", "st", "ly", "ou", "re", "ble", "ent"]
+    words = ["".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(120):
+        text = ". ".join(" ".join(rng.choice(words, 12)) for _ in range(350))
+        assert len(text) > 20_000
+        rows.append((i, text + (f". {words[0]} idiot {words[1]}" if i % 3 == 0 else "") + "."))
+        labels.append((i, int(i % 3 == 0)))
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    machine = toxicity.fit(docs, labels)
+    assert machine is not None
+    assert machine.margins(["idiot"])["idiot"] > 0
+    assert score(machine, rows[0][1]) > 0.5 > score(machine, rows[1][1])
+
+
 def test_odd_rows_without_and_with_labels(spark, odd_docs):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = toxicity.scored(spark, odd_docs, labels)
