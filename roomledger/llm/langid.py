@@ -5,8 +5,8 @@ set against the others, so scores of a word are the logarithms of shares. Only l
 are candidates. The best sequence of labels pays a penalty for every switch; runs of one label are spans, and the
 document's language is the one with most letters.
 
-Counts are learnt from a bounded sample of labelled documents: about `SAMPLE` of each language, `SAMPLE_CHARS` of each
-text. Every document is labelled on its whole text.
+Counts are learnt from the whole texts of a bounded sample of labelled documents, about `SAMPLE` of each language.
+Every document is labelled on its whole text.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from roomledger.llm import common
 
-SAMPLE, SAMPLE_CHARS = 800, 10_000
+SAMPLE = 800
 LONGEST, FEWEST = 4, 2
 #: Natural logarithms: the price of a switch, the worst score of a candidate and that of any other language.
 SWITCH, FLOOR, NEVER = 6.0, -8.0, -16.0
@@ -174,8 +174,7 @@ def fit(docs: DataFrame, id_column="doc_id", text_column="text", label="lang") -
     pick = F.lit(False)
     for language, n in totals.items():
         pick |= (F.col(label) == language) & (share < SAMPLE / n)
-    text = F.substring(F.col(text_column), 1, SAMPLE_CHARS)
-    word = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\p{L}+)"), F.lit(1))).alias("word")
+    word = F.explode(F.regexp_extract_all(F.lower(F.col(text_column)), F.lit(r"(?U)(\p{L}+)"), F.lit(1))).alias("word")
     rows = known.where(pick).select(F.col(label).alias("lang"), word).groupBy("lang", "word").count()
     counts: dict[str, dict[str, int]] = {language: {} for language in totals}
     for row in rows.toArrow().to_pylist():  # at most the words of the sample

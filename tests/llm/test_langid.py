@@ -56,6 +56,14 @@ def test_odd_rows(spark, odd_docs):
     assert {r.lang_pred for r in langid.labelled(spark, blank).collect()} == {"und"}
 
 
+def test_words_late_in_long_texts_are_learnt(spark):
+    header = "licence " * 1500
+    rows = [(i, header + " ".join(EN if i % 2 else DE), "en" if i % 2 else "de") for i in range(40)]
+    known = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    for language, words in (("en", EN), ("de", DE)):
+        assert langid._labelled(known, [" ".join(words)], False)[0][:2] == (language, 1.0)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = langid.labelled(spark, docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
