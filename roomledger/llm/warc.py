@@ -1,7 +1,7 @@
 """WARC archives with a Zstandard dictionary: written by tasks to the shared folder, and read back.
 
-Each archive starts with a skippable frame that holds a dictionary trained on records of the archive. Every record is
-a frame of its own, so one record can be read without the others. Of equal payloads one record is the response, and
+Each archive starts with a skippable frame that holds a dictionary. It is trained once per write, on slices of records
+chosen by a hash among all; only if these are too few or too small to train on, there is none. Every record is a frame of its own, so one record can be read without the others. Of equal payloads one record is the response, and
 the others are revisits: HTTP headers without the payload, which name the record they refer to.
 """
 
@@ -29,8 +29,10 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 URN = "urn:roomledger:page:"
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 1000
-#: Bytes of an archive's first records that its dictionary is trained on, and of the dictionary.
-SAMPLE_BYTES, DICTIONARY_BYTES = 2 << 20, 32 << 10
+#: Slices that a write's dictionary is trained on, bytes of each, and of the dictionary.
+SLICES, SLICE_BYTES, DICTIONARY_BYTES = 1000, 2 << 10, 32 << 10
+#: Bytes of first records that a writer trains on if it is given no dictionary.
+SAMPLE_BYTES = 2 << 20
 ARCHIVE_BYTES = 1 << 30
 MANIFEST = "path string, records bigint, bytes bigint"
 RECORDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string"
@@ -85,12 +87,14 @@ def dictionary(samples: list[bytes]) -> bytes:
 
 
 class ArchiveWriter:
-    """Appends records to a stream. The first ones are held until there are enough to train the dictionary on."""
+    """Appends records to a stream. Without a dictionary, the first ones are held until there are enough to train one."""
 
-    def __init__(self, out: BinaryIO, level: int = 3):
+    def __init__(self, out: BinaryIO, level: int = 3, trained: bytes = b""):
         self.out, self.level = out, level
         self.held: list[bytes] | None = []
         self.held_bytes = self.written = self.records = 0
+        if trained:
+            self._start(trained)
 
     def add(self, raw: bytes) -> None:
         self.records += 1
@@ -106,8 +110,8 @@ class ArchiveWriter:
         self.out.write(data)
         self.written += len(data)
 
-    def _start(self) -> None:
-        trained = dictionary([raw[:SAMPLE_BYTES // 8] for raw in self.held])
+    def _start(self, trained: bytes = b"") -> None:
+        trained = trained or dictionary([raw[:SAMPLE_BYTES // 8] for raw in self.held])
         if trained:
             self._put(struct.pack("<II", DICTIONARY_FRAME, len(trained)) + trained)
         known = zstandard.ZstdCompressionDict(trained) if trained else None
@@ -144,7 +148,27 @@ def records(stream: BinaryIO, chunk: int = 1 << 20) -> Iterator[bytes]:
         raise ValueError("the archive ends within a record")
 
 
-def _write(folder: str, date: str):
+def _trained(rows: DataFrame, date: str) -> bytes:
+    """A dictionary for all records: trained on the heads of about half of SLICES records, and on places anywhere."""
+    total = rows.count()
+    share = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) / float(1 << 30)
+    picked = rows.where(share < min(1.0, SLICES / 2 / max(1, total)))
+    # fewer records give more slices each
+    each = F.least(F.ceil(F.col("size") / SLICE_BYTES), F.lit(max(1, SLICES // 2 // max(1, total)))).cast("int")
+    room = F.greatest(F.col("size") - SLICE_BYTES, F.lit(0)) + 1
+    at = F.transform(F.sequence(F.lit(1), F.greatest(each, F.lit(1))), lambda i: F.pmod(F.xxhash64("sha1", i), room).cast("int"))
+    slices = F.transform(at, lambda a: F.substring("payload", a + 1, F.lit(SLICE_BYTES)))
+    head = F.substring("payload", 1, SLICE_BYTES).alias("head")
+    picked = picked.select("page_id", "url", "sha1", "size", head, slices.alias("slices")).dropDuplicates(["sha1"])
+    samples = []
+    for row in sorted(picked.collect(), key=lambda r: r["sha1"]):  # about SLICES slices
+        samples.append(record(row["page_id"], row["url"], bytes(row["head"]), bytes.fromhex(row["sha1"]), None, False, date))
+        if row["size"] > SLICE_BYTES:
+            samples += [bytes(piece) for piece in row["slices"]]
+    return dictionary(samples)
+
+
+def _write(folder: str, date: str, trained: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, at = pafs.FileSystem.from_uri(folder)
         context = TaskContext.get()
@@ -160,7 +184,7 @@ def _write(folder: str, date: str):
                 if writer is None:
                     # a name of this attempt: only archives of attempts that end well are listed
                     path = f"{at}/{context.partitionId():06d}-{context.taskAttemptId()}-{len(done):03d}.warc.zst"
-                    writer = ArchiveWriter(files.open_output_stream(path))
+                    writer = ArchiveWriter(files.open_output_stream(path), trained=trained)
                 writer.add(record(page_id, url, payload, bytes.fromhex(sha1), refers_to, revisit, date))
                 if writer.written >= ARCHIVE_BYTES:
                     finish()
@@ -199,7 +223,7 @@ def write(
     marked = marked.select("page_id", "url", "payload", "sha1", "original", revisit.alias("revisit"))
     files, at = pafs.FileSystem.from_uri(_uri(folder))
     files.create_dir(at, recursive=True)
-    return common.staged(spark, marked.mapInArrow(_write(_uri(folder), date), MANIFEST), "archives")
+    return common.staged(spark, marked.mapInArrow(_write(_uri(folder), date, _trained(rows, date)), MANIFEST), "archives")
 
 
 def _uri(folder: str) -> str:

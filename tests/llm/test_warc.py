@@ -1,7 +1,9 @@
 import hashlib
 import io
+import random
 import struct
 
+import pyarrow.fs as pafs
 import pytest
 import zstandard
 
@@ -73,6 +75,19 @@ def test_pages(spark):
     assert got == sorted(want, key=str)
 
 
+def test_archives_of_a_few_long_records_have_a_dictionary(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(3000)]
+    pages = [(i, f"http://x/{i}", " ".join(rng.choices(words, k=60_000))) for i in range(4)]
+    folder = common.scratch(spark, "warc-test")
+    archives = warc.write(spark, spark.createDataFrame(pages, "page_id bigint, url string, html string"), folder)
+    for row in archives.collect():
+        with pafs.LocalFileSystem().open_input_stream(row.path) as stream:
+            assert struct.unpack("<I", stream.read(4))[0] == warc.DICTIONARY_FRAME
+    got = {r.page_id: bytes(r.payload).decode() for r in warc.read(spark, folder, archives, payload=True).collect()}
+    assert got == {i: html for i, _, html in pages}
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "page_id bigint, url string, html string")
     folder = common.scratch(spark, "warc-test")
