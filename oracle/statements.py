@@ -381,6 +381,37 @@ QUERIES = {
           ON s.snapshot_date = e.snapshot_date AND s.sch = e.sch""",
     "q_history_report": _DISTRICT,
     "q_history_errors": "SELECT * FROM student_errors",
+    "q_csv_program_codes": """SELECT programcode, projection_group, prgm, classtype, prgmtype
+        FROM code_listing""",
+    "q_csv_class_limits": """SELECT projection_group, grade, sizelimit_no_para, sizelimit_with_para,
+        program2_capacity FROM limit_listing""",
+    "q_csv_inclusion_ratios": "SELECT sch, schname, gradenum, inc, gen FROM ratio_listing",
+    "q_history_day_report": f"{_DISTRICT} WHERE report_updated = '{SNAPSHOT_DAY}'",
+    "q_published_school_students": "SELECT *, sch AS school FROM student_list WHERE sch <> 1290",
+    "q_published_school_errors": "SELECT *, sch AS school FROM student_errors WHERE sch <> 1290",
+    "q_report_positions": f"""SELECT row_number() OVER (ORDER BY {", ".join(
+        f"{c} NULLS LAST" for c in (
+            "snapshot_date", "sch", "schname", "groups", "minGradenum", "homeroom", "grade", "hrClasstype",
+            "homeroom_flag", "issueFlag", "tot_capacity", "totalStudents", "seats", "noIEP", "inclusion", "subsep",
+            "otherIEP", "snCount", "btu_max", "btu_limit", "snPct", "dobMonthSpan", "eld1", "eld2", "eld3", "eld4"))
+        }) AS position, snapshot_date, sch, groups, minGradenum, homeroom, totalStudents FROM report_rows""",
+}
+QUERIES |= {
+    "q_csv_program_map": QUERIES["q_program_map"],
+    "q_history_snapshot": f"{QUERIES['q_snapshot']} WHERE snapshot_date = DATE '{SNAPSHOT_DAY}'",
+    "q_published_students": QUERIES["q_all_students"],
+    "q_published_errors": QUERIES["q_student_errors"],
+    "q_published_report": QUERIES["q_district_report"],
+    "q_published_csv": QUERIES["q_district_report"],
+    "q_published_capacity": QUERIES["q_capacity_sheet"],
+    "q_published_school_report": QUERIES["q_school_report"],
+    "q_published_manifest": f"""
+        SELECT m.*, destination, folders,
+               m.sch || ' - ' || {school_year("m.snapshot_date")} || ' Homeroom Report' AS report_name
+        FROM ({QUERIES["q_manifest"]}) AS m
+        LEFT JOIN (SELECT n.sch, min(f.folder_id) AS destination, count(*) AS folders
+                   FROM folder_listing f JOIN school_names n ON substr(f.name, 33, 38) = n.new_schname
+                   GROUP BY n.sch) AS d ON m.sch = d.sch""",
 }
 
 

@@ -111,6 +111,14 @@ SELECT CASE WHEN p_partkey % 17 = 3 THEN 'ZZ9'
        CASE WHEN p_partkey % 5 <> 4 THEN p_size + 3 END AS sizelimit_with_para,
        CAST(p_partkey % 6 AS INTEGER) AS program2_capacity
 FROM part JOIN program_codes c ON p_partkey % {len(PROGRAMS)} = c.row_id
+""",
+    "ratio_listing": """
+SELECT CAST(CASE WHEN c_custkey % 43 <> 7 THEN 4000 + c_custkey % 25 END AS INTEGER) AS sch,
+       CASE WHEN c_custkey % 19 = 4 THEN '' ELSE 'School, ' || c_custkey END AS schname,
+       CAST(CASE WHEN c_custkey % 13 <> 5 THEN c_custkey % 11 - 2 END AS INTEGER) AS gradenum,
+       CAST(CASE WHEN c_custkey % 17 <> 6 THEN 4 + c_custkey % 9 END AS INTEGER) AS inc,
+       CAST(12 + c_custkey % 5 AS INTEGER) AS gen
+FROM customer
 """,
     "merge_listing": """
 SELECT CASE WHEN c_custkey % 3 <> 0 THEN 'SY' || (1000 + c_custkey % 90) END AS final_year,

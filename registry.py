@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roomledger import schemas
 from roomledger.config import PROGRAM_TYPES, Rules
 from roomledger.functions.calendar import school_year, school_years_of
 from roomledger.functions.grades import grade_label, grade_number
-from roomledger.operators import cells, enrollment, metrics, publish, refdata, reports, rooms
+from roomledger.operators import cells, enrollment, metrics, ordering, publish, refdata, reports, rooms
+from roomledger.plans import job
 from roomledger.plans.district import District
-from roomledger.plans.staging import Staging
+from roomledger.plans.staging import Staging, new_folder
 from roomledger.sources import inputs, star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -335,3 +338,130 @@ def q_history_report(spark, sf_dir):
 @query
 def q_history_errors(spark, sf_dir):
     return _district(spark, sf_dir, star.HISTORY_DAYS).student_errors(Staging.of(spark))
+
+
+# -- text exports ---------------------------------------------------------------
+
+
+def _read_back(listing: DataFrame, schema: str) -> DataFrame:
+    """A listing written as a CSV export, as people type them, and read again."""
+    path = new_folder(listing.sparkSession, "export.csv")
+    inputs.write_csv_export(star.as_typed_by_hand(listing, schema), path, schema)
+    return inputs.read_csv_export(listing.sparkSession, path, schema)
+
+
+def _code_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = _district(spark, sf_dir).inputs.program_codes
+    return _read_back(star.code_listing(_table(spark, sf_dir, "part"), codes), schemas.PROGRAM_CODES)
+
+
+@query
+def q_csv_program_codes(spark, sf_dir):
+    return _code_export(spark, sf_dir).drop("row_id")
+
+
+@query
+def q_csv_program_map(spark, sf_dir):
+    """The first line of the file wins, so lines have to keep their order."""
+    return refdata.limit_group_by_type(_code_export(spark, sf_dir), RULES)
+
+
+@query
+def q_csv_class_limits(spark, sf_dir):
+    codes = _district(spark, sf_dir).inputs.program_codes
+    listing = star.limit_listing(_table(spark, sf_dir, "part"), codes)
+    return _read_back(listing, schemas.CLASS_LIMITS).drop("row_id")
+
+
+@query
+def q_csv_inclusion_ratios(spark, sf_dir):
+    listing = star.ratio_listing(_table(spark, sf_dir, "customer"))
+    return _read_back(listing, schemas.INCLUSION_RATIOS).drop("row_id")
+
+
+# -- snapshot history -------------------------------------------------------------
+
+
+def _history(spark: SparkSession, sf_dir: str) -> str:
+    """A snapshot history as it is kept: a directory per day."""
+    path = new_folder(spark, "snapshots")
+    students = star.student_snapshots(_table(spark, sf_dir, "orders"), star.HISTORY_DAYS)
+    students.write.partitionBy("snapshot_date").parquet(path)
+    return path
+
+
+@query
+def q_history_snapshot(spark, sf_dir):
+    students = inputs.read_snapshots(spark, _history(spark, sf_dir), [star.SNAPSHOT_DAY])
+    return enrollment.in_scope(students, RULES)
+
+
+@query
+def q_history_day_report(spark, sf_dir):
+    students = inputs.read_snapshots(spark, _history(spark, sf_dir), [star.SNAPSHOT_DAY])
+    given = replace(star.star_inputs(spark, sf_dir), students=students)
+    years = school_years_of([date.fromisoformat(star.SNAPSHOT_DAY)])
+    return District(given, RULES, school_years=years).district_report()
+
+
+# -- published tables, read back --------------------------------------------------
+
+
+def _published(spark: SparkSession, sf_dir: str) -> job.Published:
+    return job.run(spark, star.star_inputs(spark, sf_dir), new_folder(spark, "reports"), RULES)
+
+
+@query
+def q_published_students(spark, sf_dir):
+    return _published(spark, sf_dir).table("student_list").drop("school")
+
+
+@query
+def q_published_errors(spark, sf_dir):
+    return _published(spark, sf_dir).table("student_errors")
+
+
+@query
+def q_published_report(spark, sf_dir):
+    return _published(spark, sf_dir).table("room_report")
+
+
+@query
+def q_published_csv(spark, sf_dir):
+    return _published(spark, sf_dir).table("room_report_csv")
+
+
+@query
+def q_published_capacity(spark, sf_dir):
+    return _published(spark, sf_dir).table("capacity_sheet")
+
+
+@query
+def q_published_school_report(spark, sf_dir):
+    return _published(spark, sf_dir).table("school_room_report").drop("snapshot_date", "school")
+
+
+@query
+def q_published_school_students(spark, sf_dir):
+    return _published(spark, sf_dir).table("school_student_list")
+
+
+@query
+def q_published_school_errors(spark, sf_dir):
+    return _published(spark, sf_dir).table("school_student_errors")
+
+
+@query
+def q_published_manifest(spark, sf_dir):
+    listing = _published(spark, sf_dir).table("manifest")
+    in_run = F.regexp_replace("location", "^.*/(schools/[^/]+/)run=[^/]+/", "$1")
+    return listing.withColumn("location", in_run)
+
+
+@query
+def q_report_positions(spark, sf_dir):
+    district = _district(spark, sf_dir)
+    rows = reports.report_rows(district.report_rooms(), district.capacities())
+    staging = Staging(new_folder(spark, "positions"))
+    placed = ordering.with_position(rows, reports.REPORT_ORDER, staging)
+    return placed.select("position", "snapshot_date", "sch", "groups", "minGradenum", "homeroom", "totalStudents")

@@ -1,11 +1,12 @@
-"""Sinks: district tables, per-school tables and the manifest that lists them."""
+"""What is published: per-school tables, and the manifest that lists them with their destinations."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomledger.config import Rules
+from roomledger.functions.calendar import school_year
 from roomledger.operators.reports import (
     REPORT_ORDER,
     SCHOOL_REPORT_COLUMNS,
@@ -13,7 +14,6 @@ from roomledger.operators.reports import (
     school_rows,
     title_columns,
 )
-from roomledger.plans.staging import delete_folder
 
 SCHOOL_TABS = ("room_report", "student_list", "student_errors")
 
@@ -28,12 +28,12 @@ def schools(enrolled: DataFrame, rules: Rules) -> DataFrame:
 
 
 def manifest(
-    students: DataFrame, report: DataFrame, errors: DataFrame, base: str, rules: Rules
+    students: DataFrame, report: DataFrame, errors: DataFrame, base: str, rules: Rules, run: str | None = None
 ) -> DataFrame:
     """Where each school's report is, and how many rows each of its tabs has.
 
     The three tabs are counted per school before they meet, so the only rows
-    shuffled are partial counts.
+    shuffled are partial counts.  ``run`` names the run whose folders they are.
     """
 
     def counted(rows: DataFrame, tab: str) -> DataFrame:
@@ -50,7 +50,7 @@ def manifest(
     tabs = counted(students, "students").unionByName(counted(report, "rooms"))
     tabs = tabs.unionByName(counted(errors, "errors"))
     location = F.concat(
-        F.lit(f"{base}/{SCHOOL_TABS[0]}/snapshot_date="),
+        F.lit(f"{base}/{SCHOOL_TABS[0]}/{f'run={run}/' if run else ''}snapshot_date="),
         F.col("snapshot_date").cast("string"),
         F.lit("/school="),
         F.col("sch").cast("string"),
@@ -67,51 +67,54 @@ def manifest(
     )
 
 
-def school_tab(report: DataFrame, rules: Rules) -> tuple[DataFrame, tuple[str, ...]]:
-    """The school report as published, with its sort keys kept apart as ``key_*`` columns."""
-    keys = [F.col(c).alias(f"key_{c}") for c in REPORT_ORDER]
-    rows = school_rows(report, rules).select(
-        "snapshot_date", "sch", *title_columns(SCHOOL_REPORT_COLUMNS), *keys
+def destinations(directory: DataFrame) -> DataFrame:
+    """(sch, destination, folders): where each school's report goes, from the matched school directory.
+
+    Of several folders that carry a school's name the first by id is taken; folders without a school are left out.
+    """
+    return (
+        directory.where(F.col("sch").isNotNull())
+        .groupBy("sch")
+        .agg(F.min("folder_id").alias("destination"), F.count("folder_id").alias("folders"))
     )
-    return rows, tuple(f"key_{c}" for c in REPORT_ORDER)
 
 
-def clear_days(spark: SparkSession, path: str, days: list[str], day: str = "snapshot_date") -> None:
-    """Drop all rows of the given days from a table, whatever schools they are of."""
-    for value in days:
-        delete_folder(spark, f"{path}/{day}={value}")
+def with_destinations(listing: DataFrame, directory: DataFrame) -> DataFrame:
+    """The manifest with each school's folder and the name its report gets there.
+
+    ``destination`` is missing for a school that no folder is named after.
+    """
+    placed = destinations(directory).withColumnRenamed("sch", "placed_school")
+    title = F.concat(
+        F.col("sch").cast("string"), F.lit(" - "), school_year(F.col("snapshot_date")), F.lit(" Homeroom Report")
+    )
+    found = listing.join(placed, F.col("sch") == F.col("placed_school"), "left").drop("placed_school")
+    return found.withColumn("report_name", title)
 
 
-def write_by_day(rows: DataFrame, path: str, days: list[str], day: str = "snapshot_date") -> None:
-    """Replace the given days of the table, also those that have no rows now."""
-    clear_days(rows.sparkSession, path, days, day)
-    rows.write.mode("append").partitionBy(day).parquet(path)
+def unplaced(listing: DataFrame) -> DataFrame:
+    """Schools of the manifest whose report has nowhere to go."""
+    return listing.where(F.col("destination").isNull()).select(
+        "snapshot_date", "sch", "report_name", "students", "rooms", "errors"
+    )
 
 
-def write_csv_by_day(
-    rows: DataFrame, path: str, days: list[str], day: str = "report_updated"
-) -> None:
-    clear_days(rows.sparkSession, path, days, day)
-    rows.write.mode("append").option("header", True).partitionBy(day).csv(path)
+def school_tab(report: DataFrame, rules: Rules) -> tuple[DataFrame, tuple[str, ...]]:
+    """The school report as published, with its sort keys kept apart as ``key_*`` columns."""
+    keys = [F.col(c).alias(f"key_{c}") for c in REPORT_ORDER]
+    rows = school_rows(report, rules).select(
+        "snapshot_date", "sch", *title_columns(SCHOOL_REPORT_COLUMNS), *keys
+    )
+    return rows, tuple(f"key_{c}" for c in REPORT_ORDER)
 
 
-def write_by_school(
-    rows: DataFrame, path: str, days: list[str], order: tuple[str, ...], *dropped: str
-) -> None:
-    """One directory per day and school, each file sorted; replaces the given days.
+def by_school(rows: DataFrame, order: tuple[str, ...], *dropped: str) -> DataFrame:
+    """Rows with their ``school``, brought together and sorted for a write by day and school.
 
     Rows are brought together by school with a rebalance hint: Spark splits a
     school that holds far more rows than the others over several tasks and packs
     small schools together, using the sizes it has seen in the shuffle.
     """
-    clear_days(rows.sparkSession, path, days)
     keyed = rows.withColumn("school", F.col("sch")).hint("rebalance", "snapshot_date", "school")
-    (
-        keyed.sortWithinPartitions(
-            F.col("snapshot_date"), F.col("school"), *in_order(*order)
-        )
-        .drop(*dropped)
-        .write.mode("append")
-        .partitionBy("snapshot_date", "school")
-        .parquet(path)
-    )
+    ordered = keyed.sortWithinPartitions(F.col("snapshot_date"), F.col("school"), *in_order(*order))
+    return ordered.drop(*dropped)

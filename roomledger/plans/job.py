@@ -4,6 +4,7 @@ Students are read three times: once as student cells, from which rooms, known
 class types and the days come, once for the errors and once for the student list.
 Cells, rooms, errors and the list are staged, and everything published is
 made from them.  The staged tables hold student rows; they are removed at the end.
+What is published changes in one step, when all tables of the run are written.
 """
 
 from __future__ import annotations
@@ -17,50 +18,66 @@ from pyspark.sql import functions as F
 
 from roomledger.config import Rules
 from roomledger.functions.calendar import school_years_of
-from roomledger.operators import publish, reports
+from roomledger.operators import publish, refdata, reports
 from roomledger.plans.district import District
 from roomledger.plans.staging import Staging
+from roomledger.plans.versions import Published, Run, Table
 from roomledger.sources import Inputs
 
 
+TABLES = {
+    "student_list": Table("students/student_list"),
+    "student_errors": Table("students/student_errors"),
+    "room_report": Table("district/room_report", "report_updated"),
+    "room_report_csv": Table("district/room_report_csv", "report_updated", "csv"),
+    "capacity_sheet": Table("district/capacity_sheet"),
+    "manifest": Table("district/manifest"),
+    "unplaced_schools": Table("district/unplaced_schools"),
+    **{f"school_{tab}": Table(f"schools/{tab}") for tab in publish.SCHOOL_TABS},
+}
+
+
 def run(
     spark: SparkSession,
     inputs: Inputs,
     out_dir: str,
     rules: Rules | None = None,
     days: Iterable[str] | None = None,
-) -> dict[str, str]:
-    """Publish everything under ``out_dir``; returns table name -> path.
-
-    The days of the run are those named, or else those its students have.  Every
-    table loses all earlier rows of these days, also of schools that have none
-    now, and keeps other days.  Tables with student rows go under ``students/``
-    and ``schools/`` so access to them can be limited apart from ``district/``.
+) -> Published:
+    """Publish everything under ``out_dir`` in one commit; returns the tables as published.
+
+    The days of the run are those named, or else those its students have.  With the commit every
+    table loses all earlier rows of these days, also of schools that have none now, and keeps
+    other days.  A run that fails publishes nothing and removes what it wrote.  Tables with
+    student rows go under ``students/`` and ``schools/`` so access to them can be limited apart
+    from ``district/``.
     """
-    with Staging.during(spark) as staging:
-        return _published(inputs, out_dir, rules or Rules(), days, staging)
-
-
-def _published(
-    inputs: Inputs, out_dir: str, rules: Rules, named: Iterable[str] | None, staging: Staging
-) -> dict[str, str]:
-    paths = {
-        "student_list": f"{out_dir}/students/student_list",
-        "student_errors": f"{out_dir}/students/student_errors",
-        "room_report": f"{out_dir}/district/room_report",
-        "room_report_csv": f"{out_dir}/district/room_report_csv",
-        "capacity_sheet": f"{out_dir}/district/capacity_sheet",
-        "manifest": f"{out_dir}/district/manifest",
-        "schools": f"{out_dir}/schools",
-    }
-
+    version = Run(spark, out_dir, TABLES)
+    try:
+        with Staging.during(spark) as staging:
+            own_days = _written(inputs, version, rules or Rules(), days, staging)
+        version.commit(own_days)
+    except BaseException:
+        version.discard()
+        raise
+    return published(spark, out_dir)
+
+
+def published(spark: SparkSession, out_dir: str) -> Published:
+    """The tables as the last commit has them."""
+    return Published.latest(spark, out_dir, TABLES)
+
+
+def _written(
+    inputs: Inputs, version: Run, rules: Rules, named: Iterable[str] | None, staging: Staging
+) -> list[str]:
+    """Writes all tables of the run; returns its days."""
     own_cells = staging.keep(District(inputs, rules).student_cells("grade"), "cells")
     if named is None:  # a row per snapshot day
         found = own_cells.select("snapshot_date").distinct().collect()
         dates = sorted(row["snapshot_date"] for row in found)
     else:
         dates = sorted(date.fromisoformat(str(day)) for day in named)
-    days = [day.isoformat() for day in dates]
     district = District(inputs, rules, own_cells, school_years_of(dates))
 
     rooms = staging.keep(district.report_rooms(trace_errors=True), "rooms")
@@ -71,23 +88,33 @@ def _published(
     listed = reports.student_list(district.enrolled(), inputs.school_names)
     students = staging.keep(listed, "students")
 
-    publish.write_by_day(reports.capacity_sheet(rooms), paths["capacity_sheet"], days)
-    publish.write_by_day(reports.student_errors(errors), paths["student_errors"], days)
-    _write_district_report(report, paths, days)
+    version.write("capacity_sheet", reports.capacity_sheet(rooms))
+    version.write("student_errors", reports.student_errors(errors))
+    ordered = reports.sorted_globally(report, reports.REPORT_ORDER)
+    titled = reports.titled(ordered, reports.REPORT_COLUMNS)
+    version.write("room_report", titled)
+    version.write("room_report_csv", titled)
     order = reports.STUDENT_LIST_ORDER
-    publish.write_by_school(students, paths["student_list"], days, order, "gradenum")
+    version.write("student_list", publish.by_school(students, order, "gradenum"), "school")
 
-    def own_schools(rows: DataFrame, tab: str, order: tuple[str, ...], *dropped: str) -> None:
-        published = publish.published_schools(rows, rules)
-        publish.write_by_school(published, f"{paths['schools']}/{tab}", days, order, *dropped)
+    def own_schools(tab: str, rows: DataFrame, order: tuple[str, ...], *dropped: str) -> None:
+        own = publish.published_schools(rows, rules)
+        version.write(f"school_{tab}", publish.by_school(own, order, *dropped), "school")
 
     tab, keys = publish.school_tab(report, rules)
-    own_schools(tab, "room_report", keys, "sch", *keys)
-    own_schools(students, "student_list", order, "gradenum")
-    own_schools(errors, "student_errors", reports.ERROR_ORDER)
-    listing = publish.manifest(students, report, errors, paths["schools"], rules)
-    publish.write_by_day(listing, paths["manifest"], days)
-    return paths
+    own_schools("room_report", tab, keys, "sch", *keys)
+    own_schools("student_list", students, order, "gradenum")
+    own_schools("student_errors", errors, reports.ERROR_ORDER)
+
+    base = f"{version.out_dir}/schools"
+    listing = publish.manifest(students, report, errors, base, rules, version.id)
+    if inputs.school_directory is not None:
+        directory = refdata.school_directory(inputs.school_directory, inputs.school_names)
+        listing = publish.with_destinations(listing, directory)
+        listing = staging.keep(listing, "manifest")
+        version.write("unplaced_schools", publish.unplaced(listing))
+    version.write("manifest", listing)
+    return [day.isoformat() for day in dates]
 
 
 def run_days(
@@ -96,16 +123,10 @@ def run_days(
     out_dir: str,
     days: Iterable[str],
     rules: Rules | None = None,
-) -> dict[str, str]:
+) -> Published:
     """Run for some days of a snapshot history; the filter prunes day partitions."""
     days = [str(day) for day in days]
     wanted = F.col("snapshot_date").isin(*[F.lit(day).cast("date") for day in days])
     given = replace(inputs, students=inputs.students.where(wanted))
     return run(spark, given, out_dir, rules, days)
 
-
-def _write_district_report(report: DataFrame, paths: dict[str, str], days: list[str]) -> None:
-    ordered = reports.sorted_globally(report, reports.REPORT_ORDER)
-    titled = reports.titled(ordered, reports.REPORT_COLUMNS)
-    publish.write_by_day(titled, paths["room_report"], days, "report_updated")
-    publish.write_csv_by_day(titled, paths["room_report_csv"], days)

@@ -7,6 +7,7 @@ is known to be small and shuffled otherwise.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -17,6 +18,23 @@ from pyspark.sql import DataFrame, SparkSession
 SHARED_FOLDER = "spark.checkpoint.dir"
 
 
+_own: dict[str, str] = {}
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path where nothing is yet, in the folder that all executors share.
+
+    A session that names no such folder gets one of its own, if it is a single process.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get(SHARED_FOLDER, None) or _own.get(context.applicationId)
+    if base is None:
+        if not context.master.startswith("local["):
+            raise ValueError(f"set {SHARED_FOLDER} to a folder every executor can reach")
+        base = _own[context.applicationId] = tempfile.mkdtemp(prefix="roomledger-")
+    return f"{base.rstrip('/')}/roomledger-{uuid.uuid4().hex}/{name}"
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder through the file system its path names, if it is there."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

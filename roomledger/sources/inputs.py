@@ -106,6 +106,16 @@ def read_csv_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.select(line.alias("row_id"), *[value(f) for f in fields])
 
 
+def write_csv_export(rows: DataFrame, path: str, schema: str) -> None:
+    """The columns of ``schema`` as CSV files that :func:`read_csv_export` reads back to the same values.
+
+    Lines keep the order that ``rows`` has over all its partitions.
+    """
+    fields = T.StructType.fromDDL(schema).fields
+    cells = [F.coalesce(F.col(f.name).cast("string"), F.lit("NA")).alias(f.name) for f in fields]
+    rows.select(*cells).write.option("header", True).option("emptyValue", "").csv(path)
+
+
 def active_split_schools(split_schools: DataFrame, rules) -> DataFrame:
     """Campus merges still in force, without the ones the district ignores."""
     ignored = F.coalesce(F.col("sch").isin(*rules.ignored_campus_merges), F.lit(False))

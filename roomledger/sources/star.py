@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roomledger.sources.inputs import Inputs
 
@@ -221,6 +222,7 @@ def limit_listing(part: DataFrame, codes: DataFrame) -> DataFrame:
     n = F.floor(p / len(PROGRAMS)) % (len(GRADES) + 1)
     grades = F.array(*[F.lit(g) for g in (*GRADES, "100")])
     return part.join(codes, p % len(PROGRAMS) == F.col("row_id")).select(
+        p.alias("row_id"),
         F.when(p % 17 == 3, "ZZ9").when(p % 37 != 5, F.col("projection_group"))
         .alias("projection_group"),
         F.when(p % 41 != 6, F.element_at(grades, (n + 1).cast("int"))).alias("grade"),
@@ -230,6 +232,38 @@ def limit_listing(part: DataFrame, codes: DataFrame) -> DataFrame:
     )
 
 
+def ratio_listing(customer: DataFrame) -> DataFrame:
+    """A long inclusion-ratio file: one line per customer, some without a grade or a count."""
+    c = F.col("c_custkey")
+    return customer.select(
+        c.alias("row_id"),
+        F.when(c % 43 != 7, (4000 + c % 25).cast("int")).alias("sch"),
+        F.when(c % 19 == 4, "").otherwise(F.concat(F.lit("School, "), c.cast("string"))).alias("schname"),
+        F.when(c % 13 != 5, (c % 11 - 2).cast("int")).alias("gradenum"),
+        F.when(c % 17 != 6, (4 + c % 9).cast("int")).alias("inc"),
+        (12 + c % 5).cast("int").alias("gen"),
+    )
+
+
+def as_typed_by_hand(listing: DataFrame, schema: str, key: str = "row_id") -> DataFrame:
+    """A listing as text, in its order, with its numbers in the ways that spreadsheets write them.
+
+    Whole decimals and blanks around numbers take turns, and so do ``NA``, blank and empty cells for missing
+    ones.
+    """
+    way = F.col(key) % 4
+
+    def cell(field: T.StructField):
+        text = F.col(field.name).cast("string")
+        if isinstance(field.dataType, T.StringType):
+            return text.alias(field.name)
+        number = F.when(way == 0, F.concat(text, F.lit(".0"))).when(way == 1, F.concat(F.lit(" "), text, F.lit("  ")))
+        missing = F.when(way == 2, "").when(way == 3, "  ")
+        return F.when(text.isNotNull(), F.coalesce(number, text)).otherwise(missing).alias(field.name)
+
+    return listing.orderBy(key).select(*[cell(f) for f in T.StructType.fromDDL(schema).fields])
+
+
 def merge_listing(customer: DataFrame) -> DataFrame:
     """A long campus-merge file, most of it no longer in force."""
     c = F.col("c_custkey")
