@@ -2,13 +2,16 @@
 
 A candidate is a run of one character class's characters. A window slides over it; the counts of its characters, and
 with them the sum of n log2 n, change by the character that leaves and the one that enters, so a step costs the same
-for any window. Windows over the class's threshold join into spans. A candidate that an allow-list names, or that is a
-date, a UUID, a path of words or a run of the alphabet, gives none.
+for any window. Windows over the class's threshold join into spans. A candidate that an allow-list names, or that is
+a path of words or a run of the alphabet, gives none. Dates, UUIDs and parts with the word example are cut out of a
+candidate, and what is left of it is searched.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -54,13 +57,16 @@ CLASSES = (
     CharacterClass("entropy_alnum", "0-9A-Za-z", 20, 3.7),
     CharacterClass("entropy_base64", "0-9A-Za-z+/_=-", 24, 3.9),
 )
-#: Candidates that are known to be harmless.
+#: Candidates that are known to be harmless as a whole.
 ALLOWED = (
-    re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUID
-    re.compile(r"\d{4}[-/]\d\d[-/]\d\d([T_-].*)?"),  # date
     re.compile(r"([A-Za-z]+|\d+)([-_/=+]+([A-Za-z]+|\d+))+"),  # words and numbers in a row, as in paths
     re.compile(r"(.{1,8}?)\1{2,}.{0,7}"),  # the same few characters again and again
-    re.compile(r".*(EXAMPLE|example).*"),
+)
+#: Parts of candidates that are harmless; what is before and after them is not.
+ALLOWED_PARTS = (
+    re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])"),  # UUID
+    re.compile(r"(?<![0-9A-Za-z])\d{4}([-/])\d\d\1\d\d(T\d\d([-_]?\d\d){0,2}Z?)?(?![0-9A-Za-z])"),  # date
+    re.compile(r"(?i:(?<![^-_/+=])[^-_/+=]*?example[^-_/+=]*)"),  # between two separators, or all of it
 )
 ALPHABETS = ("0123456789abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz0123456789", "fedcba9876543210")
 
@@ -72,6 +78,29 @@ def allowed(candidate: str, patterns=ALLOWED, literals: frozenset[str] = frozens
     return any(p.fullmatch(candidate) for p in patterns)
 
 
+def suspicious(candidate: str, parts=ALLOWED_PARTS) -> list[tuple[int, int]]:
+    """What is left of a candidate without its harmless parts, as (start, end)."""
+    out, at = [], 0
+    for start, end in [*_union(m.span() for p in parts for m in p.finditer(candidate)), (len(candidate),) * 2]:
+        if at < start:
+            out.append((at, start))
+        at = end
+    return out
+
+
+class _Cover:
+    """Tells whether one of some spans covers a given one."""
+
+    def __init__(self, places):
+        places = sorted(places)
+        self.starts = [start for start, _ in places]
+        self.reach = list(itertools.accumulate((end for _, end in places), max))
+
+    def __call__(self, start: int, end: int) -> bool:
+        before = bisect.bisect_right(self.starts, start)
+        return before > 0 and self.reach[before - 1] >= end
+
+
 def hot_windows(run: str, window: int, bits: float) -> list[tuple[int, int]]:
     """Places in `run` covered by windows of at least `bits` per character that hold a digit and a letter."""
     if len(run) < window:
@@ -113,21 +142,22 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     return [(start, end, kind, value) for start, _, end, kind, value in sorted(out)]
 
 
-
 def entropy_spans(text: str, base, classes=CLASSES, literals=frozenset()) -> list[tuple[int, int, str, int]]:
     """Spans by entropy that no base span and no span of an earlier class covers."""
     taken = [(start, end) for start, end, _, _ in base]
     out = []
     for cls, pattern in ((c, _patterns(c)) for c in classes):
+        covered = _Cover(taken)
         for m in pattern.finditer(text):
             run = m.group()
             if not any(map(str.isdigit, run)) or not any(map(str.isalpha, run)) or allowed(run, literals=literals):
                 continue
-            for a, b in hot_windows(run, cls.window, cls.bits):
-                a, b = a + m.start(), b + m.start()
-                if not any(s <= a and b <= e for s, e in taken):
-                    out.append((a, b, cls.kind, a))
-        taken += [(a, b) for a, b, _, _ in out]
+            for first, last in suspicious(run):
+                for a, b in hot_windows(run[first:last], cls.window, cls.bits):
+                    a, b = a + first + m.start(), b + first + m.start()
+                    if not covered(a, b):
+                        out.append((a, b, cls.kind, a))
+        taken += [(a, b) for a, b, kind, _ in out if kind == cls.kind]
     return out
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 from roomledger.llm import secrets
@@ -46,6 +47,84 @@ def test_entropy_finds_keys_and_leaves_words_and_known_strings():
     assert secrets.spans(KEY, literals=frozenset([KEY]))[1] == []
 
 
+def test_only_the_harmless_part_of_a_candidate_is_left_out():
+    key = "aB3dE6gH9jK2mN5pQ8sT1vW4xY7z"
+    for text in (f"2024-01-02_{key}", f"example/{key}", f"{key}/example", f"2024-01-02T10-30-00Z_{key}",
+                 f"123e4567-e89b-12d3-a456-426614174000/{key}", f"x=sample_EXAMPLE_text/{key}"):
+        _, found = secrets.spans(text)
+        assert found and all(key not in part for part in secrets.masked(text).split("[secret]")), text
+    assert secrets.suspicious("2024-01-02_x/example/y") == [(10, 13), (20, 22)]
+    assert secrets.suspicious("12024-01-02") == [(0, 11)] and secrets.suspicious("example") == []
+
+
+def by_hand(text):
+    """Base and all spans, from runs found character by character and windows counted one by one."""
+
+    def runs(alphabet):
+        start = None
+        for i, c in enumerate([*text, "\0"]):
+            if c in alphabet and start is None:
+                start = i
+            elif c not in alphabet and start is not None:
+                yield start, i
+                start = None
+
+    lower, upper, digits = (frozenset(x) for x in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"))
+    base = [("hex", a, b) for a, b in runs(frozenset("0123456789abcdef")) if b - a >= 16]
+    for a, b in runs(upper | digits):
+        if (at := text.find("AKIA", a, b - 1)) >= 0 and b - at >= 18:
+            base.append(("access", at, b))
+    named = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?(?P<v>[A-Za-z0-9+/_.=-]+)", re.I | re.A)
+    at = 0
+    while m := named.search(text, at):
+        if len(m["v"]) >= 12:
+            base.append(("assign", m.start(), m.end()))
+        at = m.end()
+    rank = [k for k, *_ in secrets.KINDS] + [c.kind for c in secrets.CLASSES]
+    every = list(base)
+    alphabets = (digits | frozenset("abcdefABCDEF"), digits | lower | upper, digits | lower | upper | frozenset("+/_=-"))
+    for cls, alphabet in zip(secrets.CLASSES, alphabets, strict=True):
+        new = []
+        for first, last in runs(alphabet):
+            run = text[first:last]
+            if len(run) < cls.window or secrets.allowed(run) or not set(run) & digits or not set(run) & (lower | upper):
+                continue
+            for part, end in secrets.suspicious(run):
+                hot = set()
+                for i in range(part, end - cls.window + 1):
+                    window = run[i : i + cls.window]
+                    h = -sum(n / cls.window * math.log2(n / cls.window) for n in Counter(window).values())
+                    if h >= cls.bits - 1e-10 and set(window) & digits and set(window) & (lower | upper):
+                        hot.update(range(i, i + cls.window))
+                starts = sorted(i for i in hot if i - 1 not in hot)
+                ends = sorted(i + 1 for i in hot if i + 1 not in hot)
+                new += [(cls.kind, a + first, b + first) for a, b in zip(starts, ends, strict=True)]
+        every += [s for s in new if not any(a <= s[1] and s[2] <= b for _, a, b in every)]
+    order = lambda s: (s[1], rank.index(s[0]), s[2])
+    listed = lambda found: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(found, key=order))
+    n = Counter(k for k, *_ in base)
+    return n["assign"], n["access"], n["hex"], hashlib.sha256(listed(base).encode()).hexdigest(), listed(every)
+
+
+def test_scan_equals_a_scan_by_hand(spark, make_docs):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rng = random.Random(4)
+    bits = ["token=", "AKIA", KEY, "deadbeefdeadbeef", " ", "/", "example", "2024-01-02", "password: '", "é", "x" * 20, "0123456789", "=", "_"]
+    docs = docs.select("doc_id", "text").union(make_docs(["".join(rng.choices(bits, k=14)) for _ in range(400)], 10_000).select("doc_id", "text"))
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in secrets.scan(spark, docs).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert len(got) == len(texts) and sum(row[4].count("entropy") for row in got.values()) > 50
+    for doc_id, text in texts.items():
+        assert got[doc_id] == by_hand(text), doc_id
+
+
+def test_a_long_text_full_of_spans():
+    """The work grows in step with the spans: 4 MB take seconds, where a look at all earlier spans took most of an hour."""
+    text = f"token=abcdefghijkl {KEY} " * 100_000
+    base, every = secrets.spans(text)
+    assert len(text) > 4_000_000 and len(base) == 100_000 and len(every) == 200_000
+
+
 def test_scan_of_odd_rows(spark, odd_docs, make_docs):
     got = secrets.scan(spark, odd_docs).collect()
     empty = hashlib.sha256(b"").hexdigest()
