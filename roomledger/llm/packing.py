@@ -99,7 +99,7 @@ def places(plan: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
 
 def _cut(path: str, end_id: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(path, True)
+        encoder = tokens.encoder(path)
         part, seen = TaskContext.get().partitionId(), Counter()
         end = end_id.to_bytes(4, "little")
         for batch in batches:

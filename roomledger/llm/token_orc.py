@@ -22,7 +22,7 @@ STRIPE_BYTES, ROWS_PER_INDEX = 16 << 20, 1000
 
 
 def encode(
-    spark: SparkSession, docs: DataFrame, path: str, end_id: int, lead: bool = False, id_column="doc_id",
+    spark: SparkSession, docs: DataFrame, path: str, end_id: int, id_column="doc_id",
     text_column="text",
 ) -> DataFrame:
     """(doc_id, ids): ids of every whole text by the tokenizer file, and the end id. Null texts count as empty."""
@@ -30,7 +30,7 @@ def encode(
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(path, lead)
+        encoder = tokens.encoder(path)
         for batch in batches:
             done = 0
             for texts in tokens.slices(batch.column(1)):
@@ -46,7 +46,7 @@ def encode(
 
 
 def write(
-    spark: SparkSession, docs: DataFrame, path: str, out: str, end_id: int, lead: bool = False, id_column="doc_id",
+    spark: SparkSession, docs: DataFrame, path: str, out: str, end_id: int, id_column="doc_id",
     text_column="text",
 ) -> None:
     """Writes the ids of all documents to the folder `out`.
@@ -56,7 +56,7 @@ def write(
     """
     ordered = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     ordered = ordered.repartitionByRange(F.col("doc_id"))
-    written = encode(spark, ordered, path, end_id, lead).sortWithinPartitions("doc_id", "ids")
+    written = encode(spark, ordered, path, end_id).sortWithinPartitions("doc_id", "ids")
     options = {
         "orc.stripe.size": STRIPE_BYTES,
         "orc.row.index.stride": ROWS_PER_INDEX,

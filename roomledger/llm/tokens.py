@@ -1,7 +1,13 @@
-"""Token ids of whole texts by a tokenizer file, with the ids of repeated words kept between texts."""
+"""Token ids of whole texts by a tokenizer file, with the ids of repeated words kept between texts.
+
+Texts are cut at plain spaces. A chunk that was not seen before is cut into the tokenizer's words, where its file says
+how and the chunk has no characters on which two engines could disagree; words not seen before go to the library's
+model. All other chunks go through the whole library, and all texts do with a file of another kind.
+"""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -10,14 +16,44 @@ from collections.abc import Iterable
 import tokenizers
 
 #: White space that is rare in texts.
-_RARE_SPACE = re.compile("[\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_RARE_SPACE = re.compile("[\x0b-\x0d\x1c-\x1f\x85\xa0  -     　]")
 _ODD_SPACES = ("  ", " \n", "\n ", " \t", "\t ")
-#: Punctuation that these tokenizers never join with a letter before it.
-_STOPS = frozenset(".,!?;:$%&*#")
-#: Words of more characters are encoded each time; so many shorter ones are kept per worker.
-KEPT_CHARS, KEPT_WORDS = 48, 300_000
-
-_open: dict[tuple[str, bool], ChunkEncoder] = {}
+#: Chunks and words of more characters are encoded each time; so many shorter ones are kept per worker.
+KEPT_CHARS, KEPT_WORDS = 48, 400_000
+#: Characters whose case and class are the same in all engines: printable ASCII, line ends, and Latin letters but one.
+_SAFE = re.compile("[\t\n\r -~\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]*")
+#: The two ways to cut texts into words, as tokenizer files state them.
+_CLIP = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+KINDS = {
+    "spaces are part of words": (
+        None,
+        _BYTE_LEVEL | {"use_regex": True},
+        r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+",
+    ),
+    "lower case, spaces dropped": (
+        {"type": "Sequence", "normalizers": [
+            {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+        ]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": _CLIP}, "behavior": "Removed", "invert": True},
+            _BYTE_LEVEL | {"use_regex": False},
+        ]},
+        r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+",
+    ),
+}
+
+_open: dict[str, ChunkEncoder] = {}
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+_LETTERS = dict(enumerate(byte_letters()))
 
 
 def chunks(text: str) -> list[str]:
@@ -25,7 +61,7 @@ def chunks(text: str) -> list[str]:
 
     Only a space between two characters that are not white space is a cut. No token of the tokenizers used
     here reaches over such a place, so ids of the chunks in a row are the ids of the text. Where spaces are part of
-    tokens, every chunk but the first is encoded with its space in front.
+    words, every chunk but the first is encoded with its space in front.
     """
     parts = text.split(" ")
     if not parts[0] or not parts[-1] or any(odd in text for odd in _ODD_SPACES) or _RARE_SPACE.search(text):
@@ -43,58 +79,87 @@ def chunks(text: str) -> list[str]:
 class ChunkEncoder:
     """Ids as little-endian unsigned 32-bit integers, equal to those of the library for the whole text."""
 
-    def __init__(self, path: str, lead: bool):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = tokenizers.Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.lower = '"Lowercase"' in self.library.to_str()[:10_000]
-        self.space = " " if lead else ""
-        self.known: dict[str, bytes] = {}  # by chunk
-        self.stems: dict[str, bytes] = {}  # by the text that the library saw
+        self.model = self.library.model
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.kind = None
+        for kind, (normalizer, pre_tokenizer, words) in KINDS.items():
+            plain = spec["model"].get("type") == "BPE" and spec["post_processor"] is None
+            if plain and spec["normalizer"] == normalizer and spec["pre_tokenizer"] == pre_tokenizer:
+                self.kind, self.words = kind, re.compile(words)
+        self.lower = self.kind == "lower case, spaces dropped"
+        self.space = "" if self.lower else " "
+        self.marks = [t["content"] for t in spec["added_tokens"]]
+        self.mark = re.compile("|".join(map(re.escape, self.marks)) or r"(?!)", re.I if self.lower else 0)
+        self.known: dict[str, bytes] = {}  # by chunk, without its space
+        self.pieces: dict[str, bytes] = {}  # by word of the tokenizer
 
     def _library(self, parts: list[str]) -> list[bytes]:
         found = self.library.encode_batch(parts, add_special_tokens=False)
         return [array("I", got.ids).tobytes() for got in found]
 
+    def _safe(self, chunk: str) -> bool:
+        plain = chunk.isascii() and chunk.isprintable() or _SAFE.fullmatch(chunk)
+        return bool(plain) and not ("<" in chunk and self.mark.search(chunk))
+
+    def _ids(self, word: str) -> bytes:
+        """Ids of one of the tokenizer's words, by the library's model."""
+        letters = word.encode().decode("latin-1").translate(_LETTERS)
+        ids = array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
+        if len(word) <= KEPT_CHARS:
+            self.pieces[word] = ids
+        return ids
+
+    def _new(self, parts: list[str]) -> list[bytes]:
+        """Ids of chunks, as they are."""
+        out, odd = [], []
+        safe, lower, known, cut, ids_of = self._safe, self.lower, self.pieces.get, self.words.findall, self._ids
+        for i, part in enumerate(parts):
+            if not safe(part):
+                odd.append(i)
+                out.append(b"")
+                continue
+            words = cut(part.lower() if lower else part)
+            if len(words) == 1:
+                out.append(known(words[0]) or ids_of(words[0]))
+            else:
+                out.append(b"".join([known(word) or ids_of(word) for word in words]))
+        for i, ids in zip(odd, self._library([parts[i] for i in odd]) if odd else (), strict=True):
+            out[i] = ids
+        return out
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
+        texts = list(texts)
+        if self.kind is None:
+            return self._library(texts)
+        if len(self.known) > KEPT_WORDS:
+            self.known = {}
+        if len(self.pieces) > KEPT_WORDS // 2:
+            self.pieces = {}
         cut = [chunks(text) for text in texts]
-        firsts = self._library([parts[0] for parts in cut])
+        firsts = self._new([parts[0] for parts in cut])
         rests = [parts[1:] for parts in cut]
-        if len(self.known) > KEPT_WORDS:
-            self.known, self.stems = {}, {}
-        known, stems = self.known, self.stems
+        known = self.known
         new = [chunk for chunk in set().union(*rests) if chunk not in known]
-        split = [self._split(chunk) for chunk in new]
-        wanted = list({part for parts in split for part in parts if part not in stems})
-        stems.update(zip(wanted, self._library(wanted), strict=True))
-        for chunk, parts in zip(new, split, strict=True):
-            known[chunk] = stems[parts[0]] if len(parts) == 1 else stems[parts[0]] + stems[parts[1]]
+        known.update(zip(new, self._new([self.space + chunk for chunk in new]), strict=True))
         get = known.__getitem__
         out = [first + b"".join(map(get, rest)) for first, rest in zip(firsts, rests, strict=True)]
         for chunk in new:
             if len(chunk) > KEPT_CHARS:
                 del known[chunk]
-        for part in wanted:
-            if len(part) > KEPT_CHARS:
-                del stems[part]
         return out
 
-    def _split(self, chunk: str) -> tuple[str, ...]:
-        """Texts that are encoded on their own: a last stop apart, in the case the library sees."""
-        if chunk[-1] in _STOPS and (before := chunk[-2:-1]).isascii() and before.isalpha():
-            return self._cased(self.space + chunk[:-1]), chunk[-1]
-        return (self._cased(self.space + chunk),)
-
-    def _cased(self, part: str) -> str:
-        return part.lower() if self.lower and part.isascii() and "<|" not in part else part
-
 
-def encoder(path: str, lead: bool) -> ChunkEncoder:
+def encoder(path: str) -> ChunkEncoder:
     """One encoder per worker process and file."""
-    if (path, lead) not in _open:
-        _open[path, lead] = ChunkEncoder(path, lead)
-    return _open[path, lead]
+    if path not in _open:
+        _open[path] = ChunkEncoder(path)
+    return _open[path]
 
 
 def slices(column, most_chars: int = 4_000_000):

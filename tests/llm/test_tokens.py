@@ -47,8 +47,28 @@ def test_bytes_that_are_no_text_decode_as_in_the_library():
 
 def test_chunks_give_the_ids_of_whole_texts():
     given = texts()
-    assert tokens.ChunkEncoder(BYTES, True).encode(given) == ids(BYTES, given)
-    assert tokens.ChunkEncoder(WORDS, False).encode(given) == ids(WORDS, given)
+    assert tokens.ChunkEncoder(BYTES).encode(given) == ids(BYTES, given)
+    assert tokens.ChunkEncoder(WORDS).encode(given) == ids(WORDS, given)
+
+
+def test_safe_chunks_give_the_ids_of_the_library_for_every_letter():
+    """Latin letters, marks and spaces in all neighbourhoods, also those of the added tokens' spelling."""
+    rng = random.Random(8)
+    alphabet = [chr(i) for i in range(0x250)] + [*"aZ19!?._-'|<>" * 12, *"\t\n\r" * 4, "'s", "'LL", "<|ENDOFTEXT|>", "<|startoftext|>"]
+    given = ["".join(rng.choices(alphabet, k=rng.randint(1, 12))) for _ in range(8000)]
+    for path in (BYTES, WORDS):
+        encoder = tokens.ChunkEncoder(path)
+        assert encoder.kind and encoder.encode(given) == ids(path, given)
+        assert encoder.pieces and any(map(encoder._safe, given)) and not all(map(encoder._safe, given))
+
+
+def test_a_tokenizer_of_another_kind_goes_through_the_library(tmp_path):
+    other = library(BYTES)
+    other.normalizer = tokenizers.normalizers.Replace("a", "e")
+    other.save(str(tmp_path / "other.json"))
+    encoder = tokens.ChunkEncoder(str(tmp_path / "other.json"))
+    given = texts(200)
+    assert encoder.kind is None and encoder.encode(given) == ids(str(tmp_path / "other.json"), given)
 
 
 def test_round_trip_of_odd_rows(spark, odd_docs):
