@@ -1,6 +1,7 @@
 """Toxic documents by a support vector machine on a subsequence string kernel with Nystroem landmarks.
 
-A unit is a word as written, or letters spelled out one by one. The kernel of two units counts the subsequences of
+A unit is a word as written, letters spelled out one by one, or two neighbouring fragments that are no words of the
+language, as a blank in an insult leaves them. The kernel of two units counts the subsequences of
 three letters or digits they share, with up to three characters of any kind skipped in each gap and a weight that falls
 with every skipped character; it is normalised and sharpened by an exponential. So `i.d.i.o.t` and `idiiot` are
 near `idiot`.
@@ -12,6 +13,9 @@ examples. A logistic model of the worst units turns margins into a document's sc
 
 Training reads the whole texts of a bounded sample of labelled documents (`SAMPLE` of each label); the driver holds
 them. Every document is scored on its whole text.
+
+Of the units in the sample, all count as evidence; the machine is fitted on CANDIDATES for its landmarks, on all
+witnesses, on OFTEN frequent, RARE random and HARD wrongly scored clean units, and on virtual examples of VARIED of each.
 """
 
 from __future__ import annotations
@@ -32,7 +36,12 @@ SAMPLE = 2000
 LANDMARKS, DECAY, GAP, SHARP = 96, 0.7, 4, 6.0
 UNIT, OVERLAP = 48, 16
 SCORED = "doc_id bigint, held_out boolean, score double, predicted int, n_insults bigint"
-_SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+CANDIDATES, OFTEN, RARE, HARD, VARIED = 600, 3000, 9000, 3000, 2000
+#: Letters of a fragment at most, and clean documents of the sample from which on a unit is a word.
+FRAGMENT, IN_USE = 8, 2
+#: Margins of units kept per worker, and of half as many plain ones.
+KEPT = 600_000
+_SPELLED = re.compile(r"(?<!\S)\S(?:[ \t\xa0]{1,4}\S){2,}(?!\S)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _EDGE = ".,;:!?\"'()[]{}<>|#$%&*"
 _LOW = -4.0
@@ -109,17 +118,24 @@ class Landmarks:
 class Machine:
     """margin(unit) = sum of alpha * kernel(unit, landmark) + bias; score(document) by its worst units."""
 
-    def __init__(self, landmarks: list[str], alpha: np.ndarray, bias: float):
+    def __init__(self, landmarks: list[str], alpha: np.ndarray, bias: float, words: frozenset[str] = frozenset()):
         self.landmarks, self.alpha, self.bias = Landmarks(landmarks), alpha.astype(np.float32), bias
+        self.words = words  # of the language; without any, no fragments are looked for
+        insults = (w for w, a in zip(landmarks, alpha, strict=True) if a > 0)
+        self.marks = {w[i : i + 3] for w in insults for i in range(len(w) - 2)}
         self.logistic = np.zeros(6)
-        self.known: dict[str, float] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, float] = {}  # by unit as written
+        self.pieces: dict[str, float] = {}  # by plain unit
+        self.fragments: set[str] = set()  # of the known ones
 
     def margins(self, words: Iterable[str]) -> dict[str, float]:
         """Margins of units as written."""
         words = list(words)
-        pieces = [plain(w) for w in words]
-        flat = list({p for ps in pieces for p in ps if len(p) > 2})
-        margin: dict[str, float] = {}
+        pieces, margin = [plain(w) for w in words], self.pieces
+        flat = list({p for ps in pieces for p in ps if len(p) > 2 and p not in margin})
         for a in range(0, len(flat), 4000):
             part = flat[a : a + 4000]
             values = self.landmarks.kernel(part) @ self.alpha + self.bias
@@ -127,9 +143,39 @@ class Machine:
         return {w: max(margin.get(p, _LOW) for p in ps) for w, ps in zip(words, pieces, strict=True)}
 
     def learn(self, found: set[str]) -> None:
-        if len(self.known) > 1_000_000:
-            self.known.clear()
-        self.known.update(self.margins(found.difference(self.known)))
+        new = found.difference(self.known)
+        self.known.update(self.margins(new))
+        if self.words:
+            letters = ((w, w.lower().strip(_EDGE)) for w in new if len(w) <= FRAGMENT + 4)
+            self.fragments.update(w for w, p in letters if 1 < len(p) <= FRAGMENT and p.isalpha() and p not in self.words)
+
+    def _joined(self, found: list[str]) -> list[str]:
+        """Pairs of neighbouring fragments that share letters in a row with an insult, so that they may be one."""
+        half, pairs = list(map(self.fragments.__contains__, found)), []
+        at = -1
+        while True:
+            try:
+                at = half.index(True, at + 1)
+            except ValueError:
+                return pairs
+            if at + 1 < len(half) and half[at + 1]:
+                whole = (found[at] + found[at + 1]).lower()
+                if sum(whole[i : i + 3] in self.marks for i in range(len(whole) - 2)) > 1:
+                    pairs.append(f"{found[at]} {found[at + 1]}")
+
+    def units(self, texts: list[str]) -> list[list[str]]:
+        """Units of texts, all of them learnt."""
+        if len(self.known) > KEPT:
+            self.known, self.fragments = {}, set()
+        if len(self.pieces) > KEPT // 2:
+            self.pieces = {}
+        found = [units(text) for text in texts]
+        self.learn({u for f in found for u in f})
+        if self.fragments:
+            pairs = [self._joined(f) for f in found]
+            self.learn({u for p in pairs for u in p})
+            found = [f + p for f, p in zip(found, pairs, strict=True)]
+        return found
 
     def features(self, found: list[str]) -> np.ndarray:
         """Of a document whose units have been learnt: its three worst units, and how many are insults and different."""
@@ -220,7 +266,7 @@ def train(texts: list[str], toxic: list[int], prior: float | None = None, seed:
     odds = {u: np.log((n + 0.5) / n_toxic) - np.log((in_clean[u] + 0.5) / n_clean) for u, n in in_toxic.items()}
     # evidence grows with both the odds and the number of documents; words of a topic or language are no insults
     strength = {u: odds[u] * np.sqrt(in_toxic[u]) for u in odds if odds[u] > 1.5}
-    typical = _different(sorted(strength, key=lambda u: (-strength[u], u))[:600], LANDMARKS // 2)
+    typical = _different(sorted(strength, key=lambda u: (-strength[u], u))[:CANDIDATES], LANDMARKS // 2)
     variants = [v for u in typical[: LANDMARKS // 8] for v in inserted(u, rng)[:1]]
     clean = sorted(in_clean, key=lambda u: (-in_clean[u], u))
     rare = rng.sample(clean, min(len(clean), LANDMARKS // 4))
@@ -231,8 +277,8 @@ def train(texts: list[str], toxic: list[int], prior: float | None = None, seed:
     good = values > 1e-4
     root = vectors[:, good] / np.sqrt(values[good])  # the Nystroem map: kernel(u, landmarks) @ root
 
-    often, rest = clean[:3000], clean[3000:]
-    negatives = [*often, *rng.sample(rest, min(len(rest), 9000))]
+    often, rest = clean[:OFTEN], clean[OFTEN:]
+    negatives = [*often, *rng.sample(rest, min(len(rest), RARE))]
     worst_of = strength
     machine = None
     for _ in range(3):
@@ -245,8 +291,8 @@ def train(texts: list[str], toxic: list[int], prior: float | None = None, seed:
         if not witnesses:
             return None
         positives = list(witnesses)
-        virtual = [v for u in positives[:2000] for v in inserted(u, rng)]
-        plain_virtual = [v for u in negatives[:1500] for v in inserted(u, rng)]
+        virtual = [v for u in positives[:VARIED] for v in inserted(u, rng)]
+        plain_virtual = [v for u in negatives[:VARIED] for v in inserted(u, rng)]
         words = [*positives, *virtual, *negatives, *plain_virtual]
         label = np.r_[np.ones(len(positives) + len(virtual)), -np.ones(len(negatives) + len(plain_virtual))]
         weight = np.ones(len(words))
@@ -255,21 +301,16 @@ def train(texts: list[str], toxic: list[int], prior: float | None = None, seed:
         weight[label > 0] *= weight[label < 0].sum() / weight[label > 0].sum() / 2
         x = np.concatenate([landmarks.kernel(words[a : a + 4000]) for a in range(0, len(words), 4000)]) @ root
         w, bias = svm(x, label, weight)
-        machine = Machine(chosen, root @ w, bias)
-        machine.known = machine.margins({*in_toxic, *in_clean})
-        worst_of = machine.known
-        hard = sorted(in_clean, key=lambda u: (-machine.known[u], u))[:3000]
-        negatives = list(dict.fromkeys([*hard, *often, *rng.sample(rest, min(len(rest), 6000))]))
-
-    x, machine.known = [], {}
-    for text in texts:
-        found = units(text)
-        machine.learn(set(found))
-        x.append(machine.features(found)[:5])
+        machine = Machine(chosen, root @ w, bias, frozenset(u for u in clean if in_clean[u] >= IN_USE))
+        worst_of = machine.margins({*in_toxic, *in_clean})
+        hard = sorted(in_clean, key=lambda u: (-worst_of[u], u))[:HARD]
+        negatives = list(dict.fromkeys([*hard, *often, *rng.sample(rest, min(len(rest), RARE))]))
+
+    x = [machine.features(machine.units([text])[0])[:5] for text in texts]
     prior = n_toxic / len(y) if prior is None else prior
     balance = np.where(y == 1, prior * len(y) / n_toxic, (1 - prior) * len(y) / n_clean)
     machine.logistic = _logistic(np.array(x), y, balance)
-    machine.known = {}
+    machine.forget()
     return machine
 
 
@@ -311,25 +352,12 @@ def scored(
     table gives no rows; other columns are not read.
     """
     common.ready_workers(spark)
-    model = spark.sparkContext.broadcast(fit(docs, labels, id_column, text_column, label))
+    score = _scorer(spark, fit(docs, labels, id_column, text_column, label))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = model.value
         for batch in batches:
-            rows = []
-            texts = [text.as_py() or "" for text in batch.column(1)]
-            for a in range(0, len(texts), 200):
-                found = [units(text) for text in texts[a : a + 200]]
-                if machine is None:
-                    rows += [(0.0, 0, 0)] * len(found)
-                    continue
-                machine.learn({u for f in found for u in f})
-                for f in found:
-                    features = machine.features(f)
-                    score = machine.score(features)
-                    rows.append((score, int(score >= 0.5), int(features[5])))
-            score, predicted, n = zip(*rows, strict=True) if rows else ((), (), ())
-            arrays = [pa.array(score, pa.float64()), pa.array(predicted, pa.int32()), pa.array(n, pa.int64())]
+            found = score(batch.column(1))
+            arrays = [pa.array(c, k) for c, k in zip(found, (pa.float64(), pa.int32(), pa.int64()), strict=True)]
             yield pa.record_batch([batch.column(0), *arrays], names=["doc_id", "score", "predicted", "n_insults"])
 
     picked = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string"))
@@ -338,8 +366,39 @@ def scored(
     return found.select("doc_id", held_out, "score", "predicted", "n_insults")
 
 
-def kept(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_column="doc_id", **options) -> DataFrame:
-    """The rows of `docs` that are not predicted toxic, with all their columns."""
-    toxic = scored(spark, docs, labels, id_column=id_column, **options).where("predicted = 1")
-    toxic = toxic.select(F.col("doc_id").alias("_toxic_id")).distinct()
-    return docs.join(toxic, F.col(id_column).cast("bigint") == F.col("_toxic_id"), "left_anti")
+def _scorer(spark: SparkSession, machine: Machine | None):
+    """A function for tasks: (scores, predictions, numbers of insults) of a column of texts."""
+    model = spark.sparkContext.broadcast(machine)
+
+    def score(column) -> tuple[list[float], list[int], list[int]]:
+        machine, rows = model.value, []
+        texts = [text.as_py() or "" for text in column]
+        if machine is None:
+            return [0.0] * len(texts), [0] * len(texts), [0] * len(texts)
+        for a in range(0, len(texts), 200):
+            for f in machine.units(texts[a : a + 200]):
+                features = machine.features(f)
+                value = machine.score(features)
+                rows.append((value, int(value >= 0.5), int(features[5])))
+        return tuple(map(list, zip(*rows, strict=True))) if rows else ([], [], [])
+
+    return score
+
+
+def kept(
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="text", label="toxic",
+) -> DataFrame:
+    """The rows of `docs` that are not predicted toxic, with all their columns; each row is judged by its own text.
+
+    Null and empty texts stay, as do all rows if nothing can be learnt. Rows with null or repeated ids are judged
+    like others.
+    """
+    common.ready_workers(spark)
+    score = _scorer(spark, fit(docs, labels, id_column, text_column, label))
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not toxic for toxic in score(batch.column(at))[1]], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

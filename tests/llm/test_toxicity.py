@@ -46,15 +46,14 @@ def trained(seed=0):
 
 
 def score(machine, text):
-    found = toxicity.units(text)
-    machine.learn(set(found))
-    return machine.score(machine.features(found))
+    return machine.score(machine.features(machine.units([text])[0]))
 
 
 def test_gapped_and_inserted_insults_are_found():
     machine = trained()
     assert score(machine, "the thing and the stentone re") < 0.3
-    for insult in ("idiot", "i.d.i.o.t", "i d i o t", "i-d-i-o-t", "p_a_t_h_e_t_i_c", "wor.thless", "(MORON)", "m*o*r*o*n"):
+    for insult in ("idiot", "i.d.i.o.t", "i d i o t", "i-d-i-o-t", "p_a_t_h_e_t_i_c", "wor.thless", "(MORON)", "m*o*r*o*n",
+                   "idi ot", "pathe tic", "i  d  i  o  t"):
         assert score(machine, f"the thing and {insult} the stentone re {insult}") > 0.5, insult
     assert 0 <= score(machine, "") < 0.5
 
