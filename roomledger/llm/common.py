@@ -52,3 +52,11 @@ def staged(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def free_name(frame: DataFrame, name: str) -> str:
+    """`name`, or a longer one, that no column of `frame` has (names differ by more than case)."""
+    taken = {column.lower() for column in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -5,8 +5,9 @@ and saved in the shared folder. The state of a digest never expires. It holds th
 locator of the row that stays so far. Copies that arrive together are reduced in their own task before the shuffle,
 so a text with a third of all rows is a few rows per batch for its state.
 
-A digest that was seen before only makes a row a candidate: its bytes are compared with those of the row that
-stays, found by its locator. Rows that differ are grouped by their bytes.
+A digest that was seen before only makes a row a candidate: the bytes under each digest are compared, as their least
+and greatest, which tasks reduce before one shuffle. Rows that differ are grouped by their bytes. The locator says in
+which file the row that stays is found.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ STATE_STORE = "spark.sql.streaming.stateStore"
 SETTINGS = {
     f"{STATE_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{STATE_STORE}.rocksdb.allowFAllocate": "false",
+    f"{STATE_STORE}.rocksdb.blockCacheSizeMB": "1",
+    f"{STATE_STORE}.rocksdb.writeBufferSizeMB": "4",
+    f"{STATE_STORE}.unloadOnCommit": "true",  # the next stages need the memory
 }
 DIGESTS = "digest binary, n_bytes bigint, doc_id bigint, file string"
 
@@ -102,25 +106,20 @@ def duplicates(
         "digest", "n_bytes",
     )
 
-    strangers = common.staged(spark, _strangers(picked, several, digest), "strangers")
+    strangers = common.staged(spark, _strangers(picked, digest), "strangers")
     if not strangers.isEmpty():  # different texts under one digest: by their bytes, then
         result = _regrouped(result, picked, strangers, digest)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return result.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
-def _strangers(picked: DataFrame, several: DataFrame, digest) -> DataFrame:
-    """Digests under which some row has other bytes than the row that stays."""
-    keys = ["digest", "n_bytes"]
-    keepers = several.select(*keys, F.col("keep_id"), F.col("keep_file"))
-    original = (
-        picked.join(keepers, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("file") == F.col("keep_file")))
-        .where(digest(F.col("text")) == F.col("digest"))
-        .select(*keys, F.col("text").alias("keep_text"))
+def _strangers(picked: DataFrame, digest) -> DataFrame:
+    """Digests with rows of different bytes. Tasks keep two texts of each digest, so frequent ones are few rows."""
+    length = F.octet_length("text").cast("bigint")
+    under = picked.groupBy(digest(F.col("text")).alias("digest"), length.alias("n_bytes"))
+    return under.agg(F.min("text").alias("least"), F.max("text").alias("most")).where("least <> most").select(
+        "digest", "n_bytes"
     )
-    hits = picked.select("text", digest(F.col("text")).alias("digest"), F.octet_length("text").cast("bigint").alias("n_bytes"))
-    other = hits.join(original, keys).where(F.col("text").cast("binary") != F.col("keep_text").cast("binary"))
-    return other.select(*keys).distinct()
 
 
 def _regrouped(result: DataFrame, picked: DataFrame, strangers: DataFrame, digest) -> DataFrame:
@@ -135,9 +134,30 @@ def _regrouped(result: DataFrame, picked: DataFrame, strangers: DataFrame, diges
     return result.join(strangers, keys, "left_anti").unionByName(again)
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns. Of rows that repeat an id and text, one stays."""
-    id_column = options.get("id_column", "doc_id")
-    kept = duplicates(spark, docs, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    stay = docs.join(kept, F.col(id_column).cast("bigint").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return stay.dropDuplicates([id_column, options.get("text_column", "text")])
+def deduplicated(
+    spark: SparkSession, docs: DataFrame, id_column="doc_id", text_column="text", **options
+) -> DataFrame:
+    """The rows of `docs` that stay, with all their columns.
+
+    Of equal texts the rows with the largest id stay, and of rows that repeat an id and text one; other texts under
+    the same id are judged on their own. Null and empty texts are equal. A null id stays where its text has no other.
+    """
+    found = duplicates(spark, docs, id_column, text_column, **options)
+    found = common.staged(spark, found.select("doc_id", "text_sha256", "kept"), "decisions")
+    names = ("own_id", "own_digest", "decided_id", "decided_digest")
+    key, digest, other_key, other_digest = (common.free_name(docs, name) for name in names)
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    marked = docs.withColumns({key: F.col(id_column).cast("bigint"), digest: F.sha2(text, 256)})
+
+    def among(rows: DataFrame, decided: DataFrame, how: str) -> DataFrame:
+        named = decided.select(F.col("doc_id").alias(other_key), F.col("text_sha256").alias(other_digest)).distinct()
+        same = F.col(key).eqNullSafe(F.col(other_key)) & (F.col(digest) == F.col(other_digest))
+        return rows.join(named, same, how)
+
+    stay = among(marked, found.where("not kept"), "left_anti")
+    again = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    again = common.staged(spark, again, "repeated")
+    if not again.isEmpty():
+        once = among(stay, again, "left_semi").dropDuplicates([key, digest])
+        stay = among(stay, again, "left_anti").unionByName(once)
+    return stay.select(*docs.columns)

@@ -56,3 +56,23 @@ def test_deduplicated_keeps_rows_and_columns(spark, odd_docs):
     assert kept.columns == odd_docs.columns
     texts = [r.text or "" for r in kept.collect()]
     assert sorted(texts) == sorted({r.text or "" for r in odd_docs.collect()})
+
+
+def test_rows_that_share_an_id_but_not_a_text(spark, make_docs):
+    pairs = [(7, "alpha"), (7, "beta"), (9, "beta"), (9, "beta"), (7, "beta"), (None, "beta"), (None, "gamma"), (None, "gamma")]
+    odd = spark.createDataFrame([(i, t, "en", "x", 1, "k", 0) for i, t in pairs], make_docs([]).schema)
+    stay = sorted((r.doc_id or 0, r.text) for r in dedup.deduplicated(spark, odd).collect())
+    assert stay == [(0, "gamma"), (7, "alpha"), (9, "beta")]
+
+
+def test_columns_that_are_named_like_the_operators_own(spark, odd_docs):
+    named = odd_docs.withColumnsRenamed({"node": "own_id", "key": "own_digest_", "lang": "_kept_id", "n": "stays"})
+    kept = dedup.deduplicated(spark, named)
+    assert kept.columns == named.columns and kept.count() == dedup.deduplicated(spark, odd_docs).count()
+
+
+def test_one_text_in_a_third_of_all_rows(spark, make_docs):
+    texts = ["again and again" if i % 3 == 0 else f"text {i // 2}" for i in range(900)]
+    docs = make_docs(texts).repartition(7)
+    assert found(dedup.duplicates(spark, docs)) == expected(list(enumerate(texts)))
+    assert sorted(r.doc_id for r in dedup.deduplicated(spark, docs).collect()) == sorted({t: i for i, t in enumerate(texts)}.values())
