@@ -5,7 +5,7 @@ values have, by the pigeonhole principle, a chunk in which at most one value dif
 chunk is indexed four times, leaving out one value each time. So every such pair meets under some key. A pair of
 sets at similarity 0.8 misses all 12 chunks with a probability of about 1e-9, at 0.85 of 3e-12.
 
-Documents with one set are one node. Under each key, all nodes are assigned to the smallest one there, the hub, so a
+Documents with one set are one node, numbered on its own, so that ids need not tell texts apart. Under each key, all nodes are assigned to the smallest one there, the hub, so a
 key with very many nodes gives one row for each, and no pairs. All pairs that meet under a key meet in its hub's
 group. A group is one task's work, which counts shingles in common and returns links that connect what is
 connected, not every link. A group whose sets are over a size is dealt to blocks, and each pair of blocks is a task.
@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomledger.llm import common, graph
@@ -47,7 +47,7 @@ _MULTIPLIERS = _mixed(np.arange(1, VALUES + 1, dtype=np.uint64) * _GOLDEN) | _U(
 class Words:
     """Hashes of words, kept for the words of a task's texts."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 500_000):
         self.known: dict[bytes, int] = {}
         self.most = most
 
@@ -96,19 +96,27 @@ def _signed(size: int):
                     keys[i], signatures[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), row.tobytes()
             yield pa.record_batch(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(signatures, pa.binary())],
-                names=["doc_id", "n_shingles", "set_key", "signature"],
+                 pa.array(signatures, pa.binary()), batch.column(2)],
+                names=["doc_id", "n_shingles", "set_key", "signature", "text_key"],
             )
 
     return run
 
 
 def _sets(size: int):
+    """The sets of texts, under the numbers of those among `wanted` that they are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            sets = [shingles(words.hashes(text.as_py()), size).tobytes() for text in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            nodes, sets = [], []
+            for text, wanted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found = shingles(words.hashes(text.as_py() or ""), size).tobytes()
+                key = xxhash.xxh3_128_digest(found)
+                for node in {w["node"] for w in wanted if w["set_key"] == key}:
+                    nodes.append(node)
+                    sets.append(found)
+            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     return run
 
@@ -179,6 +187,11 @@ def _linked(percent: int):
     return run
 
 
+def _text_key(text: Column) -> Column:
+    """Half the SHA-256 of a text; null counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)), 1, 16)
+
+
 def near_duplicates(
     spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, id_column="doc_id", text_column="text",
 ) -> DataFrame:
@@ -189,17 +202,24 @@ def near_duplicates(
     the size of the intersection is at least `percent` times that of the union. component_id is the smallest id
     reached over links, and the document with it is kept. Null and empty texts, and those of white space, have an empty
     set and are linked with nothing. A row with a null id has no links, a null component_id, and is kept. Repeated rows
-    are copies of each other: all rows with the smallest id are kept. An empty table gives no rows.
+    are copies of each other: all rows with the smallest id are kept. Rows that share an id but not a text have the
+    links of their own texts. An empty table gives no rows.
     """
+    return _placed(spark, docs, words, percent, id_column, text_column).drop("text_key")
+
+
+def _placed(spark: SparkSession, docs: DataFrame, words: int, percent: int, id_column, text_column) -> DataFrame:
+    """The rows of `near_duplicates`, with a digest of each one's text."""
     common.ready_workers(spark)
     picked = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    schema = "doc_id bigint, n_shingles bigint, set_key binary, signature binary"
-    signed = common.staged(spark, picked.mapInArrow(_signed(words), schema), "signed")
+    schema = "doc_id bigint, n_shingles bigint, set_key binary, signature binary, text_key binary"
+    keyed = picked.withColumn("text_key", _text_key(F.col("text")))
+    signed = common.staged(spark, keyed.mapInArrow(_signed(words), schema), "signed")
 
     nodes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("node"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")
+        F.min("doc_id").alias("least"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")
     )
-    nodes = common.staged(spark, nodes, "nodes")
+    nodes = common.staged(spark, nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keyed = nodes.select("node", "n", F.explode(F.array(*_keys())).alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("met")).where("met > 1")
     member = keyed.join(hubs, "key").select("hub", "node", "n").distinct()
@@ -213,22 +233,38 @@ def near_duplicates(
     dealt = dealt.select("hub", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     # never broadcast: a share of all ids, whatever the size
-    wanted = member.select(F.col("node").alias("doc_id")).distinct().hint("merge")
-    texts = picked.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = common.staged(spark, texts.mapInArrow(_sets(words), "node bigint, shingles binary"), "sets")
+    met = member.select("node").distinct().join(nodes.select("node", "set_key", "least"), "node")
+    wanted = met.groupBy(F.col("least").alias("doc_id")).agg(F.collect_list(F.struct("node", "set_key")).alias("wanted"))
+    texts = picked.where("doc_id is not null").join(wanted.hint("merge"), "doc_id")
+    texts = texts.dropDuplicates(["doc_id", "text"]).select("text", "wanted")
+    sets = texts.mapInArrow(_sets(words), "node bigint, shingles binary").dropDuplicates(["node"])
+    sets = common.staged(spark, sets, "sets")
     links = dealt.join(sets, "node").groupBy("hub", "i", "j").applyInPandas(_linked(percent), "a bigint, b bigint")
-    found = graph.components(spark, links)
-
-    placed = nodes.select("set_key", "node").join(found, "node", "left")
-    placed = placed.select("set_key", F.coalesce("component", "node").alias("component"))
-    rows = signed.select("doc_id", "n_shingles", "set_key").join(placed, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    found = common.staged(spark, graph.components(spark, links), "components")
+
+    linked = nodes.select("node", "set_key", "least").join(found, "node")
+    smallest = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    placed = linked.join(smallest, "component").select("set_key", "component_id")
+    alone = nodes.join(found, "node", "left_anti").select("set_key", F.col("least").alias("component_id"))
+    rows = signed.select("doc_id", "n_shingles", "text_key", "set_key").join(placed.unionByName(alone), "set_key", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     kept = F.col("doc_id").eqNullSafe(component)
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    return rows.select("doc_id", "n_shingles", "text_key", component.alias("component_id"), kept.alias("kept"))
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, id_column="doc_id", **options) -> DataFrame:
-    """The rows of `docs` that are kept, with all their columns."""
-    found = near_duplicates(spark, docs, id_column=id_column, **options)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col(id_column).cast("bigint") == F.col("_gone_id"), "left_anti")
+def deduplicated(
+    spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, id_column="doc_id", text_column="text",
+) -> DataFrame:
+    """The rows of `docs` that are kept, with all their columns.
+
+    Of linked documents those with the smallest id are kept. Null, empty and white-space texts and rows with a null id
+    are linked with nothing, and stay. Rows that share an id but not a text are judged each by its own text.
+    """
+    found = _placed(spark, docs, words, percent, id_column, text_column)
+    names = ("own_id", "own_text", "gone_id", "gone_text")
+    key, digest, gone_key, gone_digest = (common.free_name(docs, name) for name in names)
+    gone = found.where("not kept").select(F.col("doc_id").alias(gone_key), F.col("text_key").alias(gone_digest))
+    gone = common.staged(spark, gone.distinct(), "gone")
+    marked = docs.withColumns({key: F.col(id_column).cast("bigint"), digest: _text_key(F.col(text_column))})
+    same = (F.col(key) == F.col(gone_key)) & (F.col(digest) == F.col(gone_digest))
+    return marked.join(gone, same, "left_anti").select(*docs.columns)

@@ -100,3 +100,43 @@ def test_components(spark):
     want = closed([p for p in links if p[0] != p[1]], nodes)
     assert {r.node: r.component for r in graph.components(spark, frame).collect()} == want
     assert graph.components(spark, frame.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_but_not_a_text(spark, make_docs):
+    """Each has the links of its own text, in the result and in what stays."""
+    a, b = (" ".join(f"{letter}{i}" for i in range(60)) for letter in "ab")
+    near_a, near_b = f"{a} more", f"{b} more"
+    pairs = [(1, a), (1, b), (2, near_a), (3, near_b), (1, b), (4, "alone"), (None, a), (5, None), (5, "")]
+    docs = make_docs([]).union(spark.createDataFrame([(i, t, "en", "x", 1, "k", 0) for i, t in pairs], make_docs([]).schema))
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in near.near_duplicates(spark, docs).collect())
+    assert [(i, c, kept) for i, _, c, kept in got] == [
+        (0, 0, True), (1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 5, True), (5, 5, True),
+    ]
+    stay = sorted((r.doc_id or 0, r.text or "") for r in near.deduplicated(spark, docs).collect())
+    assert stay == sorted([(0, a), (1, a), (1, b), (1, b), (4, "alone"), (5, ""), (5, "")])
+
+
+def test_one_text_of_an_id_goes_and_the_other_stays(spark, make_docs):
+    a = " ".join(f"a{i}" for i in range(60))
+    pairs = [(1, a), (7, f"{a} more"), (7, "something else, linked with nothing"), (8, "x y")]
+    docs = make_docs([]).union(spark.createDataFrame([(i, t, "en", "x", 1, "k", 0) for i, t in pairs], make_docs([]).schema))
+    stay = sorted((r.doc_id, r.text) for r in near.deduplicated(spark, docs).collect())
+    assert stay == sorted([(1, a), (7, "something else, linked with nothing"), (8, "x y")])
+
+
+def test_columns_that_are_named_like_the_operators_own(spark, make_docs):
+    docs = make_docs(copies(seed=3, groups=2)).withColumnsRenamed({"node": "own_id", "key": "own_text", "lang": "_gone_id"})
+    assert near.deduplicated(spark, docs).columns == docs.columns
+
+
+def test_one_cluster_with_a_third_of_all_rows(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 4000)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(300):
+        words = list(base) if i % 3 == 0 else [f"v{rng.randrange(10_000)}" for _ in range(60)]
+        words[rng.randrange(len(words))] = f"x{i}"
+        texts.append(" ".join(words))
+    got = near.near_duplicates(spark, make_docs(texts), words=3, percent=85).collect()
+    assert sorted(map(tuple, got)) == expected(list(enumerate(texts)), 3, 85)
