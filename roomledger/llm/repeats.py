@@ -22,6 +22,7 @@ positions come back to them without another shuffle of the texts.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -32,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomledger.llm import common
+from roomledger.llm.tokens import slices
 
 #: Words of an anchor, at most; a third of the window.
 RUN = 12
@@ -65,24 +67,35 @@ class _Hashes:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def anchors(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, n, anchor): runs of neighbouring window starts with one anchor, for a text's word hashes."""
+def anchors(hashes: np.ndarray, lengths: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+    """(text, first, n, anchor): runs of neighbouring window starts with one anchor, for texts one after another.
+
+    `hashes` are those of all words of the texts, `lengths` their numbers of words; `first` counts in its text.
+    """
     run = min(RUN, -(-words // 3))
     windows, choices = len(hashes) - words + 1, words - run + 1
     if windows < 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return (np.empty(0, np.int64),) * 4
     runs = np.zeros(len(hashes) - run + 1, dtype=np.uint64)
     for i in range(run):
-        runs = _mixed(runs * _ODD + hashes[i : i + len(runs)])
+        runs *= _ODD
+        runs += hashes[i : i + len(runs)]
+    runs = _mixed(runs)
     least = (runs & ~_PLACE) | np.arange(len(runs), dtype=np.uint64)  # of equal ones the first
     span = 1
     while 2 * span <= choices:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     least = np.minimum(least[:windows], least[choices - span : choices - span + windows])
-    at = (least & _PLACE).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return first, np.diff(np.r_[first, windows]), runs[at[first]].view(np.int64)
+    bounds = np.cumsum(lengths)
+    inside = np.flatnonzero(np.repeat(bounds, lengths)[:windows] - np.arange(windows) >= words)  # in one text
+    if not len(inside):
+        return (np.empty(0, np.int64),) * 4
+    at = (least[inside] & _PLACE).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])  # texts have places of their own
+    text = np.searchsorted(bounds, at[first], side="right")
+    starts = inside[first] - (bounds - lengths)[text]
+    return text, starts, np.diff(np.r_[first, len(at)]), runs[at[first]].view(np.int64)
 
 
 def suffix_tree(symbols: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,18 +161,16 @@ def _anchored(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            keys, firsts, counts, found = [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                first, n, anchor = anchors(hashes.of(text.as_py().encode().split()), words)
-                keys += [key] * len(first)
-                firsts.append(first)
-                counts.append(n)
-                found.append(anchor)
-            flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (found, firsts, counts)]
-            anchor, first, n = flat
-            columns = [pa.array(anchor, pa.int64()), pa.array(keys, pa.binary())]
-            columns += [pa.array(x.astype(np.int32), pa.int32()) for x in (first, n)]
-            yield pa.record_batch(columns, names=["anchor", "key", "first", "n"])
+            keys, at = batch.column(0), 0
+            for texts in slices(batch.column(1)):
+                found = [text.encode().split() for text in texts]
+                lengths = np.fromiter(map(len, found), np.int64, len(found))
+                flat = hashes.of(list(itertools.chain.from_iterable(found)))
+                text, first, n, anchor = anchors(flat, lengths, words)
+                columns = [pa.array(anchor, pa.int64()), keys.take(pa.array(text + at, pa.int64()))]
+                columns += [pa.array(x.astype(np.int32), pa.int32()) for x in (first, n)]
+                yield pa.record_batch(columns, names=["anchor", "key", "first", "n"])
+                at += len(texts)
 
     return run
 

@@ -90,13 +90,15 @@ def test_equal_windows_have_equal_anchors():
     for words in (1, 2, 5, 35):
         one = rng.integers(0, 1 << 63, 200).astype(np.uint64)
         other = np.concatenate([rng.integers(0, 1 << 63, 77).astype(np.uint64), one[40:160]])
-        anchor_of = []
-        for text in (one, other):
-            first, n, anchor = repeats.anchors(text, words)
-            assert n.sum() == len(text) - words + 1 and (n > 0).all()
-            anchor_of.append(np.repeat(anchor, n))
-        width = 120 - words + 1
-        assert (anchor_of[0][40 : 40 + width] == anchor_of[1][77 : 77 + width]).all()
+        given = [one, np.empty(0, np.uint64), other[:34], other, one[:1]]
+        lengths = np.array(list(map(len, given)))
+        text, first, n, anchor = repeats.anchors(np.concatenate(given), lengths, words)
+        anchor_of = {}
+        for t, a, k, x in zip(text, first, n, anchor, strict=True):
+            anchor_of.update({(t, i): x for i in range(a, a + k)})
+        assert sorted(anchor_of) == [(t, i) for t, size in enumerate(lengths) for i in range(size - words + 1)]
+        for i in range(120 - words + 1):
+            assert anchor_of[0, 40 + i] == anchor_of[3, 77 + i]
 
 
 def test_groups_are_cut_between_anchors():
