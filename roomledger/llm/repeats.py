@@ -333,6 +333,7 @@ def repeats(spark: SparkSession, texts: DataFrame, words: int) -> DataFrame:
     found = texts.select("key", "text").mapInArrow(_anchored(words), "anchor bigint, key binary, first int, n int")
     found = common.staged(spark, found, "anchors")
     several = found.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1")
+    several = common.staged(spark, several, "several")  # a plain shuffle on both sides lets a frequent anchor be split
     live = common.staged(spark, found.join(several, "anchor"), "live")
     usual, frequent = live.where(F.col("times") <= LARGEST), live.where(F.col("times") > LARGEST)
 
