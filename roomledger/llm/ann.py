@@ -140,8 +140,8 @@ def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["vec_id", "key", "dimension", "raw"])
 
 
-def _matrix(raw: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def _matrix(raw: pd.Series, dimension: int = -1) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), dimension)
 
 
 def _pieces(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.DataFrame]:
@@ -156,10 +156,11 @@ def nearest(
 ) -> DataFrame:
     """The nearest vectors by cosine of each row whose id is divisible by `every`: query_id, rank, vec_id, score.
 
-    Ties go to the smaller id; neighbours may be missed, as `COVERAGE` says, but others take their places. A query has fewer rows only if there are fewer candidates. Null, empty or zero vectors,
-    those with null or non-finite components and rows with a null id take no part, and neither do
-    vectors of another length than the sample's most common. Equal vectors under different ids are candidates each; a
-    row repeated with its id is one candidate. An empty table gives no rows; other columns are not read.
+    Ties go to the smaller id; neighbours may be missed, as `COVERAGE` says, but others take their places. A query has
+    fewer rows only if there are fewer candidates. Vectors are compared with those of their own length, which have an
+    index of their own. Null, empty or zero vectors, those with null or non-finite components and rows with a null id
+    take no part. Equal vectors under different ids are candidates each; a row repeated with its id is one candidate.
+    An empty table gives no rows; other columns are not read.
     """
     common.ready_workers(spark)
     k = neighbours + 1  # a query is among its own nearest
@@ -177,14 +178,27 @@ def nearest(
     )
     different = common.staged(spark, different.join(asked, "key", "left"), "different")
 
+    found = None
+    lengths = [row["dimension"] for row in different.select("dimension").distinct().collect()]
+    for dimension in sorted(lengths):
+        part = _among(spark, different.where(F.col("dimension") == dimension), dimension, k)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], FOUND)
+    by_score = [F.col("score").desc(), "vec_id"]
+    pairs = queries.withColumnRenamed("vec_id", "query_id").join(found, "key").where("vec_id != query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*by_score))
+    return pairs.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= neighbours)
+
+
+def _among(spark: SparkSession, different: DataFrame, dimension: int, k: int) -> DataFrame:
+    """(key, vec_id, score): the best `k` of each vector asked for, among different vectors of one length."""
     total = different.count()
     share = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
-    sample = different.where(share < min(1.0, FIT / max(1, total))).select("dimension", "raw").toPandas()
-    if not len(sample):
-        return spark.createDataFrame([], FOUND)
-    dimension = int(sample["dimension"].mode().iloc[0])
-    different = different.where(F.col("dimension") == dimension)
-    index = Index(_matrix(sample.loc[sample["dimension"] == dimension, "raw"]), total, k)
+    sample = _matrix(different.where(share < min(1.0, FIT / total)).select("raw").toPandas()["raw"], dimension)
+    if not len(sample):  # a few vectors, none of them picked
+        sample = _matrix(different.orderBy("key").limit(FIT).select("raw").toPandas()["raw"], dimension)
+    index = Index(sample, total, k)
     shared = spark.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,6 +283,4 @@ def nearest(
         whole = searched(everywhere, placed.withColumn("list", F.col("list") % parts))
         found = found.join(short.select("key"), "key", "left_anti").unionByName(whole)
         found = common.staged(spark, found, "whole")
-    pairs = queries.withColumnRenamed("vec_id", "query_id").join(found, "key").where("vec_id != query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*by_score))
-    return pairs.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= neighbours)
+    return found

@@ -86,6 +86,16 @@ def test_lone_queries_get_all_their_rows(spark, monkeypatch):
         assert all(abs(dict(scores[q])[i] - s) < 1e-12 for i, s in pairs)
 
 
+def test_vectors_of_each_length_are_searched_among_themselves(spark):
+    rng = np.random.default_rng(6)
+    long = [(i, rng.standard_normal(8)) for i in range(60)]
+    short = [(i, rng.standard_normal(4)) for i in range(100, 120)]
+    got = found(ann.nearest(spark, frame(spark, [*long, *short, (200, [1.0]), (150, [-2.0]), (151, [3.0])])))
+    want = brute(long) | brute(short)
+    assert {q: [i for i, _ in got[q]] for q in want} == {q: [i for i, _ in pairs] for q, pairs in want.items()}
+    assert [i for i, _ in got[200]] == [151, 150] and [i for i, _ in got[150]] == [151, 200]
+
+
 def test_scan_keeps_the_nearest():
     rng = np.random.default_rng(3)
     x = rng.standard_normal((4000, 64)).astype(np.float32)
