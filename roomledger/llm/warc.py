@@ -170,7 +170,7 @@ def _trained(rows: DataFrame, date: str) -> bytes:
 
 def _write(folder: str, date: str, trained: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, at = pafs.FileSystem.from_uri(folder)
+        files, at = _file_system(folder)
         context = TaskContext.get()
         writer, done = None, []
 
@@ -210,6 +210,7 @@ def write(
     table gives no archive.
     """
     common.ready_workers(spark)
+    files, at = _file_system(folder)
     payload = F.coalesce(F.col(html_column).cast("binary"), F.lit(b""))
     rows = pages.select(
         F.col(id_column).cast("bigint").alias("page_id"), F.col(url_column).cast("string").alias("url"),
@@ -218,16 +219,27 @@ def write(
     rows = rows.withColumn("sha1", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     same = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("sha1", "size")
     originals = same.agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
+    originals = common.staged(spark, originals, "originals")  # of known size; a frequent payload's rows can be split
     marked = rows.join(originals, ["sha1", "size"], "left")
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     marked = marked.select("page_id", "url", "payload", "sha1", "original", revisit.alias("revisit"))
-    files, at = pafs.FileSystem.from_uri(_uri(folder))
     files.create_dir(at, recursive=True)
-    return common.staged(spark, marked.mapInArrow(_write(_uri(folder), date, _trained(rows, date)), MANIFEST), "archives")
+    return common.staged(spark, marked.mapInArrow(_write(folder, date, _trained(rows, date)), MANIFEST), "archives")
 
 
 def _uri(folder: str) -> str:
-    return folder if "://" in folder or not folder.startswith("file:") else "file://" + folder.removeprefix("file:")
+    """The folder as the archives' file library names it; Hadoop's names of one object store are one name there."""
+    scheme, colon, rest = folder.partition("://")
+    if colon and scheme in ("s3a", "s3n"):
+        return f"s3://{rest}"
+    return folder if colon or not folder.startswith("file:") else "file://" + folder.removeprefix("file:")
+
+
+def _file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    try:
+        return pafs.FileSystem.from_uri(_uri(folder))
+    except pa.ArrowInvalid as error:
+        raise ValueError(f"archives cannot be written to or read from {folder}: {error}") from error
 
 
 def read(spark: SparkSession, folder: str, archives: DataFrame, payload: bool = False) -> DataFrame:
@@ -238,7 +250,7 @@ def read(spark: SparkSession, folder: str, archives: DataFrame, payload: bool =
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()][: len(names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, _ = pafs.FileSystem.from_uri(_uri(folder))
+        files, _ = _file_system(folder)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with files.open_input_stream(path) as stream:

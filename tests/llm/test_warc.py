@@ -92,3 +92,10 @@ def test_empty_table(spark):
     frame = spark.createDataFrame([], "page_id bigint, url string, html string")
     folder = common.scratch(spark, "warc-test")
     assert warc.read(spark, folder, warc.write(spark, frame, folder)).count() == 0
+
+
+def test_object_stores_have_one_name_and_others_fail_at_once(spark, make_docs):
+    assert warc._uri("s3a://bucket/archives") == warc._uri("s3n://bucket/archives") == "s3://bucket/archives"
+    assert warc._uri("file:/tmp/x") == "file:///tmp/x" and warc._uri("/tmp/x") == "/tmp/x"
+    with pytest.raises(ValueError, match="nosuch://x"):
+        warc.write(spark, make_docs(["a"]).withColumnsRenamed({"doc_id": "page_id", "text": "html", "lang": "url"}), "nosuch://x")
