@@ -64,3 +64,18 @@ def test_pipeline(spark):
         totals[r.doc_id] += r.length
     assert totals == sizes
     assert Path(SF).exists()
+
+
+def test_earlier_stages_are_removed(spark, monkeypatch):
+    """Only the last staged documents are left: neither earlier ones nor what stages wrote on their way."""
+
+    def stage(spark, docs, sf_dir):
+        return common.staged(spark, docs.where("doc_id % 7 <> 0"), "inner")
+
+    left = Path(common.shared_dir(spark)) / "roomledger-llm"
+    left.mkdir(exist_ok=True)
+    before = {p.name for p in left.iterdir()}
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage), ("three", stage), ("last", stage)])
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() == common.table(spark, SF, "documents").where("doc_id % 7 <> 0").count()
+    assert sorted(p.name.split("-")[0] for p in left.iterdir() if p.name not in before) == ["inner", "three"]
