@@ -8,7 +8,12 @@ sets at similarity 0.8 misses all 12 chunks with a probability of about 1e-9, at
 Documents with one set are one node, numbered on its own, so that ids need not tell texts apart. Under each key, all nodes are assigned to the smallest one there, the hub, so a
 key with very many nodes gives one row for each, and no pairs. All pairs that meet under a key meet in its hub's
 group. A group is one task's work, which counts shingles in common and returns links that connect what is
-connected, not every link. A group whose sets are over a size is dealt to blocks, and each pair of blocks is a task.
+connected, not every link.
+
+A group whose sets are over a size is dealt to blocks. In each, sets are compared with a few representatives of the
+group first; sets that are linked with the same one, or with two that are connected, need no comparison among
+themselves. All but the largest such part of the group is compared with the whole group, each block of it with each block
+of the group. Copies of one text are all in that part, so that their number adds to the work as it is, not as its square.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roomledger.llm import common, graph
@@ -30,6 +35,8 @@ VALUES = CHUNKS * IN_CHUNK
 DISTANCE = 2 * CHUNKS - 1
 #: Shingles of a group that one block holds.
 BLOCK = 2_000_000
+#: Sets of a large group that all others are compared with first.
+REPRESENTATIVES = 8
 _U = np.uint64
 _GOLDEN, _MIX = _U(0x9E3779B97F4A7C15), (_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
 
@@ -187,6 +194,133 @@ def _linked(percent: int):
     return run
 
 
+def _similar(inter, one, other, percent: int):
+    return 100 * inter >= percent * (one + other - inter)
+
+
+class _Holders:
+    """Which of some sets hold a shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.shingles, self.owner = flat[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def similar(self, one: np.ndarray, percent: int) -> np.ndarray:
+        """Numbers of the sets that are similar to `one`."""
+        first, last = (np.searchsorted(self.shingles, one, side=side) for side in ("left", "right"))
+        n = last - first
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        inter = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return np.flatnonzero((inter > 0) & _similar(inter, len(one), self.sizes, percent))
+
+
+def _labelled(percent: int):
+    """Each set of a block with all representatives that it is linked with."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        leads = group["lead"].to_numpy()
+        others, first = group[~leads], group[leads].sort_values("node")
+        found: list[list[int]] = [[] for _ in range(len(others))]
+        if len(others):
+            holders = _Holders([np.frombuffer(s, np.uint64) for s in others["shingles"]])
+            for node, shingles_of in zip(first["node"].tolist(), first["shingles"], strict=True):
+                for i in holders.similar(np.frombuffer(shingles_of, np.uint64), percent):
+                    found[i].append(node)
+        leads = pd.Series(found, index=others.index, dtype=object)
+        return pd.DataFrame({"hub": others["hub"], "node": others["node"], "leads": leads})
+
+    return run
+
+
+def _connected(group: pd.DataFrame) -> pd.DataFrame:
+    """The representatives of a group, each with the smallest it is connected with by sets linked to both."""
+    parent: dict[int, int] = {}
+
+    def root(node: int) -> int:
+        while parent.setdefault(node, node) != node:
+            node = parent[node]
+        return node
+
+    for leads in group["leads"]:
+        roots = sorted(map(root, leads))
+        for other in roots[1:]:
+            parent[root(other)] = root(roots[0])
+    least: dict[int, int] = {}
+    for node in sorted(parent):
+        least.setdefault(root(node), node)
+    nodes = sorted(parent)
+    hubs = [group["hub"].iloc[0]] * len(nodes)
+    return pd.DataFrame({"hub": hubs, "first": nodes, "label": [least[root(n)] for n in nodes]}, dtype="int64")
+
+
+def _rest_linked(percent: int):
+    """Links of a block of sets with a block of their group. Sets with one label are known to be connected."""
+
+    def run(rest: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        if len(rest) and len(block):
+            holders = _Holders([np.frombuffer(s, np.uint64) for s in block["shingles"]])
+            nodes, labels = block["node"].tolist(), [None if pd.isna(x) else int(x) for x in block["label"]]
+            parent: dict[int, int] = {}
+
+            def root(node: int) -> int:
+                while parent.get(node, node) != node:
+                    node = parent[node]
+                return node
+
+            own = [node if pd.isna(x) else int(x) for node, x in zip(rest["node"].tolist(), rest["label"], strict=True)]
+            for node, known, shingles_of in zip(rest["node"].tolist(), own, rest["shingles"], strict=True):
+                for i in holders.similar(np.frombuffer(shingles_of, np.uint64), percent):
+                    other = nodes[i] if labels[i] is None else labels[i]  # a label stands for all that have it
+                    low, high = sorted((root(known), root(other)))
+                    if low != high:
+                        parent[high] = low
+                        a.append(node)
+                        b.append(nodes[i])
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+    return run
+
+
+def _links_of_large(spark: SparkSession, member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within groups of several blocks. `member` has hub, node, n and the group's number of `blocks`."""
+    place = Window.partitionBy("hub").orderBy(F.xxhash64("hub", "node"), "node")
+    leads = member.withColumn("place", F.row_number().over(place)).where(F.col("place") <= REPRESENTATIVES)
+    leads = leads.select("hub", "node", "n", "blocks")  # at most REPRESENTATIVES rows of each group
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    dealt = member.select("hub", "node", block.alias("block"), F.lit(False).alias("lead"))
+    dealt = dealt.unionByName(leads.select("hub", "node", every("blocks").alias("block"), F.lit(True).alias("lead")))
+    compared = dealt.join(sets, "node").groupBy("hub", "block")
+    linked = compared.applyInPandas(_labelled(percent), "hub bigint, node bigint, leads array<bigint>")
+    linked = common.staged(spark, linked, "linked")
+    distinct = linked.where(F.size("leads") > 0).select("hub", "leads").distinct()  # at most 2 ** REPRESENTATIVES a group
+    roots = distinct.groupBy("hub").applyInPandas(_connected, "hub bigint, first bigint, label bigint")
+    labels = linked.withColumn("first", F.try_element_at("leads", F.lit(1))).join(roots, ["hub", "first"], "left")
+    labels = common.staged(spark, labels.join(member, ["hub", "node"]), "labels")
+
+    sizes = labels.where("label is not null").groupBy("hub", "label").count()
+    largest = sizes.groupBy("hub").agg(F.max_by("label", "count").alias("largest"))
+    rest = labels.join(largest, "hub", "left").where(~F.col("label").eqNullSafe(F.col("largest")) | F.col("label").isNull())
+    rest = common.staged(spark, rest.select("hub", "node", "n", "label", "blocks"), "rest")
+    rest_blocks = F.ceil(F.sum("n") / BLOCK).cast("int").alias("rest_blocks")
+    sized = common.staged(spark, rest.groupBy("hub").agg(rest_blocks), "rests")
+    own = F.pmod(F.xxhash64("node"), F.col("rest_blocks")).cast("int").alias("part")
+    left = rest.join(sized, "hub").select("hub", "node", "label", own, every("blocks").alias("block"))
+    right = labels.join(sized, "hub").select("hub", "node", "label", every("rest_blocks").alias("part"), block.alias("block"))
+    left = left.join(sets, "node").groupBy("hub", "part", "block")
+    renamed = [F.col(c).alias(a) for c, a in (("hub", "of_hub"), ("part", "of_part"), ("block", "of_block"))]
+    columns = [F.col(c).alias(c) for c in ("node", "label", "shingles")]  # new ones: both sides come from one table
+    right = right.join(sets, "node").select(*renamed, *columns).groupBy("of_hub", "of_part", "of_block")
+    found = left.cogroup(right).applyInPandas(_rest_linked(percent), "a bigint, b bigint")
+    return linked.select(F.explode("leads").alias("a"), F.col("node").alias("b")).unionByName(found)
+
+
 def _text_key(text: Column) -> Column:
     """Half the SHA-256 of a text; null counts as empty."""
     return F.substring(F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)), 1, 16)
@@ -226,11 +360,8 @@ def _placed(spark: SparkSession, docs: DataFrame, words: int, percent: int, id_c
     member = common.staged(spark, member, "members")
 
     blocks = F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")
-    sized = member.groupBy("hub").agg(blocks)
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = member.join(sized, "hub").select("hub", "node", block.alias("block"), other)
-    dealt = dealt.select("hub", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    sized = common.staged(spark, member.groupBy("hub").agg(blocks), "groups")
+    dealt = common.staged(spark, member.join(sized, "hub"), "dealt")
 
     # never broadcast: a share of all ids, whatever the size
     met = member.select("node").distinct().join(nodes.select("node", "set_key", "least"), "node")
@@ -239,7 +370,11 @@ def _placed(spark: SparkSession, docs: DataFrame, words: int, percent: int, id_c
     texts = texts.dropDuplicates(["doc_id", "text"]).select("text", "wanted")
     sets = texts.mapInArrow(_sets(words), "node bigint, shingles binary").dropDuplicates(["node"])
     sets = common.staged(spark, sets, "sets")
-    links = dealt.join(sets, "node").groupBy("hub", "i", "j").applyInPandas(_linked(percent), "a bigint, b bigint")
+    small = dealt.where("blocks = 1").select("hub", "node").join(sets, "node").groupBy("hub")
+    links = small.applyInPandas(_linked(percent), "a bigint, b bigint")
+    large = dealt.where("blocks > 1")
+    if not large.isEmpty():
+        links = links.unionByName(_links_of_large(spark, large, sets, percent))
     found = common.staged(spark, graph.components(spark, links), "components")
 
     linked = nodes.select("node", "set_key", "least").join(found, "node")

@@ -129,6 +129,16 @@ def test_columns_that_are_named_like_the_operators_own(spark, make_docs):
     assert near.deduplicated(spark, docs).columns == docs.columns
 
 
+def test_parts_of_a_large_group_that_only_meet_in_the_middle(spark, make_docs, monkeypatch):
+    """A chain: neighbours are similar, and no representative is similar to most of them."""
+    monkeypatch.setattr(near, "BLOCK", 500)
+    monkeypatch.setattr(near, "REPRESENTATIVES", 2)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, 120, 3)] + [" ".join(words[150 + i : 240 + i]) for i in range(0, 40, 4)]
+    got = near.near_duplicates(spark, make_docs(texts), words=3, percent=85).collect()
+    assert sorted(map(tuple, got)) == expected(list(enumerate(texts)), 3, 85)
+
+
 def test_one_cluster_with_a_third_of_all_rows(spark, make_docs, monkeypatch):
     monkeypatch.setattr(near, "BLOCK", 4000)
     rng = random.Random(12)
