@@ -1,3 +1,5 @@
+import json
+import subprocess
 import sys
 from pathlib import Path
 
@@ -28,6 +30,31 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(scope="session")
+def events_of(tmp_path_factory):
+    """Runs code in a session of its own with an event log; returns its events."""
+
+    def run(code):
+        folder = tmp_path_factory.mktemp("events")
+        script = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).parents[1])!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false")
+    .config("spark.sql.shuffle.partitions", "4").config("spark.eventLog.enabled", "true")
+    .config("spark.eventLog.dir", {str(folder)!r}).config("spark.eventLog.compress", "false")
+    .config("spark.eventLog.rolling.enabled", "false")
+    .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", {str(folder) + "/shared"!r}).getOrCreate())
+out = {str(folder) + "/out"!r}
+{code}
+spark.stop()
+"""
+        subprocess.run([sys.executable, "-c", script], check=True, capture_output=True, timeout=300)
+        return [json.loads(line) for file in folder.iterdir() if file.is_file() for line in file.open()]
+
+    return run
+
+
 def sql_rows(sf_dir, statement):
     """Columns and rows of a SQL statement over the Parquet tables of a folder."""
     con = duckdb.connect()

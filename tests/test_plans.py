@@ -98,40 +98,19 @@ def test_rooms_read_only_the_columns_they_need(district):
 
 
 @pytest.fixture(scope="module")
-def logged(tmp_path_factory):
+def logged(events_of):
     """Runs code in a session with an event log; returns the records read by each stage's scans."""
-    import json
-    import subprocess
-    import sys
-    from pathlib import Path
 
     def run(code):
-        folder = tmp_path_factory.mktemp("events")
-        script = f"""
-import sys
-sys.path.insert(0, {str(Path(__file__).parents[1])!r})
-from pyspark.sql import SparkSession
-spark = (SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false")
-    .config("spark.sql.shuffle.partitions", "4").config("spark.eventLog.enabled", "true")
-    .config("spark.eventLog.dir", {str(folder)!r}).config("spark.eventLog.compress", "false")
-    .config("spark.eventLog.rolling.enabled", "false")
-    .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", {str(folder) + "/shared"!r}).getOrCreate())
-out = {str(folder) + "/out"!r}
-{code}
-spark.stop()
-"""
-        subprocess.run([sys.executable, "-c", script], check=True, capture_output=True, timeout=300)
         read, windows = {}, {}
-        for file in (f for f in folder.iterdir() if f.is_file()):
-            for line in file.open():
-                event = json.loads(line)
-                if event["Event"] == "SparkListenerTaskEnd":
-                    stage = event["Stage ID"]
-                    records = event["Task Metrics"]["Input Metrics"]["Records Read"]
-                    read[stage] = read.get(stage, 0) + records
-                elif event["Event"] == "SparkListenerStageCompleted":
-                    scopes = str([r.get("Scope") for r in event["Stage Info"]["RDD Info"]])
-                    windows[event["Stage Info"]["Stage ID"]] = "Window" in scopes
+        for event in events_of(code):
+            if event["Event"] == "SparkListenerTaskEnd":
+                stage = event["Stage ID"]
+                records = event["Task Metrics"]["Input Metrics"]["Records Read"]
+                read[stage] = read.get(stage, 0) + records
+            elif event["Event"] == "SparkListenerStageCompleted":
+                scopes = str([r.get("Scope") for r in event["Stage Info"]["RDD Info"]])
+                windows[event["Stage Info"]["Stage ID"]] = "Window" in scopes
         return read, windows
 
     return run
@@ -153,6 +132,12 @@ def test_job_reads_students_three_times(logged):
     assert sum(n == 1500 for n in read.values()) == 3
 
 
+def test_a_day_of_a_partitioned_history_reads_that_day_only(logged):
+    """1500 students of each of three days are there; the scan reads one directory."""
+    read, _ = logged(f"import registry; registry.QUERIES['q_history_snapshot'](spark, {SF_DIR!r}).collect()")
+    assert sorted(n for n in read.values() if n)[-2:] == [1500, 1500]  # the orders to write from, and the day
+
+
 def test_school_years_reach_the_scans(spark, tmp_path):
     from roomledger import schemas
     from roomledger.operators import refdata
