@@ -16,12 +16,12 @@ from collections.abc import Iterable
 import tokenizers
 
 #: White space that is rare in texts.
-_RARE_SPACE = re.compile("[\x0b-\x0d\x1c-\x1f\x85\xa0  -     　]")
+_RARE_SPACE = re.compile("[\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD_SPACES = ("  ", " \n", "\n ", " \t", "\t ")
 #: Chunks and words of more characters are encoded each time; so many shorter ones are kept per worker.
 KEPT_CHARS, KEPT_WORDS = 48, 400_000
 #: Characters whose case and class are the same in all engines: printable ASCII, line ends, and Latin letters but one.
-_SAFE = re.compile("[\t\n\r -~\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]*")
+_SAFE = re.compile("[\t\n\r -~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]*")
 #: The two ways to cut texts into words, as tokenizer files state them.
 _CLIP = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
