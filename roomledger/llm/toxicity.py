@@ -79,15 +79,23 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 (owner[: -d1 - d2] == owner[d1 + d2 :]) & letter[: -d1 - d2] & letter[d1:-d2] & letter[d1 + d2 :]
             )
             owners.append(owner[at])
-            codes.append(flat[at] << 42 | flat[at + d1] << 21 | flat[at + d1 + d2])
+            codes.append((which[at] * len(seen) + which[at + d1]) * len(seen) + which[at + d1 + d2])
             weights.append(np.full(len(at), DECAY ** (d1 + d2 - 2)))
     if not owners:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     owner, code, weight = map(np.concatenate, (owners, codes, weights))
-    order = np.lexsort((code, owner))
+    place = len(seen)  # letters are numbered in their order, so codes of numbers are in the order of codes
+    if len(words) * place**3 < 1 << 62:
+        order = np.argsort(owner * place**3 + code, kind="stable")
+    else:
+        order = np.lexsort((code, owner))
     owner, code, weight = owner[order], code[order], weight[order]
     first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])]) if len(owner) else owner
-    return owner[first], code[first], np.add.reduceat(weight, first) if len(first) else weight
+    weight = np.add.reduceat(weight, first) if len(first) else weight
+    owner, code = owner[first], code[first]
+    rest, c3 = np.divmod(code, place)
+    c1, c2 = np.divmod(rest, place)
+    return owner, seen[c1] << 42 | seen[c2] << 21 | seen[c3], weight
 
 
 class Landmarks:
@@ -98,8 +106,11 @@ class Landmarks:
         owner, code, weight = subsequences(words)
         self.codes, column = np.unique(code, return_inverse=True)
         norm = np.sqrt(np.bincount(owner, weight**2, len(words)))
-        self.table = np.zeros((len(self.codes), len(words)), dtype=np.float32)
-        self.table[column, owner] = weight / norm[owner]
+        # of each code in turn: the landmarks that hold it, and its weight there
+        order = np.argsort(column, kind="stable")
+        self.holders, self.weights = owner[order], (weight / norm[owner])[order].astype(np.float32)
+        self.n = np.bincount(column, minlength=len(self.codes))
+        self.first = np.cumsum(self.n) - self.n
 
     def kernel(self, words: list[str]) -> np.ndarray:
         owner, code, weight = subsequences(words)
@@ -107,11 +118,13 @@ class Landmarks:
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
         known = self.codes[at] == code
         owner, at, weight = owner[known], at[known], weight[known]
-        out = np.zeros((len(words), len(self.words)), dtype=np.float32)
-        if len(owner):
-            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            sums = np.add.reduceat(self.table[at] * weight[:, None].astype(np.float32), first, axis=0)
-            out[owner[first]] = sums / norm[owner[first], None]
+        n, width = self.n[at], len(self.words)
+        held = np.repeat(self.first[at] - np.cumsum(n) + n, n)
+        held += np.arange(len(held))
+        pair = np.repeat(owner * width, n) + self.holders[held]
+        sums = np.zeros(len(words) * width, dtype=np.float32)
+        np.add.at(sums, pair, np.repeat(weight.astype(np.float32), n) * self.weights[held])
+        out = (sums.reshape(len(words), width) / norm[:, None]).astype(np.float32)
         return np.exp(SHARP * (out - 1))
 
 

@@ -30,6 +30,18 @@ def test_kernel_is_that_of_the_definition():
             assert got[a, b] == pytest.approx(np.exp(toxicity.SHARP * ((dot / norm if norm else 0) - 1)), rel=1e-4)
 
 
+def test_kernel_multiplies_only_codes_that_landmarks_hold():
+    """The work of a unit grows with the landmarks that share its codes, not with all landmarks."""
+    apart = toxicity.Landmarks([chr(0x4E00 + 3 * i) + chr(0x4E01 + 3 * i) + chr(0x4E02 + 3 * i) for i in range(500)])
+    assert apart.n.max() == 1 and len(apart.weights) == 500
+    got = apart.kernel([*apart.words[:3], "none"])
+    assert np.allclose(got[:3, :3][~np.eye(3, dtype=bool)], np.exp(-toxicity.SHARP)) and np.allclose(got.diagonal()[:3], 1)
+    wide = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 3000))
+    assert [len(x) for x in toxicity.subsequences([wide, "abca"])][0] == sum(
+        max(0, 3000 - a - b) for a in range(1, toxicity.GAP + 1) for b in range(1, toxicity.GAP + 1)
+    ) + len(brute("abca"))
+
+
 def trained(seed=0):
     rng = np.random.default_rng(seed)
     parts = ["the", "and", "ing", "tion", "er", "on", "st", "ly", "ou", "re", "ble", "ent"]
