@@ -13,12 +13,17 @@ import re
 from array import array
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 
 #: White space that is rare in texts.
 _RARE_SPACE = re.compile("[\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ASCII_RARE = ("\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 _ODD_SPACES = ("  ", " \n", "\n ", " \t", "\t ")
-#: Chunks and words of more characters are encoded each time; so many shorter ones are kept per worker.
+#: Chunks and words of more characters are encoded each time; so many shorter ones are kept per worker, chunks in an
+#: older and a newer half: a full newer half becomes the older one, from which used chunks come back.
 KEPT_CHARS, KEPT_WORDS = 48, 400_000
 #: Characters whose case and class are the same in all engines: printable ASCII, line ends, and Latin letters but one.
 _SAFE = re.compile("[\t\n\r -~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]*")
@@ -56,6 +61,13 @@ def byte_letters() -> list[str]:
 _LETTERS = dict(enumerate(byte_letters()))
 
 
+def _even(text: str) -> bool:
+    """Whether each of the text's plain spaces is a cut."""
+    if text[:1] == " " or text[-1:] == " " or any(odd in text for odd in _ODD_SPACES):
+        return False
+    return text.isascii() and not any(rare in text for rare in _ASCII_RARE) or not _RARE_SPACE.search(text)
+
+
 def chunks(text: str) -> list[str]:
     """`text` cut at its plain spaces, which are left out.
 
@@ -64,7 +76,7 @@ def chunks(text: str) -> list[str]:
     words, every chunk but the first is encoded with its space in front.
     """
     parts = text.split(" ")
-    if not parts[0] or not parts[-1] or any(odd in text for odd in _ODD_SPACES) or _RARE_SPACE.search(text):
+    if not _even(text):
         whole = [parts[0]]
         for part in parts[1:]:
             before = whole[-1]
@@ -97,6 +109,7 @@ class ChunkEncoder:
         self.marks = [t["content"] for t in spec["added_tokens"]]
         self.mark = re.compile("|".join(map(re.escape, self.marks)) or r"(?!)", re.I if self.lower else 0)
         self.known: dict[str, bytes] = {}  # by chunk, without its space
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}  # by word of the tokenizer
 
     def _library(self, parts: list[str]) -> list[bytes]:
@@ -109,7 +122,10 @@ class ChunkEncoder:
 
     def _ids(self, word: str) -> bytes:
         """Ids of one of the tokenizer's words, by the library's model."""
-        letters = word.encode().decode("latin-1").translate(_LETTERS)
+        if word.isascii() and word.isprintable():  # all its letters but the space stand for themselves
+            letters = word.replace(" ", _LETTERS[0x20])
+        else:
+            letters = word.encode().decode("latin-1").translate(_LETTERS)
         ids = array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
         if len(word) <= KEPT_CHARS:
             self.pieces[word] = ids
@@ -120,6 +136,10 @@ class ChunkEncoder:
         out, odd = [], []
         safe, lower, known, cut, ids_of = self._safe, self.lower, self.pieces.get, self.words.findall, self._ids
         for i, part in enumerate(parts):
+            if part.isascii() and (part[1:] if part[:1] == " " else part).isalpha():  # one word
+                word = part.strip(" ").lower() if lower else part
+                out.append(known(word) or ids_of(word))
+                continue
             if not safe(part):
                 odd.append(i)
                 out.append(b"")
@@ -133,25 +153,62 @@ class ChunkEncoder:
             out[i] = ids
         return out
 
+    def _of_chunks(self, parts: list[str]) -> list[bytes]:
+        """Ids of different chunks that follow a space."""
+        if len(self.known) > KEPT_WORDS // 2:
+            self.known, self.older = {}, self.known
+        known = self.known
+        ids = list(map(known.get, parts))
+        missing = [i for i, got in enumerate(ids) if got is None]
+        before, new = self.older.get, []
+        for i in missing:
+            got = ids[i] = before(parts[i])
+            if got is None:
+                new.append(i)
+            else:
+                known[parts[i]] = got
+        for i, got in zip(new, self._new([self.space + parts[i] for i in new]), strict=True):
+            ids[i] = got
+            if len(parts[i]) <= KEPT_CHARS:
+                known[parts[i]] = got
+        return ids
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
+        """Ids of each text. Its chunks are numbered in Arrow, so that only different ones are looked at one by one."""
         texts = list(texts)
-        if self.kind is None:
+        if self.kind is None or not texts:
             return self._library(texts)
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
         if len(self.pieces) > KEPT_WORDS // 2:
             self.pieces = {}
-        cut = [chunks(text) for text in texts]
-        firsts = self._new([parts[0] for parts in cut])
-        rests = [parts[1:] for parts in cut]
-        known = self.known
-        new = [chunk for chunk in set().union(*rests) if chunk not in known]
-        known.update(zip(new, self._new([self.space + chunk for chunk in new]), strict=True))
-        get = known.__getitem__
-        out = [first + b"".join(map(get, rest)) for first, rest in zip(firsts, rests, strict=True)]
-        for chunk in new:
-            if len(chunk) > KEPT_CHARS:
-                del known[chunk]
+        even = [i for i, text in enumerate(texts) if _even(text)]
+        odd = sorted({*range(len(texts))}.difference(even))
+        kind = pa.string() if sum(map(len, texts)) < 1 << 28 else pa.large_string()
+        split = pc.split_pattern(pa.array([texts[i] for i in even], kind), " ")
+        uneven = [chunks(texts[i]) for i in odd]
+        counts = np.r_[np.diff(split.offsets.to_numpy()), [len(parts) for parts in uneven]].astype(np.int64)
+        rest_of_odd = pa.array([part for parts in uneven for part in parts], kind)
+        every = pa.concat_arrays([split.flatten(), rest_of_odd])
+        firsts = [b""] * len(texts)
+        if self.space:  # a first chunk has none in front of it
+            starts = np.cumsum(counts) - counts
+            firsts = self._new(every.take(pa.array(starts)).to_pylist())
+            is_rest = np.ones(len(every), dtype=bool)
+            is_rest[starts] = False
+            every, counts = every.filter(pa.array(is_rest)), counts - 1
+        rest = every.dictionary_encode()
+        ids = self._of_chunks(rest.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4  # of an id: 4 bytes
+        first = np.cumsum(size) - size
+        code = rest.indices.to_numpy()
+        of_word = size[code]
+        done = np.cumsum(of_word)
+        at = np.repeat(first[code] - done + of_word, of_word)
+        at += np.arange(len(at))
+        raw = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
+        ends = 4 * np.r_[0, done][np.cumsum(counts)]
+        out, a = [b""] * len(texts), 0
+        for i, ids_of_first, b in zip([*even, *odd], firsts, ends.tolist(), strict=True):
+            out[i], a = ids_of_first + raw[a:b], b
         return out
 
 

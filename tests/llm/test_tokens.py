@@ -86,3 +86,20 @@ def test_encoded_ids(spark, make_docs):
     row = bpe.encoded(spark, make_docs(["two words"]), BYTES).first()
     assert row.ids == library(BYTES).encode("two words").ids
     assert zlib.crc32(array("I", row.ids).tobytes())
+
+
+def test_cuts_in_arrow_are_those_of_chunks(monkeypatch):
+    """Texts with and without odd spaces in one run, as caches overflow; chunks seen once are looked up once."""
+    given = [*texts(800), "Plain words, plain WORDS", " led by a space", "two  spaces", "a　b c", "line \nend", "x\x0by z"]
+    for path in (BYTES, WORDS):
+        monkeypatch.setattr(tokens, "KEPT_WORDS", 60)
+        encoder, asked = tokens.ChunkEncoder(path), []
+        parts = [given[i : i + 50] for i in range(0, len(given), 50)]
+        assert [got for part in parts for got in encoder.encode(part)] == ids(path, given)
+        monkeypatch.undo()
+        encoder = tokens.ChunkEncoder(path)
+        look = encoder._of_chunks
+        encoder._of_chunks = lambda chunks: asked.append(list(chunks)) or look(chunks)
+        encoder.encode(["one two two three two", "four two three"])
+        wanted = {*"one two three four".split()} if encoder.lower else {"two", "three"}
+        assert [sorted(chunks) for chunks in asked] == [sorted(wanted)]
