@@ -131,15 +131,16 @@ class ChunkEncoder:
             self.pieces[word] = ids
         return ids
 
-    def _new(self, parts: list[str]) -> list[bytes]:
-        """Ids of chunks, as they are."""
+    def _new(self, parts: list[str], space: str) -> list[bytes]:
+        """Ids of chunks with `space` in front of each."""
         out, odd = [], []
         safe, lower, known, cut, ids_of = self._safe, self.lower, self.pieces.get, self.words.findall, self._ids
         for i, part in enumerate(parts):
-            if part.isascii() and (part[1:] if part[:1] == " " else part).isalpha():  # one word
-                word = part.strip(" ").lower() if lower else part
+            if part.isascii() and part.isalpha():  # one word
+                word = part.lower() if lower else space + part
                 out.append(known(word) or ids_of(word))
                 continue
+            part = space + part
             if not safe(part):
                 odd.append(i)
                 out.append(b"")
@@ -149,7 +150,7 @@ class ChunkEncoder:
                 out.append(known(words[0]) or ids_of(words[0]))
             else:
                 out.append(b"".join([known(word) or ids_of(word) for word in words]))
-        for i, ids in zip(odd, self._library([parts[i] for i in odd]) if odd else (), strict=True):
+        for i, ids in zip(odd, self._library([space + parts[i] for i in odd]) if odd else (), strict=True):
             out[i] = ids
         return out
 
@@ -167,7 +168,7 @@ class ChunkEncoder:
                 new.append(i)
             else:
                 known[parts[i]] = got
-        for i, got in zip(new, self._new([self.space + parts[i] for i in new]), strict=True):
+        for i, got in zip(new, self._new([parts[i] for i in new], self.space), strict=True):
             ids[i] = got
             if len(parts[i]) <= KEPT_CHARS:
                 known[parts[i]] = got
@@ -188,18 +189,19 @@ class ChunkEncoder:
         counts = np.r_[np.diff(split.offsets.to_numpy()), [len(parts) for parts in uneven]].astype(np.int64)
         rest_of_odd = pa.array([part for parts in uneven for part in parts], kind)
         every = pa.concat_arrays([split.flatten(), rest_of_odd])
-        firsts = [b""] * len(texts)
+        numbered = every.dictionary_encode()
+        found, code = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        firsts, used = [b""] * len(texts), range(len(found))
         if self.space:  # a first chunk has none in front of it
             starts = np.cumsum(counts) - counts
-            firsts = self._new(every.take(pa.array(starts)).to_pylist())
-            is_rest = np.ones(len(every), dtype=bool)
-            is_rest[starts] = False
-            every, counts = every.filter(pa.array(is_rest)), counts - 1
-        rest = every.dictionary_encode()
-        ids = self._of_chunks(rest.dictionary.to_pylist())
+            firsts = self._new([found[i] for i in code[starts].tolist()], "")
+            code, counts = np.delete(code, starts), counts - 1
+            used = np.flatnonzero(np.bincount(code, minlength=len(found))).tolist()
+        ids = [b""] * len(found)
+        for i, got in zip(used, self._of_chunks([found[i] for i in used]), strict=True):
+            ids[i] = got
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4  # of an id: 4 bytes
         first = np.cumsum(size) - size
-        code = rest.indices.to_numpy()
         of_word = size[code]
         done = np.cumsum(of_word)
         at = np.repeat(first[code] - done + of_word, of_word)
