@@ -45,6 +45,8 @@ _SPELLED = re.compile(r"(?<!\S)\S(?:[ \t\xa0]{1,4}\S){2,}(?!\S)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _EDGE = ".,;:!?\"'()[]{}<>|#$%&*"
 _LOW = -4.0
+#: Codes of a unit, over which all landmarks are looked at for each.
+LONG = 129
 
 
 def units(text: str) -> list[str]:
@@ -106,7 +108,9 @@ class Landmarks:
         owner, code, weight = subsequences(words)
         self.codes, column = np.unique(code, return_inverse=True)
         norm = np.sqrt(np.bincount(owner, weight**2, len(words)))
-        # of each code in turn: the landmarks that hold it, and its weight there
+        self.table = np.zeros((len(self.codes), len(words)), dtype=np.float32)
+        self.table[column, owner] = weight / norm[owner]
+        # the same by code: the landmarks that hold it, and its weight there
         order = np.argsort(column, kind="stable")
         self.holders, self.weights = owner[order], (weight / norm[owner])[order].astype(np.float32)
         self.n = np.bincount(column, minlength=len(self.codes))
@@ -118,14 +122,44 @@ class Landmarks:
         at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
         known = self.codes[at] == code
         owner, at, weight = owner[known], at[known], weight[known]
-        n, width = self.n[at], len(self.words)
+        weight = weight.astype(np.float32)
+        out = np.zeros((len(words), len(self.words)), dtype=np.float32)
+        length = np.bincount(owner, minlength=len(words))
+        long = length > LONG
+        if long.any():
+            of_long = long[owner]
+            first = np.flatnonzero(np.r_[True, np.diff(owner[of_long]) > 0])
+            sums = np.add.reduceat(self.table[at[of_long]] * weight[of_long, None], first, axis=0)
+            out[long] = sums / norm[long, None]
+            place = np.arange(len(owner)) - (np.cumsum(length) - length)[owner]
+            owner, at, weight, place = (x[~of_long] for x in (owner, at, weight, place))
+        else:
+            place = np.arange(len(owner)) - (np.cumsum(length) - length)[owner]
+        out[~long] = (self._sums(owner, at, weight, place, length) / norm[:, None])[~long]
+        return np.exp(SHARP * (out - 1))
+
+
+    def _sums(self, owner, at, weight, place, length) -> np.ndarray:
+        """Products of known codes with all landmarks, summed by unit; `place` counts a unit's codes, at most LONG.
+
+        Only landmarks that hold a code are looked at. Rounding is that of a sum over all codes in numpy's order: the
+        first apart, of the rest eight running sums, and then those that make no eight.
+        """
+        n, size = self.n[at], len(length) * len(self.words)
         held = np.repeat(self.first[at] - np.cumsum(n) + n, n)
         held += np.arange(len(held))
-        pair = np.repeat(owner * width, n) + self.holders[held]
-        sums = np.zeros(len(words) * width, dtype=np.float32)
-        np.add.at(sums, pair, np.repeat(weight.astype(np.float32), n) * self.weights[held])
-        out = (sums.reshape(len(words), width) / norm[:, None]).astype(np.float32)
-        return np.exp(SHARP * (out - 1))
+        cell = np.repeat(owner * len(self.words), n) + self.holders[held]
+        value = np.repeat(weight, n) * self.weights[held]
+        rest = length[owner] - 1
+        kind = np.where(place == 0, 9, np.where(place - 1 < rest - rest % 8, (place - 1) % 8, 8))
+        kind = np.repeat(kind, n)
+        lanes, one, tail = np.zeros((8, size), dtype=np.float32), kind == 9, kind == 8
+        eight = kind < 8
+        np.add.at(lanes.reshape(-1), kind[eight] * size + cell[eight], value[eight])
+        sums = ((lanes[0] + lanes[1]) + (lanes[2] + lanes[3])) + ((lanes[4] + lanes[5]) + (lanes[6] + lanes[7]))
+        np.add.at(sums, cell[tail], value[tail])
+        sums[cell[one]] += value[one]
+        return sums.reshape(len(length), len(self.words))
 
 
 class Machine:

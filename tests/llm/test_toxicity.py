@@ -42,6 +42,15 @@ def test_kernel_multiplies_only_codes_that_landmarks_hold():
     ) + len(brute("abca"))
 
 
+def test_sparse_sums_round_as_dense_ones(monkeypatch):
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdeé1.-OP"), rng.integers(1, 48))) for _ in range(400)]
+    landmarks = toxicity.Landmarks([w for w in words if len(w) > 8][:60])
+    got = landmarks.kernel(words)
+    monkeypatch.setattr(toxicity, "LONG", 0)
+    assert np.array_equal(got, landmarks.kernel(words))
+
+
 def trained(seed=0):
     rng = np.random.default_rng(seed)
     parts = ["the", "and", "ing", "tion", "er", "on", "st", "ly", "ou", "re", "ble", "ent"]
