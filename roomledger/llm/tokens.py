@@ -2,7 +2,8 @@
 
 Texts are cut at plain spaces. A chunk that was not seen before is cut into the tokenizer's words, where its file says
 how and the chunk has no characters on which two engines could disagree; words not seen before go to the library's
-model. All other chunks go through the whole library, and all texts do with a file of another kind.
+model. All other chunks go through the whole library, and all texts do with a file of another kind. Where words hold no
+spaces, a text without such characters is cut into words at once.
 """
 
 from __future__ import annotations
@@ -59,6 +60,12 @@ def byte_letters() -> list[str]:
 
 
 _LETTERS = dict(enumerate(byte_letters()))
+#: What each byte of a safe text is part of; bytes of longer characters are all of letters.
+_SPACE, _LETTER, _DIGIT, _SIGN = range(4)
+_CLASS = bytes(
+    _LETTER if b > 127 or chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _SPACE if chr(b) in "\t\n\r " else _SIGN
+    for b in range(256)
+)
 
 
 def _even(text: str) -> bool:
@@ -88,6 +95,34 @@ def chunks(text: str) -> list[str]:
     return parts
 
 
+def words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words of safe texts in lower case, without spaces: those of all texts in a row, and how many each text has.
+
+    A word is a run of letters, one digit, a run of other signs, or an ending such as 's where no run of signs comes
+    before its apostrophe.
+    """
+    parts = [text.lower().encode() for text in texts]
+    joined = b"\n".join(parts)
+    raw, kind = np.frombuffer(joined, np.uint8), np.frombuffer(joined.translate(_CLASS), np.uint8)
+    solid = kind != _SPACE
+    starts = solid.copy()
+    starts[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    if b"'" in joined:
+        quotes = np.flatnonzero(starts & (raw == ord("'")))
+        one, two = (np.frombuffer(joined + b"\0\0", np.uint8)[quotes + i] for i in (1, 2))
+        short = np.isin(one, list(b"stmd"))
+        long = (np.isin(one, list(b"rv")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        starts[quotes[short | long] + 1] = False
+        after = np.r_[quotes[short] + 2, quotes[long] + 3]
+        after = after[after < len(raw)]
+        starts[after] = solid[after]
+    ends = np.cumsum([len(part) + 1 for part in parts])
+    counts = np.diff(np.searchsorted(np.flatnonzero(starts), ends), prepend=0)
+    letters, offsets = raw[solid], np.flatnonzero(starts[solid])
+    buffers = pa.py_buffer(np.r_[offsets, len(letters)]), pa.py_buffer(letters)
+    return pa.LargeStringArray.from_buffers(len(offsets), *buffers), counts
+
+
 class ChunkEncoder:
     """Ids as little-endian unsigned 32-bit integers, equal to those of the library for the whole text."""
 
@@ -175,20 +210,26 @@ class ChunkEncoder:
         return ids
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        """Ids of each text. Its chunks are numbered in Arrow, so that only different ones are looked at one by one."""
+        """Ids of each text. Its chunks are numbered in Arrow, so that only different ones are looked at one by one.
+
+        Where words hold no spaces, those of safe texts stand for chunks.
+        """
         texts = list(texts)
         if self.kind is None or not texts:
             return self._library(texts)
         if len(self.pieces) > KEPT_WORDS // 2:
             self.pieces = {}
-        even = [i for i, text in enumerate(texts) if _even(text)]
-        odd = sorted({*range(len(texts))}.difference(even))
+        safe = [i for i, text in enumerate(texts) if self._safe(text)] if self.lower else []
+        rest = sorted({*range(len(texts))}.difference(safe))
+        even = [i for i in rest if _even(texts[i])]
+        odd = sorted({*rest}.difference(even))
         kind = pa.string() if sum(map(len, texts)) < 1 << 28 else pa.large_string()
+        cut, of_safe = words([texts[i] for i in safe])
         split = pc.split_pattern(pa.array([texts[i] for i in even], kind), " ")
         uneven = [chunks(texts[i]) for i in odd]
-        counts = np.r_[np.diff(split.offsets.to_numpy()), [len(parts) for parts in uneven]].astype(np.int64)
+        counts = np.r_[of_safe, np.diff(split.offsets.to_numpy()), [len(parts) for parts in uneven]].astype(np.int64)
         rest_of_odd = pa.array([part for parts in uneven for part in parts], kind)
-        every = pa.concat_arrays([split.flatten(), rest_of_odd])
+        every = pa.concat_arrays([cut.cast(kind), split.flatten(), rest_of_odd])
         numbered = every.dictionary_encode()
         found, code = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
         firsts, used = [b""] * len(texts), range(len(found))
@@ -209,7 +250,7 @@ class ChunkEncoder:
         raw = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
         ends = 4 * np.r_[0, done][np.cumsum(counts)]
         out, a = [b""] * len(texts), 0
-        for i, ids_of_first, b in zip([*even, *odd], firsts, ends.tolist(), strict=True):
+        for i, ids_of_first, b in zip([*safe, *even, *odd], firsts, ends.tolist(), strict=True):
             out[i], a = ids_of_first + raw[a:b], b
         return out
 

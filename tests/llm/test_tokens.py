@@ -103,3 +103,29 @@ def test_cuts_in_arrow_are_those_of_chunks(monkeypatch):
         encoder.encode(["one two two three two", "four two three"])
         wanted = {*"one two three four".split()} if encoder.lower else {"two", "three"}
         assert [sorted(chunks) for chunks in asked] == [sorted(wanted)]
+
+
+def test_words_of_safe_texts_are_those_of_the_pattern():
+    """Apostrophes, digits, signs, long letters and empty texts side by side; no word reaches into the next text."""
+    rng = random.Random(11)
+    alphabet = [*"'abdelmrstvD19_!-.", "'s", "'LL", "'re", "'Ve", " ", " ", "\n", "\t", "É", "ß", "Ⱥ", "ſ"]
+    given = ["".join(rng.choices(alphabet, k=rng.randint(0, 14))) for _ in range(20000)]
+    given += ["it's", "'", "''s", "'", "s", "'l", "l", "90's", "'S", ""]
+    encoder = tokens.ChunkEncoder(WORDS)
+    given = [text for text in given if encoder._safe(text)]
+    got, counts = tokens.words(given)
+    want = [encoder.words.findall(text.lower()) for text in given]
+    assert got.to_pylist() == [word for found in want for word in found]
+    assert counts.tolist() == [len(found) for found in want]
+    assert [w.to_pylist() for w in tokens.words([])[:1]] == [[]] and tokens.words([""])[1].tolist() == [0]
+    assert encoder.encode(given) == ids(WORDS, given)
+
+
+def test_spellings_of_a_word_are_looked_at_once():
+    """Case, line ends and signs beside a word make no other one, also between texts that are not safe."""
+    given = ["The the, THE. (the)\nthe's the", "a curly \u201cthe\u201d here", "", "The end"]
+    encoder, asked = tokens.ChunkEncoder(WORDS), []
+    look = encoder._of_chunks
+    encoder._of_chunks = lambda chunks: asked.append(list(chunks)) or look(chunks)
+    assert encoder.encode(given) == ids(WORDS, given)
+    assert [sorted(found) for found in asked] == [sorted(["the", ",", ".", "(", ")", "'s", "end", *given[1].split()])]
