@@ -5,15 +5,18 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
 _own: dict[str, str] = {}
 _scopes: list[list[str]] = []
+_held: dict[Hashable, Any] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +34,23 @@ def ready_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
 
 
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What `make` gives, kept by this worker process until it is asked for another key.
+
+    Workers outlive jobs, so what an operator has cached would otherwise stay beside all that later ones need.
+    """
+    if key not in _held:
+        drop_held()
+        _held[key] = make()
+    return _held[key]
+
+
+def drop_held() -> None:
+    """For the tasks of operators that hold nothing: what others have left goes first."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as `spark.checkpoint.dir` names it.
 

@@ -91,6 +91,7 @@ def signature(sets: list[np.ndarray]) -> np.ndarray:
 
 def _signed(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.drop_held()
         words = Words()
         for batch in batches:
             sets = [shingles(words.hashes(text.as_py() or ""), size) for text in batch.column(1)]
@@ -114,6 +115,7 @@ def _sets(size: int):
     """The sets of texts, under the numbers of those among `wanted` that they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.drop_held()
         words = Words()
         for batch in batches:
             nodes, sets = [], []

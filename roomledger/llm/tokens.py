@@ -19,6 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import tokenizers
 
+from roomledger.llm import common
+
 #: White space that is rare in texts.
 _RARE_SPACE = re.compile("[\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ASCII_RARE = ("\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
@@ -49,9 +51,6 @@ KINDS = {
     ),
 }
 
-_open: dict[str, ChunkEncoder] = {}
-
-
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -256,10 +255,8 @@ class ChunkEncoder:
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """One encoder per worker process and file."""
-    if path not in _open:
-        _open[path] = ChunkEncoder(path)
-    return _open[path]
+    """One encoder per worker process, of the file asked for last."""
+    return common.held(("tokens", path), lambda: ChunkEncoder(path))
 
 
 def slices(column, most_chars: int = 4_000_000):

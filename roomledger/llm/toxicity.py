@@ -418,6 +418,7 @@ def _scorer(spark: SparkSession, machine: Machine | None):
     model = spark.sparkContext.broadcast(machine)
 
     def score(column) -> tuple[list[float], list[int], list[int]]:
+        common.drop_held()
         machine, rows = model.value, []
         texts = [text.as_py() or "" for text in column]
         if machine is None:
