@@ -2,8 +2,8 @@
 
 Texts are cut at plain spaces. A chunk that was not seen before is cut into the tokenizer's words, where its file says
 how and the chunk has no characters on which two engines could disagree; words not seen before go to the library's
-model. All other chunks go through the whole library, and all texts do with a file of another kind. Where words hold no
-spaces, a text without such characters is cut into words at once.
+model. All other chunks go through the whole library, and all texts do with a file of another kind. A text without such
+characters is cut into words at once.
 """
 
 from __future__ import annotations
@@ -65,6 +65,9 @@ _CLASS = bytes(
     _LETTER if b > 127 or chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _SPACE if chr(b) in "\t\n\r " else _SIGN
     for b in range(256)
 )
+#: The same where a zero byte ends a text.
+_END = 4
+_CLASS_OR_END = bytes([_END]) + _CLASS[1:]
 
 
 def _even(text: str) -> bool:
@@ -107,14 +110,48 @@ def words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
     starts = solid.copy()
     starts[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
     if b"'" in joined:
-        quotes = np.flatnonzero(starts & (raw == ord("'")))
-        one, two = (np.frombuffer(joined + b"\0\0", np.uint8)[quotes + i] for i in (1, 2))
-        short = np.isin(one, list(b"stmd"))
-        long = (np.isin(one, list(b"rv")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
-        starts[quotes[short | long] + 1] = False
-        after = np.r_[quotes[short] + 2, quotes[long] + 3]
-        after = after[after < len(raw)]
-        starts[after] = solid[after]
+        _part_endings(joined, np.flatnonzero(starts & (raw == ord("'"))), starts, solid)
+    return _between(parts, raw, starts, solid)
+
+
+def spaced_words(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of safe texts where spaces are part of words: those of all texts in a row, how many each text has, and
+    which of them have no space in front. That space is left out.
+
+    A word is a run of letters, digits or other signs, with a space before it, or an ending such as 's where no space
+    and no sign comes before its apostrophe. White space is a word up to its last character, or to a text's end; that
+    character is one if it is no space.
+    """
+    parts = [text.encode() for text in texts]
+    joined = b"\0".join(parts)  # in no safe text
+    raw, kind = np.frombuffer(joined, np.uint8), np.frombuffer(joined.translate(_CLASS_OR_END), np.uint8)
+    solid = kind != _END
+    starts = solid.copy()
+    starts[1:] &= kind[1:] != kind[:-1]
+    last = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & (kind[1:] != _END))
+    starts[last] = True
+    led = last[raw[last] == ord(" ")]
+    starts[led] = solid[led] = False
+    bare = np.ones(len(raw), dtype=bool)
+    bare[led + 1] = False
+    if b"'" in joined:
+        _part_endings(joined, np.flatnonzero(starts & bare & (raw == ord("'"))), starts, solid)
+    return *_between(parts, raw, starts, solid), bare[starts]
+
+
+def _part_endings(joined: bytes, quotes: np.ndarray, starts: np.ndarray, solid: np.ndarray) -> None:
+    """Makes words of endings such as 's; `quotes` are the places of apostrophes that words start with."""
+    one, two = (np.frombuffer(joined + b"\0\0", np.uint8)[quotes + i] for i in (1, 2))
+    short = np.isin(one, list(b"stmd"))
+    long = (np.isin(one, list(b"rv")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+    starts[quotes[short | long] + 1] = False
+    after = np.r_[quotes[short] + 2, quotes[long] + 3]
+    after = after[after < len(starts)]
+    starts[after] = solid[after]
+
+
+def _between(parts: list[bytes], raw: np.ndarray, starts: np.ndarray, solid: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Words from their starts, of what is solid, and how many each part has; a byte lies between the parts."""
     ends = np.cumsum([len(part) + 1 for part in parts])
     counts = np.diff(np.searchsorted(np.flatnonzero(starts), ends), prepend=0)
     letters, offsets = raw[solid], np.flatnonzero(starts[solid])
@@ -169,10 +206,14 @@ class ChunkEncoder:
         """Ids of chunks with `space` in front of each."""
         out, odd = [], []
         safe, lower, known, cut, ids_of = self._safe, self.lower, self.pieces.get, self.words.findall, self._ids
+        look, mark, bare = self.model.tokenize, space and _LETTERS[0x20], space != self.space
         for i, part in enumerate(parts):
-            if part.isascii() and part.isalpha():  # one word
-                word = part.lower() if lower else space + part
-                out.append(known(word) or ids_of(word))
+            if part.isascii() and part.isalpha():  # one word; after a space it is kept as a chunk
+                word = part.lower() if lower else part
+                if bare:
+                    out.append(known(word) or ids_of(word))
+                else:
+                    out.append(known(space + word) or array("I", [token.id for token in look(mark + word)]).tobytes())
                 continue
             part = space + part
             if not safe(part):
@@ -211,35 +252,39 @@ class ChunkEncoder:
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text. Its chunks are numbered in Arrow, so that only different ones are looked at one by one.
 
-        Where words hold no spaces, those of safe texts stand for chunks.
+        The words of safe texts stand for chunks.
         """
         texts = list(texts)
         if self.kind is None or not texts:
             return self._library(texts)
         if len(self.pieces) > KEPT_WORDS // 2:
             self.pieces = {}
-        safe = [i for i, text in enumerate(texts) if self._safe(text)] if self.lower else []
+        safe = [i for i, text in enumerate(texts) if self._safe(text)]
         rest = sorted({*range(len(texts))}.difference(safe))
         even = [i for i in rest if _even(texts[i])]
         odd = sorted({*rest}.difference(even))
         kind = pa.string() if sum(map(len, texts)) < 1 << 28 else pa.large_string()
-        cut, of_safe = words([texts[i] for i in safe])
+        cut, of_safe, *bare = (words if self.lower else spaced_words)([texts[i] for i in safe])
         split = pc.split_pattern(pa.array([texts[i] for i in even], kind), " ")
         uneven = [chunks(texts[i]) for i in odd]
-        counts = np.r_[of_safe, np.diff(split.offsets.to_numpy()), [len(parts) for parts in uneven]].astype(np.int64)
+        of_rest = np.r_[np.diff(split.offsets.to_numpy()), [len(parts) for parts in uneven]].astype(np.int64)
         rest_of_odd = pa.array([part for parts in uneven for part in parts], kind)
         every = pa.concat_arrays([cut.cast(kind), split.flatten(), rest_of_odd])
         numbered = every.dictionary_encode()
         found, code = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
-        firsts, used = [b""] * len(texts), range(len(found))
-        if self.space:  # a first chunk has none in front of it
-            starts = np.cumsum(counts) - counts
-            firsts = self._new([found[i] for i in code[starts].tolist()], "")
-            code, counts = np.delete(code, starts), counts - 1
-            used = np.flatnonzero(np.bincount(code, minlength=len(found))).tolist()
-        ids = [b""] * len(found)
+        n, alone = len(found), []
+        used = range(n)
+        if self.space:  # by other numbers where no space is in front, as of a first chunk
+            starts = len(cut) + np.cumsum(of_rest) - of_rest
+            code = code.astype(np.int64)
+            code[np.r_[np.flatnonzero(*bare), starts]] += n
+            both = np.flatnonzero(np.bincount(code, minlength=2 * n))
+            used, alone = both[both < n].tolist(), both[both >= n].tolist()
+        ids = [b""] * (n + n * bool(alone))
         for i, got in zip(used, self._of_chunks([found[i] for i in used]), strict=True):
             ids[i] = got
+        for i, got in zip(alone, self._new([found[i - n] for i in alone], ""), strict=True):
+            ids[i] = got
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4  # of an id: 4 bytes
         first = np.cumsum(size) - size
         of_word = size[code]
@@ -247,10 +292,10 @@ class ChunkEncoder:
         at = np.repeat(first[code] - done + of_word, of_word)
         at += np.arange(len(at))
         raw = np.frombuffer(b"".join(ids), "<u4")[at].tobytes()
-        ends = 4 * np.r_[0, done][np.cumsum(counts)]
+        ends = 4 * np.r_[0, done][np.cumsum(np.r_[of_safe, of_rest])]
         out, a = [b""] * len(texts), 0
-        for i, ids_of_first, b in zip([*safe, *even, *odd], firsts, ends.tolist(), strict=True):
-            out[i], a = ids_of_first + raw[a:b], b
+        for i, b in zip([*safe, *even, *odd], ends.tolist(), strict=True):
+            out[i], a = raw[a:b], b
         return out
 
 

@@ -129,3 +129,29 @@ def test_spellings_of_a_word_are_looked_at_once():
     encoder._of_chunks = lambda chunks: asked.append(list(chunks)) or look(chunks)
     assert encoder.encode(given) == ids(WORDS, given)
     assert [sorted(found) for found in asked] == [sorted(["the", ",", ".", "(", ")", "'s", "end", *given[1].split()])]
+
+
+def test_words_with_spaces_are_those_of_the_pattern():
+    """White space of all lengths, signs and endings side by side; no word reaches into the next text."""
+    rng = random.Random(12)
+    alphabet = [*"'abdelmrstvD19_!-.", "'s", "'LL", "'re", "'ll", " ", " ", " ", "  ", "\n", "\t", "\r", "É", "ß", "ſ"]
+    given = ["".join(rng.choices(alphabet, k=rng.randint(0, 14))) for _ in range(20000)]
+    given += ["", " ", "  ", "\n", " \n", "\n ", "'", " '", " 's", "'s", "s", "''s", "a 's", "a  's", "a\n's", "'l", "l"]
+    encoder = tokens.ChunkEncoder(BYTES)
+    given = [text for text in given if encoder._safe(text)]
+    got, counts, bare = tokens.spaced_words(given)
+    want = [encoder.words.findall(text) for text in given]
+    found = [word if alone else f" {word}" for word, alone in zip(got.to_pylist(), bare.tolist(), strict=True)]
+    assert found == [word for words in want for word in words]
+    assert counts.tolist() == [len(words) for words in want]
+    assert [list(part) for part in tokens.spaced_words([])] == [[], [], []] and tokens.spaced_words([""])[1].tolist() == [0]
+    assert encoder.encode(given) == ids(BYTES, given)
+
+
+def test_signs_beside_a_word_with_its_space_make_no_other_one():
+    given = ["a the the, the. the)\nthe's (the", "a curly \u201cthe\u201d here", "", "a end"]
+    encoder, asked = tokens.ChunkEncoder(BYTES), []
+    look = encoder._of_chunks
+    encoder._of_chunks = lambda chunks: asked.append(list(chunks)) or look(chunks)
+    assert encoder.encode(given) == ids(BYTES, given)
+    assert [sorted(found) for found in asked] == [sorted(["the", "(", "end", *given[1].split()[1:]])]
