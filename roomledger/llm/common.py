@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -17,6 +18,9 @@ ROOT = str(Path(__file__).resolve().parents[2])
 _own: dict[str, str] = {}
 _scopes: list[list[str]] = []
 _held: dict[Hashable, Any] = {}
+#: Bytes of texts that go to a worker at once; a batch ends with the row that reaches them.
+BATCH_BYTES = 4_000_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +38,15 @@ def ready_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to workers and come back in batches of BATCH_BYTES, unless the session has its own limit.
+
+    Spark's own is 64 MB, in memory as rows, Arrow vectors and messages on both sides, for each core of an executor.
+    """
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def held(key: Hashable, make: Callable[[], Any]) -> Any:
     """What `make` gives, kept by this worker process until it is asked for another key.
 
@@ -46,9 +59,15 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 def drop_held() -> None:
-    """For the tasks of operators that hold nothing: what others have left goes first."""
+    """For the tasks of operators that hold nothing: what others have left goes first, back to the system.
+
+    C's allocator keeps what is freed, so all workers of an executor would stay as large as they ever were.
+    """
     _held.clear()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -347,6 +347,7 @@ def near_duplicates(
 def _placed(spark: SparkSession, docs: DataFrame, words: int, percent: int, id_column, text_column) -> DataFrame:
     """The rows of `near_duplicates`, with a digest of each one's text."""
     common.ready_workers(spark)
+    common.small_batches(spark)
     picked = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     schema = "doc_id bigint, n_shingles bigint, set_key binary, signature binary, text_key binary"
     keyed = picked.withColumn("text_key", _text_key(F.col("text")))

@@ -159,6 +159,7 @@ def pack(
     rows. Other columns are not read.
     """
     common.ready_workers(spark)
+    common.small_batches(spark)
     picked = docs.select(F.col(id_column).cast("bigint"), F.col(text_column).cast("string"))
     pieces = common.staged(spark, picked.mapInArrow(_cut(path, end_id, size), PIECES), "pieces")
     found = common.staged(spark, pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")

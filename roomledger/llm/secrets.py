@@ -193,9 +193,11 @@ def scan(
     other columns are not read. Texts are scanned whole, each in its own row.
     """
     common.ready_workers(spark)
+    common.small_batches(spark)
     names = [field.split()[0] for field in FOUND.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.drop_held()
         for batch in batches:
             rows = []
             for text in batch.column(1):
@@ -239,10 +241,12 @@ def redacted(
     Texts without secrets, nulls among them, are left as they are; `length_column`, if given, follows changed texts.
     """
     common.ready_workers(spark)
+    common.small_batches(spark)
     at = docs.columns.index(text_column)
     counted = None if length_column is None else docs.columns.index(length_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.drop_held()
         for batch in batches:
             columns = list(batch.columns)
             texts = columns[at].to_pylist()

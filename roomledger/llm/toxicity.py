@@ -40,7 +40,7 @@ CANDIDATES, OFTEN, RARE, HARD, VARIED = 600, 3000, 9000, 3000, 2000
 #: Letters of a fragment at most, and clean documents of the sample from which on a unit is a word.
 FRAGMENT, IN_USE = 8, 2
 #: Margins of units kept per worker, and of half as many plain ones.
-KEPT = 600_000
+KEPT = 300_000
 _SPELLED = re.compile(r"(?<!\S)\S(?:[ \t\xa0]{1,4}\S){2,}(?!\S)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _EDGE = ".,;:!?\"'()[]{}<>|#$%&*"
@@ -399,6 +399,7 @@ def scored(
     table gives no rows; other columns are not read.
     """
     common.ready_workers(spark)
+    common.small_batches(spark)
     score = _scorer(spark, fit(docs, labels, id_column, text_column, label))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -442,6 +443,7 @@ def kept(
     like others.
     """
     common.ready_workers(spark)
+    common.small_batches(spark)
     score = _scorer(spark, fit(docs, labels, id_column, text_column, label))
     at = docs.columns.index(text_column)
 
