@@ -20,6 +20,7 @@ witnesses, on OFTEN frequent, RARE random and HARD wrongly scored clean units, a
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from collections import Counter
@@ -39,12 +40,16 @@ SCORED = "doc_id bigint, held_out boolean, score double, predicted int, n_insult
 CANDIDATES, OFTEN, RARE, HARD, VARIED = 600, 3000, 9000, 3000, 2000
 #: Letters of a fragment at most, and clean documents of the sample from which on a unit is a word.
 FRAGMENT, IN_USE = 8, 2
-#: Margins of units kept per worker, and of half as many plain ones.
+#: Units kept per worker, pairs of fragments, and half as many plain units.
 KEPT = 300_000
 _SPELLED = re.compile(r"(?<!\S)\S(?:[ \t\xa0]{1,4}\S){2,}(?!\S)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _EDGE = ".,;:!?\"'()[]{}<>|#$%&*"
 _LOW = -4.0
+_GAPS = list(itertools.product(range(1, GAP + 1), repeat=2))
+_WEIGHTS = np.array([DECAY ** (d1 + d2 - 2) for d1, d2 in _GAPS])
+#: Codes that a table of them has room for; others are looked up by bisection.
+TABLE = 1 << 20
 #: Codes of a unit, over which all landmarks are looked at for each.
 LONG = 129
 
@@ -65,39 +70,46 @@ def plain(unit: str) -> list[str]:
     return [unit[a : a + UNIT] for a in range(0, len(unit) - OVERLAP, UNIT - OVERLAP)]
 
 
+def _counted(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, code, weight) of all gap-limited subsequences of three characters, one row per word and code; and the
+    letters, in whose numbers, as digits, codes are written."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+    used = np.zeros(int(flat.max(initial=0)) + 1, dtype=bool)
+    used[flat] = True
+    seen = np.flatnonzero(used)
+    seen = seen[np.array([chr(c).isalnum() for c in seen], dtype=bool)] if len(flat) else seen[:0]
+    number = np.full(len(used), -1, dtype=np.int64)
+    number[seen] = np.arange(len(seen))
+    which, place = number[flat], len(seen)
+    letter = which >= 0
+    rest = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(flat))  # of the word, with this character
+    lead = (np.repeat(np.arange(len(words)), lengths) * place + which) * place
+    keys = []  # a code's place among its word's equal ones follows from its gaps, as its weight does
+    for i, (d1, d2) in enumerate(_GAPS):
+        n = max(0, len(flat) - d1 - d2)
+        at = np.flatnonzero((rest[:n] > d1 + d2) & letter[:n] & letter[d1 : d1 + n] & letter[d1 + d2 :])
+        keys.append(((lead[at] + which[at + d1]) * place + which[at + d1 + d2]) * len(_GAPS) + i)
+    key = np.concatenate(keys)
+    key.sort()
+    code, gaps = np.divmod(key, len(_GAPS))
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else code
+    weight = np.add.reduceat(_WEIGHTS[gaps], first) if len(first) else np.empty(0)
+    owner, code = np.divmod(code[first], max(1, place) ** 3)
+    return owner, code, weight, seen
+
+
+def _written(code: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Codes of numbers of letters as codes of the letters; both are in one order."""
+    rest, c3 = np.divmod(code, max(1, len(letters)))
+    c1, c2 = np.divmod(rest, max(1, len(letters)))
+    return letters[c1] << 42 | letters[c2] << 21 | letters[c3]
+
+
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, code, weight) of all gap-limited subsequences of three characters, one row per word and code."""
-    lengths = np.array([len(w) for w in words])
-    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    owner = np.repeat(np.arange(len(words)), lengths)
-    seen, which = np.unique(flat, return_inverse=True)
-    letter = np.array([chr(c).isalnum() for c in seen], dtype=bool)[which]
-    owners, codes, weights = [], [], []
-    for d1 in range(1, GAP + 1):
-        for d2 in range(1, GAP + 1):
-            if len(flat) <= d1 + d2:
-                continue
-            at = np.flatnonzero(
-                (owner[: -d1 - d2] == owner[d1 + d2 :]) & letter[: -d1 - d2] & letter[d1:-d2] & letter[d1 + d2 :]
-            )
-            owners.append(owner[at])
-            codes.append((which[at] * len(seen) + which[at + d1]) * len(seen) + which[at + d1 + d2])
-            weights.append(np.full(len(at), DECAY ** (d1 + d2 - 2)))
-    if not owners:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    owner, code, weight = map(np.concatenate, (owners, codes, weights))
-    place = len(seen)  # letters are numbered in their order, so codes of numbers are in the order of codes
-    if len(words) * place**3 < 1 << 62:
-        order = np.argsort(owner * place**3 + code, kind="stable")
-    else:
-        order = np.lexsort((code, owner))
-    owner, code, weight = owner[order], code[order], weight[order]
-    first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (code[1:] != code[:-1])]) if len(owner) else owner
-    weight = np.add.reduceat(weight, first) if len(first) else weight
-    owner, code = owner[first], code[first]
-    rest, c3 = np.divmod(code, place)
-    c1, c2 = np.divmod(rest, place)
-    return owner, seen[c1] << 42 | seen[c2] << 21 | seen[c3], weight
+    owner, code, weight, letters = _counted(words)
+    return owner, _written(code, letters), weight
 
 
 class Landmarks:
@@ -117,10 +129,10 @@ class Landmarks:
         self.first = np.cumsum(self.n) - self.n
 
     def kernel(self, words: list[str]) -> np.ndarray:
-        owner, code, weight = subsequences(words)
+        owner, code, weight, letters = _counted(words)
         norm = np.sqrt(np.maximum(np.bincount(owner, weight**2, len(words)), 1e-9))
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        known = self.codes[at] == code
+        at = self._at(code, letters)
+        known = np.flatnonzero(at >= 0)
         owner, at, weight = owner[known], at[known], weight[known]
         weight = weight.astype(np.float32)
         out = np.zeros((len(words), len(self.words)), dtype=np.float32)
@@ -138,6 +150,21 @@ class Landmarks:
         out[~long] = (self._sums(owner, at, weight, place, length) / norm[:, None])[~long]
         return np.exp(SHARP * (out - 1))
 
+    def _at(self, code: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Where codes of these letters are among the landmarks' ones, or -1."""
+        place = len(letters)
+        if place and len(self.codes) and place**3 <= TABLE:
+            three = np.stack([self.codes >> 42, self.codes >> 21 & 0x1FFFFF, self.codes & 0x1FFFFF])
+            number = np.minimum(np.searchsorted(letters, three), place - 1)
+            here = np.flatnonzero((letters[number] == three).all(axis=0))
+            table = np.full(place**3, -1, dtype=np.int64)
+            table[(number[0, here] * place + number[1, here]) * place + number[2, here]] = here
+            return table[code]
+        if not len(code) or not len(self.codes):
+            return np.full(len(code), -1)
+        written = _written(code, letters)
+        at = np.minimum(np.searchsorted(self.codes, written), len(self.codes) - 1)
+        return np.where(self.codes[at] == written, at, -1)
 
     def _sums(self, owner, at, weight, place, length) -> np.ndarray:
         """Products of known codes with all landmarks, summed by unit; `place` counts a unit's codes, at most LONG.
@@ -162,75 +189,119 @@ class Landmarks:
         return sums.reshape(len(length), len(self.words))
 
 
+class _Numbers(dict):
+    """Numbers of units, in the order in which they are asked for first."""
+
+    def __missing__(self, unit: str) -> int:
+        number = self[unit] = len(self)
+        return number
+
+
+def _with(column: np.ndarray, n: int, values: list) -> np.ndarray:
+    """The first `n` values of a column and these after them, with room for as many again."""
+    if n + len(values) > len(column):
+        column = np.concatenate([column[:n], np.zeros(n + 2 * len(values), dtype=column.dtype)])
+    column[n : n + len(values)] = values
+    return column
+
+
 class Machine:
     """margin(unit) = sum of alpha * kernel(unit, landmark) + bias; score(document) by its worst units."""
 
     def __init__(self, landmarks: list[str], alpha: np.ndarray, bias: float, words: frozenset[str] = frozenset()):
         self.landmarks, self.alpha, self.bias = Landmarks(landmarks), alpha.astype(np.float32), bias
-        self.words = words  # of the language; without any, no fragments are looked for
+        self.words = words  # of the language
         insults = (w for w, a in zip(landmarks, alpha, strict=True) if a > 0)
         self.marks = {w[i : i + 3] for w in insults for i in range(len(w) - 2)}
         self.logistic = np.zeros(6)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, float] = {}  # by unit as written
-        self.pieces: dict[str, float] = {}  # by plain unit
-        self.fragments: set[str] = set()  # of the known ones
+        self.known = _Numbers()  # of units as written
+        self.margin = np.empty(0)  # by number
+        self.fragment = np.empty(0, dtype=bool)  # by number
+        self.pairs: dict[int, int] = {}  # by the numbers of two fragments: that of both as one unit, or -1
+        self.pieces: dict[str, float] = {}  # margins by plain unit
 
     def margins(self, words: Iterable[str]) -> dict[str, float]:
         """Margins of units as written."""
         words = list(words)
-        pieces, margin = [plain(w) for w in words], self.pieces
-        flat = list({p for ps in pieces for p in ps if len(p) > 2 and p not in margin})
+        return dict(zip(words, self._margins(words, [w.lower().strip(_EDGE) for w in words]), strict=True))
+
+    def _margins(self, words: list[str], cut: list[str]) -> list[float]:
+        """Margins of units; `cut` are the same in lower case without punctuation at their ends."""
+        known = self.pieces
+        long = {i: plain(words[i]) for i, p in enumerate(cut) if len(p) > UNIT}
+        new = {p for p in cut if 2 < len(p) <= UNIT}.union(*long.values()).difference(known)
+        flat = [p for p in new if len(p) > 2]
         for a in range(0, len(flat), 4000):
             part = flat[a : a + 4000]
             values = self.landmarks.kernel(part) @ self.alpha + self.bias
-            margin.update(zip(part, values.tolist(), strict=True))
-        return {w: max(margin.get(p, _LOW) for p in ps) for w, ps in zip(words, pieces, strict=True)}
-
-    def learn(self, found: set[str]) -> None:
-        new = found.difference(self.known)
-        self.known.update(self.margins(new))
-        if self.words:
-            letters = ((w, w.lower().strip(_EDGE)) for w in new if len(w) <= FRAGMENT + 4)
-            self.fragments.update(w for w, p in letters if 1 < len(p) <= FRAGMENT and p.isalpha() and p not in self.words)
-
-    def _joined(self, found: list[str]) -> list[str]:
-        """Pairs of neighbouring fragments that share letters in a row with an insult, so that they may be one."""
-        half, pairs = list(map(self.fragments.__contains__, found)), []
-        at = -1
-        while True:
-            try:
-                at = half.index(True, at + 1)
-            except ValueError:
-                return pairs
-            if at + 1 < len(half) and half[at + 1]:
-                whole = (found[at] + found[at + 1]).lower()
-                if sum(whole[i : i + 3] in self.marks for i in range(len(whole) - 2)) > 1:
-                    pairs.append(f"{found[at]} {found[at + 1]}")
-
-    def units(self, texts: list[str]) -> list[list[str]]:
-        """Units of texts, all of them learnt."""
-        if len(self.known) > KEPT:
-            self.known, self.fragments = {}, set()
+            known.update(zip(part, values.tolist(), strict=True))
+        out = [known.get(p, _LOW) for p in cut]
+        for i, parts in long.items():
+            out[i] = max(known.get(p, _LOW) for p in parts)
+        return out
+
+    def _learnt(self, found: list[str]) -> np.ndarray:
+        """Numbers of units; of new ones, what is asked about them later is found out."""
+        n = len(self.known)
+        number = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+        new = list(itertools.islice(reversed(self.known), len(self.known) - n))[::-1]
+        if new:
+            cut = [w.lower().strip(_EDGE) for w in new]
+            words = self.words
+            self.margin = _with(self.margin, n, self._margins(new, cut))
+            self.fragment = _with(self.fragment, n, [
+                1 < len(p) <= FRAGMENT and len(w) <= FRAGMENT + 4 and p.isalpha() and p not in words
+                for w, p in zip(new, cut, strict=True)
+            ])
+        return number
+
+    def _joined(self, found: list[str], number: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of neighbouring fragments that share letters in a row with an insult, so that they may be one: the
+        texts that own them, and their numbers as units."""
+        half = self.fragment[number]
+        at = np.flatnonzero(half[:-1] & half[1:] & (owner[:-1] == owner[1:]))
+        key, first, which = np.unique(number[at] << 32 | number[at + 1], return_index=True, return_inverse=True)
+        key, units, known = key.tolist(), [], self.pairs
+        for k, i in zip(key, at[first].tolist(), strict=True):
+            if k not in known:
+                whole = (found[i] + found[i + 1]).lower()
+                marked = sum(whole[j : j + 3] in self.marks for j in range(len(whole) - 2)) > 1
+                known[k] = -1
+                if marked:
+                    units.append((k, f"{found[i]} {found[i + 1]}"))
+        if units:
+            known.update(zip((k for k, _ in units), self._learnt([u for _, u in units]).tolist(), strict=True))
+        pair = np.fromiter(map(known.__getitem__, key), np.int64, len(key))[which]
+        return owner[at][pair >= 0], pair[pair >= 0]
+
+    def units(self, texts: list[str]) -> list[np.ndarray]:
+        """Numbers of the units of each text, all of them learnt; they hold until the next call."""
+        if len(self.known) > KEPT or len(self.pairs) > KEPT:
+            pieces = self.pieces
+            self.forget()
+            self.pieces = pieces
         if len(self.pieces) > KEPT // 2:
             self.pieces = {}
         found = [units(text) for text in texts]
-        self.learn({u for f in found for u in f})
-        if self.fragments:
-            pairs = [self._joined(f) for f in found]
-            self.learn({u for p in pairs for u in p})
-            found = [f + p for f, p in zip(found, pairs, strict=True)]
-        return found
-
-    def features(self, found: list[str]) -> np.ndarray:
+        owner = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        found = list(itertools.chain.from_iterable(found))
+        number = self._learnt(found)
+        if self.words:  # without any, no fragments are looked for
+            owners, pairs = self._joined(found, number, owner)
+            order = np.argsort(np.r_[owner, owners], kind="stable")
+            owner, number = np.r_[owner, owners][order], np.r_[number, pairs][order]
+        return np.split(number, np.searchsorted(owner, np.arange(1, len(texts)))) if texts else []
+
+    def features(self, found: np.ndarray) -> np.ndarray:
         """Of a document whose units have been learnt: its three worst units, and how many are insults and different."""
-        values = np.fromiter(map(self.known.__getitem__, found), np.float64, len(found))
-        worst = np.sort(values)[-3:][::-1] if len(values) > 3 else np.sort(values)[::-1]
+        values = self.margin[found]
+        worst = np.sort(values)[-3:][::-1]
         worst = np.clip(np.r_[worst, np.full(3 - len(worst), -1.0)], -1, 1)
-        insults = np.flatnonzero(values > 0)
-        several = len({found[i] for i in insults})
+        insults = found[values > 0]
+        several = len(set(insults.tolist()))
         return np.r_[worst, np.log1p(several), np.log1p(100 * len(insults) / max(len(found), 20)), len(insults)]
 
     def score(self, features: np.ndarray) -> float:

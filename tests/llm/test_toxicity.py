@@ -51,6 +51,15 @@ def test_sparse_sums_round_as_dense_ones(monkeypatch):
     assert np.array_equal(got, landmarks.kernel(words))
 
 
+def test_codes_are_found_alike_by_table_and_by_bisection(monkeypatch):
+    words = ["idiot", "i.d.i.o.t", "été", "日本語日本", "ab", "---", "x9x9x", "", "Größe"]
+    landmarks = toxicity.Landmarks([w for w in words if w != "x9x9x"])
+    got = landmarks.kernel(words)
+    monkeypatch.setattr(toxicity, "TABLE", 0)
+    assert np.array_equal(got, landmarks.kernel(words))
+    assert landmarks.kernel(["", "--"]).max() == pytest.approx(np.exp(-toxicity.SHARP))
+
+
 def trained(seed=0):
     rng = np.random.default_rng(seed)
     parts = ["the", "and", "ing", "tion", "er", "on", "st", "ly", "ou", "re", "ble", "ent"]
@@ -79,6 +88,32 @@ def test_gapped_and_inserted_insults_are_found():
     assert 0 <= score(machine, "") < 0.5
 
 
+def test_a_pair_of_fragments_is_judged_once():
+    """The work on neighbouring fragments grows with the different pairs, not with all places where they stand."""
+    machine, asked = trained(), []
+
+    class Marks(set):
+        def __contains__(self, part):
+            asked.append(part)
+            return super().__contains__(part)
+
+    machine.marks = Marks(machine.marks)
+    once = machine.features(machine.units(["the idi ot and idi ot"])[0])
+    n = len(asked)
+    assert n and once[5] > 0
+    again = [machine.features(found) for found in machine.units(["the idi ot and idi ot"] * 50)]
+    assert len(asked) == n and all(np.array_equal(f, once) for f in again)
+
+
+def test_scores_do_not_depend_on_what_is_kept(monkeypatch):
+    texts = ["the idi ot and", "", "the thing MORON moron", "i d i o t", "pathe tic idi ot", "ing " + "x" * 200] * 3
+    machine = trained()
+    want = [machine.features(found) for found in machine.units(texts)]
+    monkeypatch.setattr(toxicity, "KEPT", 2)
+    got = [machine.features(machine.units([text])[0]) for text in texts]
+    assert np.allclose(got, want, atol=1e-5) and len(machine.units([])) == 0
+
+
 def test_insults_late_in_long_texts_are_learnt(spark):
     rng = np.random.default_rng(5)
     parts = ["the", "and", "ing", "tion", "er", "on", "st", "ly", "ou", "re", "ble", "ent"]
